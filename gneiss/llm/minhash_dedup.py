@@ -1,12 +1,12 @@
 """Operator 7, MinHash near-dedup: an inverted join over signature coordinates.
 
 Each distinct shingle set gets COORDINATES minima. A document is posted under its (coordinate, value) pairs, and two
-documents collide once for each pair that they share; MATCHES collisions make a candidate. A link of similarity 0.85
-has fewer than 20 of 40 with a chance of 4e-8, and any higher one far less.
+documents collide once for each pair that they share; `matches` collisions make a candidate. A link of similarity 0.80
+has fewer than 17 of 40, and one of 0.85 fewer than 20, with a chance below 1e-6; links of more, far less.
 
 Prefix and skip merging keep the join small without losing candidates. Pairs held by one document only can't collide.
-Ordered by how many documents hold them, rarest first, the last MATCHES - 1 pairs of a document are skipped: they are
-the long posting lists (a passage of many documents), and two documents with MATCHES collisions also meet in a
+Ordered by how many documents hold them, rarest first, the last `matches` - 1 pairs of a document are skipped: they are
+the long posting lists (a passage of many documents), and two documents with `matches` collisions also meet in a
 shorter list. Collisions are then counted on the whole signatures.
 
 A posting list never yields all its pairs. Its documents first meet its smallest document only; confirmed links join
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import components, documents, stage, table
 
-COORDINATES, MATCHES = 40, 20
-WORDS, SIMILARITY = 3, 85
+COORDINATES = 40
+WORDS, SIMILARITY, MATCHES = 5, 80, 17
+#: The query's contract: three words and 0.85, for which more matches can be asked.
+QUERY = {"words": 3, "similarity": 85, "matches": 20}
 _SEEDS = tk.mix(np.arange(1, 257, dtype=tk.U)) | tk.U(1)
 
 
@@ -148,7 +150,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = near_duplicates(table(spark, sf_dir, "documents"))
+    rows, _ = near_duplicates(table(spark, sf_dir, "documents"), **QUERY)
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
