@@ -6,13 +6,24 @@ stage's docs. All but the last return the columns of documents; n_chars is broug
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import line_dedup, minhash_dedup
+from gneiss.llm import bpe, line_dedup, minhash_dedup, mixing, quality_rules
+from gneiss.llm import textkit as tk
 from gneiss.llm.common import stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Blocks of the mix: long enough to read on.
+BLOCK = 512
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; of rows that share a doc_id, those that fail."""
+    return quality_rules.judge(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +35,44 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest doc_id; of rows that share it, one."""
-    rows, _ = minhash_dedup.near_duplicates(docs, minhash_dedup.PIPELINE_WORDS, minhash_dedup.PIPELINE_SIMILARITY)
-    keep = rows.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    rows, _ = minhash_dedup.near_duplicates(docs)
+    keep = rows.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document as often as the mix reads it whole, and once more what it reads in part, as it stands in the text."""
+    for batch in batches:
+        for c in tk.chunks(batch["text"]):
+            starts, ends, firsts = tk.words(c)
+            rows, texts = [], []
+            for i in range(c.hi - c.lo):
+                a, row = firsts[i], c.lo + i
+                rows += [row] * batch["passes"][row].as_py()
+                texts += [batch["text"][row].as_py()] * batch["passes"][row].as_py()
+                spans = batch["spans"][row].as_py()
+                if spans:
+                    rows.append(row)
+                    texts.append("\n".join(c.data[starts[a + s] : ends[a + e - 1]].tobytes().decode() for s, e in spans))
+            taken = pa.array(rows, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(taken), pa.array(texts, type=pa.string()), batch["lang"].take(taken), batch["source"].take(taken), pa.array([len(t) for t in texts], type=pa.int64())], names=list(COLUMNS))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each whole reading of a document and one for the blocks read once more."""
+    docs = docs.select(*COLUMNS)
+    taken = mixing.mix(docs, block=BLOCK).where("taken > 0").select(F.col("doc_id").alias("taken_id"), "passes", "spans")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "n_chars") + ", n_chars bigint"
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).drop("taken_id").mapInArrow(_cut, schema)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and the token ids of the mix."""
+    return bpe.encode(docs, bpe.vocabulary(), "lang", "source")
 
 
-STAGES = [("line_dedup", lines), ("near_dedup", near)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_dedup", near), ("mixing", mixed), ("bpe", encoded)]
+#: SQL has no Kneser-Ney model, winnowed runs over kept rows, quotients or merges: tests compare with brute force.
 ORACLE_SQL = None
 
 
