@@ -9,10 +9,13 @@ Ordered by how many documents hold them, rarest first, the last `matches` - 1 pa
 the long posting lists (a passage of many documents), and two documents with `matches` collisions also meet in a
 shorter list. Collisions are then counted on the whole signatures.
 
-A posting list never yields all its pairs. Its documents first meet its smallest document only; confirmed links join
-components, and then only documents of different components that still share a list meet. So a list of copies costs
-one pair for each, and no link between components is lost. Every candidate is confirmed on the full sets. Equal sets
-stand together from the start (one representative each).
+A posting list never yields all its pairs. Its documents meet one of them, its pivot, and confirmed links join
+components. Only lists that still hold several components go on: their pivot is now the smallest set. If two of their
+documents are linked and not both linked to the pivot, they share a shingle outside of it: the one that isn't linked
+has less in common with the pivot than a link takes, and no set is smaller than the pivot. So these documents are
+posted again under shingles outside of the pivot, of which a prefix is enough, and the new, shorter lists go the same
+way until none holds two components. A list of copies costs one pair for each copy, and no link between components is
+lost. Every link is confirmed on the full sets. Equal sets stand together from the start (one representative each).
 
 Defined results: null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one node,
 which links by any of its texts. A null doc_id gets a null component and is kept.
@@ -93,14 +96,25 @@ def _full_sets(words: int):
 
 
 def _confirm(similarity: int):
+    """Of pairs (a document, its pivot): whether they are linked, and the shingles under which the document goes on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            good, rest = [], []
             for x, y in zip(batch["sx"], batch["sy"], strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(good, type=pa.bool_())], names=["a", "b", "linked"])
+                outside = x[~np.isin(x, y, assume_unique=True)]
+                both = len(x) - len(outside)
+                linked = 100 * both >= similarity * (len(x) + len(y) - both)
+                if not linked and len(x) >= len(y):  # what a link takes at least, less what the pivot can give
+                    need = max(1, -(-similarity * (len(x) + len(y)) // (100 + similarity)) - both, -(-similarity * len(x) // 100) - both)
+                    outside = outside[: max(0, len(outside) - need + 1)]
+                good.append(linked)
+                rest.append(outside.view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rest])])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[k] for k in ("a", "b", "x", "y")), pa.array(good, type=pa.bool_()), tk.list_array(np.concatenate([*rest, np.zeros(0, dtype=np.int64)]), offsets, pa.int64())], names=["a", "b", "x", "y", "linked", "outside"]
+            )
 
     return run
 
@@ -123,23 +137,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     signed = sets.join(met, "digest", "left_semi").select("digest", "signature")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs(x, y, a, b): digests and nodes, distinct."""
-        one, two = (signed.select(F.col("digest").alias(k), F.col("signature").alias(f"g{k}")) for k in "xy")
-        counted = pairs.join(one, "x").join(two, "y").where(F.size(F.array_intersect("gx", "gy")) >= matches).select("x", "y", "a", "b")
+        """pairs(x, y, a, b): digests and nodes of documents and their pivots, distinct."""
         one, two = (full.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
-        return stage(counted.join(one, "x").join(two, "y").select("a", "b", "sx", "sy").mapInArrow(_confirm(similarity), f"a {kind}, b {kind}, linked boolean"), name)
+        return stage(pairs.join(one, "x").join(two, "y").select("a", "b", "x", "y", "sx", "sy").mapInArrow(_confirm(similarity), f"a {kind}, b {kind}, x binary, y binary, linked boolean, outside array<bigint>"), name)
 
-    least = posts.groupBy("post").agg(F.min(F.struct("node", "digest")).alias("first"), F.count("*").alias("held")).where("held > 1").select("post", F.col("first.node").alias("a"), F.col("first.digest").alias("x"))
-    stars = posts.join(least, "post").where("x <> digest").select("x", F.col("digest").alias("y"), "a", F.col("node").alias("b")).distinct()
+    lists = posts.select(F.col("post").alias("list"), "digest", "node")
+    pivot = lists.groupBy("list").agg(F.min(F.struct("node", "digest")).alias("first"), F.count("*").alias("held")).where("held > 1").select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
+    stars = lists.join(pivot, "list").where("y <> digest").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
+    one, two = (signed.select(F.col("digest").alias(k), F.col("signature").alias(f"g{k}")) for k in "xy")
+    stars = stars.join(one, "x").join(two, "y").where(F.size(F.array_intersect("gx", "gy")) >= matches).drop("gx", "gy")
     links = confirmed(stars, "op7-stars").where("linked").select("a", "b")
-    groups = components(links, "op7-first")
-    grouped = stage(posts.join(groups, posts.node == groups.node, "left").select("post", "digest", posts.node, F.coalesce("component", posts.node).alias("group")), "op7-grouped")
-    mixed = grouped.groupBy("post").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("post")
-    left = grouped.join(mixed, "post")
-    one = left.select("post", F.col("digest").alias("x"), F.col("node").alias("a"), F.col("group").alias("ga"))
-    two = left.select("post", F.col("digest").alias("y"), F.col("node").alias("b"), F.col("group").alias("gb"))
-    rest = one.join(two, "post").where("ga < gb").select("x", "y", "a", "b").distinct()
-    links = links.union(confirmed(rest, "op7-rest").where("linked").select("a", "b"))
+    sizes = rows.select("digest", "n_shingles").join(met, "digest", "left_semi").distinct()
+    lists, turn = lists.join(sizes, "digest"), 0
+    while True:
+        turn += 1
+        groups = components(links, f"op7-{turn}")
+        grouped = lists.join(groups, lists.node == groups.node, "left").select("list", "digest", "n_shingles", lists.node, F.coalesce("component", lists.node).alias("group"))
+        grouped = stage(grouped, f"op7-grouped-{turn}")
+        pivot = grouped.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.struct("n_shingles", "digest", "node")).alias("first")).where("low <> high").select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
+        mixed = stage(grouped.join(pivot, "list").where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct(), f"op7-mixed-{turn}")
+        if mixed.isEmpty():
+            break
+        found = confirmed(mixed, f"op7-turn-{turn}")
+        links = stage(links.union(found.where("linked").select("a", "b")), f"op7-links-{turn}")
+        again = found.select("y", "linked", F.col("x").alias("digest"), F.col("a").alias("node"), F.explode("outside").alias("token"))
+        open_ = again.groupBy("y", "token").agg(F.count("*").alias("held"), F.bool_and("linked").alias("done")).where("held > 1 and not done").select("y", "token")
+        lists = again.join(open_, ["y", "token"]).select(F.xxhash64("y", "token").alias("list"), "digest", "node").distinct().join(sizes, "digest")
     same = rows.where("n_shingles > 0").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     twice = same.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("other")).where("a <> other")
     links = links.union(twice.select("a", F.col("other").alias("b")))
