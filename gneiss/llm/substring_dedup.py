@@ -131,8 +131,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
     docs = documents(docs)
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     rows = stage(docs.mapInArrow(_summaries(window, gram), f"{kinds}, n_words bigint, digest binary, anchors array<bigint>"), "op5-summary")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copy = rows.join(first, "digest").select("doc_id", "n_words", "digest", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"), "anchors")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    copy = rows.join(stage(first, "op5-copied"), "digest", "left").select("doc_id", "n_words", "digest", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"), "anchors")
     posts = stage(copy.where("not copy and doc_id is not null and size(anchors) > 0").select("doc_id", F.explode("anchors").alias("anchor")), "op5-posts")
     shared = posts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     seeds = posts.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
