@@ -26,7 +26,7 @@ from . import textkit as tk
 from .common import stage, table
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
-BLOCK, SHARD, SEED = 64, 4_000_000, 7
+BLOCK, SHARD, SEED = 64, 500_000, 7
 WORD = r"[^\x20\x09-\x0D]+"
 
 
