@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gneiss.plans import finding_queries, graph_queries, scan_queries  # noqa: F401
+from gneiss.plans.base import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+flagship = QUERIES["corpus_counts"]
