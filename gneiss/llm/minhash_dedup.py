@@ -14,7 +14,8 @@ components. Only lists that still hold several components go on: their pivot is
 documents are linked and not both linked to the pivot, they share a shingle outside of it: the one that isn't linked
 has less in common with the pivot than a link takes, and no set is smaller than the pivot. So these documents are
 posted again under shingles outside of the pivot, of which a prefix is enough, and the new, shorter lists go the same
-way until none holds two components. A list of copies costs one pair for each copy, and no link between components is
+way until none holds two components. In lists of SMALL documents or fewer, those of different components meet at once:
+SMALL pairs for each document at most. A list of copies costs one pair for each copy, and no link between components is
 lost. Every link is confirmed on the full sets. Equal sets stand together from the start (one representative each).
 
 Defined results: null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one node,
@@ -35,6 +36,7 @@ from . import textkit as tk
 from .common import components, documents, stage, table
 
 COORDINATES = 40
+SMALL = 32
 WORDS, SIMILARITY, MATCHES = 5, 80, 17
 #: The query's contract: three words and 0.85, for which more matches can be asked.
 QUERY = {"words": 3, "similarity": 85, "matches": 20}
@@ -101,7 +103,7 @@ def _confirm(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, rest = [], []
-            for x, y in zip(batch["sx"], batch["sy"], strict=True):
+            for x, y, pivot in zip(batch["sx"], batch["sy"], batch["pivot"].to_pylist(), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 outside = x[~np.isin(x, y, assume_unique=True)]
                 both = len(x) - len(outside)
@@ -110,10 +112,10 @@ def _confirm(similarity: int):
                     need = max(1, -(-similarity * (len(x) + len(y)) // (100 + similarity)) - both, -(-similarity * len(x) // 100) - both)
                     outside = outside[: max(0, len(outside) - need + 1)]
                 good.append(linked)
-                rest.append(outside.view(np.int64))
+                rest.append(outside.view(np.int64) if pivot else outside[:0].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rest])])
             yield pa.RecordBatch.from_arrays(
-                [*(batch[k] for k in ("a", "b", "x", "y")), pa.array(good, type=pa.bool_()), tk.list_array(np.concatenate([*rest, np.zeros(0, dtype=np.int64)]), offsets, pa.int64())], names=["a", "b", "x", "y", "linked", "outside"]
+                [*(batch[k] for k in ("a", "b", "x", "y", "pivot")), pa.array(good, type=pa.bool_()), tk.list_array(np.concatenate([*rest, np.zeros(0, dtype=np.int64)]), offsets, pa.int64())], names=["a", "b", "x", "y", "pivot", "linked", "outside"]
             )
 
     return run
@@ -136,17 +138,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     full = stage(texts.mapInArrow(_full_sets(words), "digest binary, shingles binary").dropDuplicates(["digest"]), "op7-full")
     signed = sets.join(met, "digest", "left_semi").select("digest", "signature")
 
+    def colliding(pairs: DataFrame) -> DataFrame:
+        """Pairs whose signatures have enough matches: no link is likely among the others."""
+        one, two = (signed.select(F.col("digest").alias(k), F.col("signature").alias(f"g{k}")) for k in "xy")
+        return pairs.join(one, "x").join(two, "y").where(F.size(F.array_intersect("gx", "gy")) >= matches).drop("gx", "gy")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs(x, y, a, b): digests and nodes of documents and their pivots, distinct."""
+        """pairs(x, y, a, b, pivot): digests and nodes, distinct; pivot: y is x's pivot, and x may go on."""
         one, two = (full.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
-        return stage(pairs.join(one, "x").join(two, "y").select("a", "b", "x", "y", "sx", "sy").mapInArrow(_confirm(similarity), f"a {kind}, b {kind}, x binary, y binary, linked boolean, outside array<bigint>"), name)
+        return stage(pairs.join(one, "x").join(two, "y").select("a", "b", "x", "y", "pivot", "sx", "sy").mapInArrow(_confirm(similarity), f"a {kind}, b {kind}, x binary, y binary, pivot boolean, linked boolean, outside array<bigint>"), name)
 
     lists = posts.select(F.col("post").alias("list"), "digest", "node")
     pivot = lists.groupBy("list").agg(F.min(F.struct("node", "digest")).alias("first"), F.count("*").alias("held")).where("held > 1").select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
     stars = lists.join(pivot, "list").where("y <> digest").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
-    one, two = (signed.select(F.col("digest").alias(k), F.col("signature").alias(f"g{k}")) for k in "xy")
-    stars = stars.join(one, "x").join(two, "y").where(F.size(F.array_intersect("gx", "gy")) >= matches).drop("gx", "gy")
-    links = confirmed(stars, "op7-stars").where("linked").select("a", "b")
+    links = confirmed(colliding(stars).withColumn("pivot", F.lit(False)), "op7-stars").where("linked").select("a", "b")
     sizes = rows.select("digest", "n_shingles").join(met, "digest", "left_semi").distinct()
     lists, turn = lists.join(sizes, "digest"), 0
     while True:
@@ -154,13 +159,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
         groups = components(links, f"op7-{turn}")
         grouped = lists.join(groups, lists.node == groups.node, "left").select("list", "digest", "n_shingles", lists.node, F.coalesce("component", lists.node).alias("group"))
         grouped = stage(grouped, f"op7-grouped-{turn}")
-        pivot = grouped.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.struct("n_shingles", "digest", "node")).alias("first")).where("low <> high").select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
-        mixed = stage(grouped.join(pivot, "list").where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct(), f"op7-mixed-{turn}")
-        if mixed.isEmpty():
-            break
-        found = confirmed(mixed, f"op7-turn-{turn}")
+        mixed = grouped.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held"), F.min(F.struct("n_shingles", "digest", "node")).alias("first")).where("low <> high")
+        mixed = stage(mixed, f"op7-mixed-{turn}")
+        pivot = mixed.where(F.col("held") > SMALL).select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
+        pivots = grouped.join(pivot, "list").where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
+        small = grouped.join(mixed.where(F.col("held") <= SMALL).select("list"), "list")
+        one = small.select("list", F.col("digest").alias("x"), F.col("node").alias("a"), F.col("group").alias("ga"))
+        two = small.select("list", F.col("digest").alias("y"), F.col("node").alias("b"), F.col("group").alias("gb"))
+        pairs = one.join(two, "list").where("ga < gb").select("x", "y", "a", "b").distinct()
+        found = confirmed(colliding(pairs).withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True))), f"op7-turn-{turn}")
         links = stage(links.union(found.where("linked").select("a", "b")), f"op7-links-{turn}")
-        again = found.select("y", "linked", F.col("x").alias("digest"), F.col("a").alias("node"), F.explode("outside").alias("token"))
+        if pivot.isEmpty():
+            break
+        again = found.where("pivot").select("y", "linked", F.col("x").alias("digest"), F.col("a").alias("node"), F.explode("outside").alias("token"))
         open_ = again.groupBy("y", "token").agg(F.count("*").alias("held"), F.bool_and("linked").alias("done")).where("held > 1 and not done").select("y", "token")
         lists = again.join(open_, ["y", "token"]).select(F.xxhash64("y", "token").alias("list"), "digest", "node").distinct().join(sizes, "digest")
     same = rows.where("n_shingles > 0").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
