@@ -9,14 +9,18 @@ Ordered by how many documents hold them, rarest first, the last `matches` - 1 pa
 the long posting lists (a passage of many documents), and two documents with `matches` collisions also meet in a
 shorter list. Collisions are then counted on the whole signatures.
 
-A posting list never yields all its pairs. Its documents meet one of them, its pivot, and confirmed links join
-components. Only lists that still hold several components go on: their pivot is now the smallest set. If two of their
-documents are linked and not both linked to the pivot, they share a shingle outside of it: the one that isn't linked
-has less in common with the pivot than a link takes, and no set is smaller than the pivot. So these documents are
-posted again under shingles outside of the pivot, of which a prefix is enough, and the new, shorter lists go the same
-way until none holds two components. In lists of SMALL documents or fewer, those of different components meet at once:
-SMALL pairs for each document at most. A list of copies costs one pair for each copy, and no link between components is
-lost. Every link is confirmed on the full sets. Equal sets stand together from the start (one representative each).
+A posting list never yields all its pairs. Its documents meet its first one only, and confirmed links join components.
+Lists that still hold several components are put together by their first document and go on:
+
+- In a list of SMALL documents or fewer, those of different components meet at once: SMALL pairs each at most.
+- A larger one has a centre, the shingles that most of its documents hold, and its documents meet the one that is
+  nearest to it, by what it misses of the centre and what it has outside of it. Two linked documents that neither miss
+  nor add a shingle in common are both linked to the nearest one: they are at least as far from the centre. All others
+  share a missing or an added shingle, so the documents are posted again under these. At most half of a list's
+  documents have any one of them, so lists end after a logarithm of their size.
+
+So a list of copies costs a few pairs for each copy, and no link between components is lost. Every link is confirmed on
+the full sets. Equal sets stand together from the start (one representative each).
 
 Defined results: null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one node,
 which links by any of its texts. A null doc_id gets a null component and is kept.
@@ -92,31 +96,22 @@ def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tk.chunks(batch["text"]):
-                yield pa.RecordBatch.from_arrays([batch["digest"].slice(c.lo, c.hi - c.lo), pa.array([x.tobytes() for x in _sets(c, words)[0]], type=pa.binary())], names=["digest", "shingles"])
+                sets = _sets(c, words)[0]
+                yield pa.RecordBatch.from_arrays([batch["digest"].slice(c.lo, c.hi - c.lo), tk.list_array(np.concatenate(sets).view(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int64())], names=["digest", "shingles"])
 
     return run
 
 
 def _confirm(similarity: int):
-    """Of pairs (a document, its pivot): whether they are linked, and the shingles under which the document goes on."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, rest = [], []
-            for x, y, pivot in zip(batch["sx"], batch["sy"], batch["pivot"].to_pylist(), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                outside = x[~np.isin(x, y, assume_unique=True)]
-                both = len(x) - len(outside)
-                linked = 100 * both >= similarity * (len(x) + len(y) - both)
-                if not linked and len(x) >= len(y):  # what a link takes at least, less what the pivot can give
-                    need = max(1, -(-similarity * (len(x) + len(y)) // (100 + similarity)) - both, -(-similarity * len(x) // 100) - both)
-                    outside = outside[: max(0, len(outside) - need + 1)]
-                good.append(linked)
-                rest.append(outside.view(np.int64) if pivot else outside[:0].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rest])])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[k] for k in ("a", "b", "x", "y", "pivot")), pa.array(good, type=pa.bool_()), tk.list_array(np.concatenate([*rest, np.zeros(0, dtype=np.int64)]), offsets, pa.int64())], names=["a", "b", "x", "y", "pivot", "linked", "outside"]
-            )
+            good = []
+            for x, y in zip(batch["sx"], batch["sy"], strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= similarity * (len(x) + len(y) - both))
+            linked = pa.array(good, type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(linked), batch["b"].filter(linked)], names=["a", "b"])
 
     return run
 
@@ -135,7 +130,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     posts = stage(ranked.where(F.size("order") >= matches).select("digest", "node", F.explode(F.slice("order", 1, skip)).alias("x")).select("digest", "node", F.col("x.post").alias("post")), "op7-posts")
     met = posts.select("digest").distinct()
     texts = docs.join(rows.select("doc_id", "digest").join(sets.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").join(met, "digest", "left_semi").distinct(), "doc_id")
-    full = stage(texts.mapInArrow(_full_sets(words), "digest binary, shingles binary").dropDuplicates(["digest"]), "op7-full")
+    full = stage(texts.mapInArrow(_full_sets(words), "digest binary, shingles array<bigint>").dropDuplicates(["digest"]), "op7-full")
     signed = sets.join(met, "digest", "left_semi").select("digest", "signature")
 
     def colliding(pairs: DataFrame) -> DataFrame:
@@ -144,36 +139,41 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
         return pairs.join(one, "x").join(two, "y").where(F.size(F.array_intersect("gx", "gy")) >= matches).drop("gx", "gy")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs(x, y, a, b, pivot): digests and nodes, distinct; pivot: y is x's pivot, and x may go on."""
+        """Links (a, b) among pairs(x, y, a, b) of digests and nodes, distinct."""
         one, two = (full.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
-        return stage(pairs.join(one, "x").join(two, "y").select("a", "b", "x", "y", "pivot", "sx", "sy").mapInArrow(_confirm(similarity), f"a {kind}, b {kind}, x binary, y binary, pivot boolean, linked boolean, outside array<bigint>"), name)
+        return stage(colliding(pairs).join(one, "x").join(two, "y").select("a", "b", "sx", "sy").mapInArrow(_confirm(similarity), f"a {kind}, b {kind}"), name)
 
     lists = posts.select(F.col("post").alias("list"), "digest", "node")
-    pivot = lists.groupBy("list").agg(F.min(F.struct("node", "digest")).alias("first"), F.count("*").alias("held")).where("held > 1").select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
-    stars = lists.join(pivot, "list").where("y <> digest").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
-    links = confirmed(colliding(stars).withColumn("pivot", F.lit(False)), "op7-stars").where("linked").select("a", "b")
-    sizes = rows.select("digest", "n_shingles").join(met, "digest", "left_semi").distinct()
-    lists, turn = lists.join(sizes, "digest"), 0
+    first = lists.groupBy("list").agg(F.min(F.struct("node", "digest")).alias("first"), F.count("*").alias("held")).where("held > 1").select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
+    lists = stage(lists.join(first, "list").select("y", "digest", "node", "b").distinct(), "op7-lists")
+    links = confirmed(lists.where("y <> digest").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b"), "op7-stars")
+    lists, turn = lists.select(F.xxhash64("y").alias("list"), "digest", "node"), 0
     while True:
         turn += 1
         groups = components(links, f"op7-{turn}")
-        grouped = lists.join(groups, lists.node == groups.node, "left").select("list", "digest", "n_shingles", lists.node, F.coalesce("component", lists.node).alias("group"))
-        grouped = stage(grouped, f"op7-grouped-{turn}")
-        mixed = grouped.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held"), F.min(F.struct("n_shingles", "digest", "node")).alias("first")).where("low <> high")
-        mixed = stage(mixed, f"op7-mixed-{turn}")
-        pivot = mixed.where(F.col("held") > SMALL).select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
-        pivots = grouped.join(pivot, "list").where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
+        grouped = stage(lists.join(groups, lists.node == groups.node, "left").select("list", "digest", lists.node, F.coalesce("component", lists.node).alias("group")), f"op7-grouped-{turn}")
+        mixed = stage(grouped.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held")).where("low <> high").select("list", "held"), f"op7-mixed-{turn}")
         small = grouped.join(mixed.where(F.col("held") <= SMALL).select("list"), "list")
         one = small.select("list", F.col("digest").alias("x"), F.col("node").alias("a"), F.col("group").alias("ga"))
         two = small.select("list", F.col("digest").alias("y"), F.col("node").alias("b"), F.col("group").alias("gb"))
         pairs = one.join(two, "list").where("ga < gb").select("x", "y", "a", "b").distinct()
-        found = confirmed(colliding(pairs).withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True))), f"op7-turn-{turn}")
-        links = stage(links.union(found.where("linked").select("a", "b")), f"op7-links-{turn}")
-        if pivot.isEmpty():
+        large = mixed.where(F.col("held") > SMALL)
+        if large.isEmpty():
+            links = links.union(confirmed(pairs, f"op7-pairs-{turn}"))
             break
-        again = found.where("pivot").select("y", "linked", F.col("x").alias("digest"), F.col("a").alias("node"), F.explode("outside").alias("token"))
-        open_ = again.groupBy("y", "token").agg(F.count("*").alias("held"), F.bool_and("linked").alias("done")).where("held > 1 and not done").select("y", "token")
-        lists = again.join(open_, ["y", "token"]).select(F.xxhash64("y", "token").alias("list"), "digest", "node").distinct().join(sizes, "digest")
+        members = stage(grouped.join(large, "list").join(full, "digest").select("list", "held", "digest", "node", "shingles"), f"op7-members-{turn}")
+        centre = members.select("list", "held", F.explode("shingles").alias("token")).groupBy("list", "held", "token").agg(F.count("*").alias("n")).where("2 * n > held").groupBy("list").agg(F.collect_list("token").alias("centre"))
+        placed = members.join(centre, "list", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+        placed = placed.select("list", "digest", "node", F.array_except("centre", "shingles").alias("missing"), F.array_except("shingles", "centre").alias("added"))
+        far = 100 * F.size("missing") + similarity * F.size("added")
+        placed = stage(placed.withColumn("far", far), f"op7-placed-{turn}")
+        nearest = placed.groupBy("list").agg(F.min(F.struct("far", "digest", "node")).alias("w")).select("list", F.col("w.digest").alias("y"), F.col("w.node").alias("b"))
+        meet = placed.join(nearest, "list").where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
+        links = stage(links.union(confirmed(pairs.unionByName(meet), f"op7-turn-{turn}")), f"op7-links-{turn}")
+        tokens = F.concat(F.transform("missing", lambda t: F.xxhash64(F.col("list"), F.lit("-"), t)), F.transform("added", lambda t: F.xxhash64(F.col("list"), F.lit("+"), t)))
+        again = placed.select(F.explode(tokens).alias("list"), "digest", "node")
+        shared = again.groupBy("list").agg(F.count("*").alias("held")).where("held > 1").select("list")
+        lists = again.join(shared, "list")
     same = rows.where("n_shingles > 0").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     twice = same.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("other")).where("a <> other")
     links = links.union(twice.select("a", F.col("other").alias("b")))
