@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     links = links.union(twice.select("a", F.col("other").alias("b")))
     groups = components(links, "op7-last")
     nodes = sets.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    found = rows.join(nodes, "digest", "left").select("doc_id", "n_shingles", F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
+    found = rows.join(nodes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id")).alias("component_id"))
     return found, links
 
 

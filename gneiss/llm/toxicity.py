@@ -260,8 +260,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         use = order[nth < 2]
         others = rng.permutation(np.flatnonzero(y[doc] == 0))[: int((y == 0).sum())]
         use = rng.permutation(np.union1d(use, others))
-        for i in range(0, len(use), BATCH):
-            some = use[i : i + BATCH]
+        size = max(48, min(BATCH, len(use) // 12))  # a small sample needs as many steps
+        for i in range(0, len(use), size):
+            some = use[i : i + size]
             tokens, back = np.unique(at[some], return_inverse=True)
             back = back.reshape(len(some), WINDOW)
             none = len(tokens) - (tokens[-1] == len(first))
