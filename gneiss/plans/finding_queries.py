@@ -113,7 +113,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(f.where("ordinal % 9 = 0").select(F.col("id").alias("original_id"), F.lit(True).alias("is_real"), F.lit("low").alias("adjusted_severity"), F.lit(2).alias("ordinal")))
 
 
-_VERDICTS = f"{W}, v AS (SELECT id, CASE WHEN ordinal % 9 = 0 THEN true ELSE ordinal % 2 = 0 END AS real, CASE WHEN ordinal % 9 = 0 THEN 'low' WHEN ordinal % 5 = 0 THEN 'critical' END AS sev FROM findings WHERE ordinal % 3 = 0)"
+_VERDICTS = f"{W}, v AS (SELECT DISTINCT id, CASE WHEN ordinal % 9 = 0 THEN true ELSE ordinal % 2 = 0 END AS real, CASE WHEN ordinal % 9 = 0 THEN 'low' WHEN ordinal % 5 = 0 THEN 'critical' END AS sev FROM findings WHERE ordinal % 3 = 0)"
 
 
 @query("verdict_merge", f"{_VERDICTS} SELECT f.id, CASE WHEN v.real THEN coalesce(v.sev, f.severity) ELSE f.severity END AS severity, CASE WHEN v.real THEN 'high' ELSE f.confidence END AS confidence FROM findings f LEFT JOIN v ON v.id = f.id WHERE v.id IS NULL OR v.real")
@@ -155,7 +155,7 @@ def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.history_rows(findings(spark, sf_dir).where("ordinal % 17 = 0"), "file").select("file", "trust_score")
 
 
-@query("trust_score_chains", f"{W} SELECT {TENTHS.format('sum(c)::BIGINT')} AS trust_score FROM (SELECT cost AS c FROM findings WHERE ordinal % 9001 = 0 UNION ALL SELECT CASE rank WHEN 0 THEN 15 WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END FROM findings WHERE ordinal % 20011 = 0)")
+@query("trust_score_chains", f"{W} SELECT {TENTHS.format('coalesce(sum(c), 0)::BIGINT')} AS trust_score FROM (SELECT cost AS c FROM findings WHERE ordinal % 9001 = 0 UNION ALL SELECT CASE rank WHEN 0 THEN 15 WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END FROM findings WHERE ordinal % 20011 = 0)")
 def trust_score_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = findings(spark, sf_dir)
     return S.trust_score(f.where("ordinal % 9001 = 0"), f.where("ordinal % 20011 = 0"))
