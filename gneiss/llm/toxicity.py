@@ -252,7 +252,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         if epoch < 2:
             rank = np.sort(best[at], axis=1)[:, -3:] @ np.array([0.3, 0.5, 1], dtype=f32) + 0.01 * rng.random(len(at))
         else:
-            vectors = np.concatenate([read_words(p, letters[i : i + 50_000], buckets[i : i + 50_000])[0] for i in range(0, len(first), 50_000)])
+            vectors = np.concatenate([read_words(p, letters[i : i + 16_000], buckets[i : i + 16_000])[0] for i in range(0, len(first), 16_000)])
             gates = gates_of(p, vectors)
             rank = np.concatenate([read_windows(p, gates, at[i : i + 8192])[0] for i in range(0, len(at), 8192)])
         order = np.lexsort((-rank, doc))
