@@ -16,8 +16,9 @@ Lists that still hold several components are put together by their first documen
 - A larger one has a centre, the shingles that most of its documents hold, and its documents meet the one that is
   nearest to it, by what it misses of the centre and what it has outside of it. Two linked documents that neither miss
   nor add a shingle in common are both linked to the nearest one: they are at least as far from the centre. All others
-  share a missing or an added shingle, so the documents are posted again under these. At most half of a list's
-  documents have any one of them, so lists end after a logarithm of their size.
+  share missing or added shingles, the more the farther they are, so the documents are posted again under these: as
+  before only under the rarest, all but as many as they must share, less one. At most half of a list's documents have
+  any one of them, so lists end after a logarithm of their size.
 
 So a list of copies costs a few pairs for each copy, and no link between components is lost. Every link is confirmed on
 the full sets. Equal sets stand together from the start (one representative each).
@@ -164,16 +165,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
         members = stage(grouped.join(large, "list").join(full, "digest").select("list", "held", "digest", "node", "shingles"), f"op7-members-{turn}")
         centre = members.select("list", "held", F.explode("shingles").alias("token")).groupBy("list", "held", "token").agg(F.count("*").alias("n")).where("2 * n > held").groupBy("list").agg(F.collect_list("token").alias("centre"))
         placed = members.join(centre, "list", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
-        placed = placed.select("list", "digest", "node", F.array_except("centre", "shingles").alias("missing"), F.array_except("shingles", "centre").alias("added"))
+        placed = placed.select("list", "digest", "node", F.size("centre").alias("held"), F.array_except("centre", "shingles").alias("missing"), F.array_except("shingles", "centre").alias("added"))
         far = 100 * F.size("missing") + similarity * F.size("added")
         placed = stage(placed.withColumn("far", far), f"op7-placed-{turn}")
-        nearest = placed.groupBy("list").agg(F.min(F.struct("far", "digest", "node")).alias("w")).select("list", F.col("w.digest").alias("y"), F.col("w.node").alias("b"))
-        meet = placed.join(nearest, "list").where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
+        nearest = placed.groupBy("list").agg(F.min(F.struct("far", "digest", "node")).alias("w")).select("list", F.col("w.far").alias("least"), F.col("w.digest").alias("y"), F.col("w.node").alias("b"))
+        near = placed.join(nearest, "list")
+        meet = near.where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
         links = stage(links.union(confirmed(pairs.unionByName(meet), f"op7-turn-{turn}")), f"op7-links-{turn}")
+        need = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("least") - (100 - similarity) * F.col("held")) / (100 + similarity)).cast("int"))
         tokens = F.concat(F.transform("missing", lambda t: F.xxhash64(F.col("list"), F.lit("-"), t)), F.transform("added", lambda t: F.xxhash64(F.col("list"), F.lit("+"), t)))
-        again = placed.select(F.explode(tokens).alias("list"), "digest", "node")
-        shared = again.groupBy("list").agg(F.count("*").alias("held")).where("held > 1").select("list")
-        lists = again.join(shared, "list")
+        again = near.select("list", "digest", "node", need.alias("need"), F.explode(tokens).alias("next"))
+        shared = again.groupBy("next").agg(F.count("*").alias("held")).where("held > 1")
+        order = again.join(shared, "next").groupBy("list", "digest").agg(F.min("node").alias("node"), F.min("need").alias("need"), F.array_sort(F.collect_list(F.struct("held", "next"))).alias("order")).where(F.size("order") >= F.col("need"))
+        lists = order.select("digest", "node", F.explode(F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).alias("x")).select(F.col("x.next").alias("list"), "digest", "node")
     same = rows.where("n_shingles > 0").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     twice = same.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("other")).where("a <> other")
     links = links.union(twice.select("a", F.col("other").alias("b")))
