@@ -362,6 +362,23 @@ def test_perplexity_rejects_other_texts(spark):
     assert {r["doc_id"] for r in rows if r["kept"]} == {i for i, *_ in clean}
 
 
+def test_shuffled_words_are_rejected_in_every_language(spark):
+    """Word order and all code points count, and each language has a model and a band, also past the 32nd."""
+    rng = random.Random(1)
+    rows = []
+    for m in range(34):
+        phrases = [[f"{chr(0x430 + m % 32)}{rng.choice('бвгдж')}{rng.choice('аеиоу')}{chr(0x430 + k % 32)}{k // 32}{chr(0x430 + j)}" for j in range(6)] for k in range(60)]
+        docs = [[x for p in rng.sample(phrases, 20) for x in p] for _ in range(24 if m > 31 else 1)]
+        rows += [(100 * m + i, " ".join(w), f"l{m}", "s", 0) for i, w in enumerate(docs)]
+        if m > 31:
+            w = [x for p in rng.sample(phrases, 20) for x in p]
+            rng.shuffle(w)
+            rows.append((100 * m + 99, " ".join(w), f"l{m}", "s", 0))
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for m in (32, 33):
+        assert not kept[100 * m + 99] and all(kept[100 * m + i] for i in range(24))
+
+
 def test_gradients():
     p = {k: v.astype(np.float64) for k, v in toxicity.fresh(1).items()}
     rng = np.random.default_rng(0)
