@@ -34,10 +34,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id; of rows that share it, one."""
-    rows, _ = minhash_dedup.near_duplicates(docs)
-    keep = rows.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates stays, that of the smallest doc_id. Texts are told apart, not ids:
+    rows that share a doc_id go only where their texts are linked, rows without a doc_id or without words never."""
+    own = docs.select(*COLUMNS, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("digest"))).alias("node"))
+    rows, _ = minhash_dedup.near_duplicates(own.select(F.col("node").alias("doc_id"), "text"))
+    keep = rows.where("doc_id = component_id").select(F.col("doc_id").alias("node"), "n_shingles").distinct()
+    found = own.join(keep, "node")
+    first = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("x")).select("node.doc_id", "x.*")
+    return own.where("node is null").select(*COLUMNS).unionByName(found.where("n_shingles = 0").select(*COLUMNS)).unionByName(first.select(*COLUMNS))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

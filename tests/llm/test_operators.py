@@ -462,3 +462,17 @@ def test_pipeline(spark, tmp_path, docs):
     assert out and all(len(r["ids"]) == r["n_tokens"] for r in out)
     assert corpus_pipeline.run(spark, sf).count() == len(out)
     assert os.path.isdir(sf)
+
+
+def test_pipeline_near_keeps_what_is_not_linked(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(5)]
+    near = texts[0] + " more"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[3]), (2, texts[0]), (3, near), (3, texts[4]), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    expected = [r for r in rows if r != (3, near)]
+    expected.remove((1, texts[3]))
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
