@@ -4,12 +4,13 @@
 
     name = "literal"    name: literal    "name": "literal"    name := `literal`    NAME=literal    a.b["name"] = 'x' + y
 
-Each gives a target name and the literals of its value, by position. Constants propagate in the order of the text: a
-bare name on the right stands for the literals last assigned to it, also in sums. A literal is scored by the target
-names that it reaches (password, api key, token ... as words of the name) and by its own shape: length, kinds of
-characters, entropy, against placeholders and references. A score of THRESHOLD or more makes a span of kind `named`.
+Each gives a target name and the parts of its value, by position. Constants propagate in the order of the text: a bare
+name on the right links to what was last assigned to it, also in sums, which go on over line breaks around a plus sign.
+A literal is scored by the target names that it reaches (password, api key, token ... as words of the name) and by its
+own shape: length, kinds of characters, entropy, against placeholders and references. A score of THRESHOLD or more makes
+a span of kind `named`. Links are resolved once, at the end, from the last assignment to the first; none are cut.
 
-Regular expressions are bounded and start at an assignment sign, so a text costs time in proportion to its length.
+Names, blanks and sums have no upper limits. Regular expressions start at an assignment sign and don't go back.
 Texts are whole; a text without `=` or `:` has no assignment, one without a base word no assign span.
 
 Defined results: null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows repeat.
@@ -44,11 +45,11 @@ NAMES = {
 }
 HARMLESS = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|yes|no|on|off|todo|fixme|changeme|change_me|example|sample|test|dummy|placeholder|redacted|your.*|xxx+|\*+|\.+|<.*>|\$\{.*\}|\$\(.*\)|\{\{.*\}\}|%\(?\w+\)?s?)$")
 
-NAME = r"[A-Za-z_$][A-Za-z0-9_$-]{0,99}"
-_LEFT = re.compile(rf"(?:({NAME})|\"([^\"\n]{{1,99}})\"|'([^'\n]{{1,99}})')\]?[\x20\t]{{0,20}}$")
+NAME = r"[A-Za-z_$][A-Za-z0-9_$-]*+"
+_NAME_END = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$-")
 _SIGN = re.compile(r":=|=>|[:=]")
-_TERM = re.compile(rf"[\x20\t]{{0,20}}(?:[rbuf]{{0,2}}\"((?:\\.|[^\"\\\n])*)\"|[rbuf]{{0,2}}'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|({NAME}(?:\.{NAME}){{0,9}})(?=[\x20\t]{{0,20}}(?:[;,)}}\]+\n#]|$))|([^\x20\t\n;,\"'`#+(){{}}\[\]]+))")
-_PLUS = re.compile(r"[\x20\t]{0,20}\+")
+_TERM = re.compile(rf"[\x20\t]*+(?:[rbuf]{{0,2}}\"((?:\\.|[^\"\\\n])*+)\"|[rbuf]{{0,2}}'((?:\\.|[^'\\\n])*+)'|`([^`\n]*+)`|({NAME}(?:\.{NAME})*+)(?=[\x20\t]*+(?:[;,)}}\]+\r\n#]|$))|([^\x20\t\n;,\"'`#+(){{}}\[\]]++))")
+_PLUS = re.compile(r"[\x20\t\r\n]*+\+[\x20\t\r\n]*+")
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ class Literal:
     start: int
     end: int
     text: str
-    names: tuple[str, ...]
+    name_score: int
 
 
 def name_parts(name: str) -> list[str]:
@@ -80,38 +81,64 @@ def literal_score(text: str) -> int:
     return (len(text) >= 12) + (kinds >= 2) + (entropy >= 3.0) + (entropy >= 3.7) - 2 * (text.count(" ") > 2) - 2 * (len(counts) < 4)
 
 
+def _target(text: str, end: int) -> str | None:
+    """The name that stands before end: bare, or in quotes, also in brackets."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] == "]":
+        end -= 1
+    if not end:
+        return None
+    quote = text[end - 1]
+    if quote in "\"'":
+        start = text.rfind(quote, 0, end - 1) + 1
+        return text[start : end - 1] if 0 < start < end - 1 and "\n" not in text[start : end - 1] else None
+    start = end
+    while start and text[start - 1] in _NAME_END:
+        start -= 1
+    return text[start:end].lstrip("0123456789-") or None
+
+
 def assignments(text: str) -> list[Literal]:
-    """Name-literal pairs in order; a literal has the names of all targets that it reaches."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    reached: dict[tuple[int, int, str], list[str]] = {}
+    """Literals by position, each with the best score of all target names that it reaches."""
+    known: dict[str, int] = {}
+    scores: list[int] = []
+    parts: list[list[int | tuple[int, int]]] = []  # of each assignment: earlier ones, and spans of literals
     at = 0
     for sign in _SIGN.finditer(text):
         if sign.start() < at or text[sign.end() : sign.end() + 1] == "=":
             continue
-        left = _LEFT.search(text[max(0, sign.start() - 130) : sign.start()])
-        if not left:
+        name = _target(text, sign.start())
+        if not name:
             continue
-        name, place, found = next(x for x in left.groups() if x), sign.end(), []
+        place, found, plus = sign.end(), [], None
         while term := _TERM.match(text, place):
             kind = term.lastindex
+            if plus and kind == 5 and "\n" in plus[0]:
+                break  # a new statement, or a line of a patch
             if kind == 4 and (term[4] in known or term[4].split(".")[-1] in known):
-                found += known.get(term[4]) or known[term[4].split(".")[-1]]
+                found.append(known[term[4] if term[4] in known else term[4].split(".")[-1]])
             else:
-                found.append((*term.span(kind), term[kind]))
+                found.append(term.span(kind))
             place = term.end()
+            if kind < 4:
+                at = place  # what a quoted literal holds is not code
             plus = _PLUS.match(text, place)
             if not plus:
                 break
             place = plus.end()
         if found:
-            known[name] = found[:20]
-            for x in found:
-                names = reached.setdefault(x, [])
-                if name not in names:
-                    names.append(name)
-            if kind < 4:
-                at = place  # what a quoted literal holds is not code
-    return [Literal(*x, tuple(names)) for x, names in sorted(reached.items())]
+            known[name] = len(parts)
+            scores.append(name_score(name))
+            parts.append(found)
+    reached: dict[tuple[int, int], int] = {}
+    for i in range(len(parts) - 1, -1, -1):
+        for x in parts[i]:
+            if isinstance(x, int):
+                scores[x] = max(scores[x], scores[i])
+            else:
+                reached[x] = max(reached.get(x, 0), scores[i])
+    return [Literal(a, b, text[a:b], n) for (a, b), n in sorted(reached.items())]
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -126,7 +153,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
         for x in assignments(text):
-            if max(map(name_score, x.names)) + literal_score(x.text) >= THRESHOLD:
+            if x.name_score + literal_score(x.text) >= THRESHOLD:
                 spans.append((x.start, x.end, "named"))
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

@@ -476,3 +476,20 @@ def test_pipeline_near_keeps_what_is_not_linked(spark):
     expected = [r for r in rows if r != (3, near)]
     expected.remove((1, texts[3]))
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_secrets_have_no_limits():
+    rng = random.Random(2)
+    parts = ["".join(rng.choice("abcdefgh01234567XYZ") for _ in range(16)) for _ in range(30)]
+    own = [f"{a}Q9z" for a in parts]
+
+    def named(text):
+        return [text[a:b] for a, b, k in secret_scan.scan(text) if k == "named"]
+
+    joined = " + ".join(f"'{x}'" for x in own)
+    assert named(f"base = {joined}\nmore = base\nclient_secret = more\n") == own
+    assert named("client_secret" + " " * 50 + "=" + "\t" * 60 + f"'{own[0]}'") == [own[0]]
+    assert named("a" * 120 + f"_client_secret = '{own[0]}'") == [own[0]] and named("client_secret_" + "a" * 120 + f" = '{own[0]}'") == [own[0]]
+    assert named("x_" * 70 + f"v = '{own[0]}'\nclient_secret = " + "x_" * 70 + "v\n") == [own[0]]
+    assert named(f"client_secret = '{own[0]}' +\n    '{own[1]}'\n    + '{own[2]}'\n") == own[:3]
+    assert named(f"client_secret = '{own[0]}'\n+other = '{own[1]}'\n") == [own[0]]
