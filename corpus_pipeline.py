@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; a document that loses all its lines goes with them."""
-    out = line_dedup.dedup_lines(docs, "lang", "source", "n_chars")
+    """Later repeats of runs of lines go, of one or two lines where these are long or the whole text; a document that loses all its lines goes with them."""
+    out = line_dedup.dedup_lines(docs, "lang", "source", "n_chars", least=line_dedup.LEAST)
     changed = F.col("n_removed") > 0
     return out.where("n_removed = 0 or n_removed < n_lines").withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

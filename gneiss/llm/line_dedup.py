@@ -6,6 +6,10 @@ share are joined; around them, in both directions, runs are compared by 128-bit
 earlier, in a smaller doc_id or before it in the same text, is a repeat. Lines covered by repeats go: what is left of
 each repeated passage is its first occurrence.
 
+With `least`, runs shorter than `run` lines count by their content: one of `least` words or more that also stands earlier
+is a repeat, and so is a whole text of fewer than `run` lines that is also an earlier document's whole text. The
+pipeline asks for this; the query and its SQL know runs of `run` lines only.
+
 Only hashes of lines are shuffled; texts meet the deletions once, at the end. Pairs of documents are never made.
 
 Defined results: null and empty texts have no lines and lose none (a null text stays null). Rows that share a doc_id
@@ -26,6 +30,9 @@ from .common import documents, stage, table
 from .substring_dedup import covered
 
 RUN, GRAM = 3, 2
+#: Words from which runs of fewer lines count in the pipeline.
+LEAST = 50
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def lines(c: tk.Chunk) -> tuple[np.ndarray, ...]:
@@ -46,6 +53,43 @@ def _units(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return tk.spans_hash(tk._bytes_table(2)[c.data], starts[at], ends[at], tk.BASE_BYTES), np.searchsorted(at, firsts)
 
 
+def _n_words(c: tk.Chunk) -> np.ndarray:
+    """Words of each unit."""
+    starts, ends, _, full = lines(c)
+    begin = tk.words(c)[0]
+    return np.searchsorted(begin, ends[full]) - np.searchsorted(begin, starts[full])
+
+
+def _short(own: np.ndarray, n_words: np.ndarray, run: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of fewer than `run` lines that count: their length, places and both hashes."""
+    total = np.concatenate([[0], np.cumsum(n_words)])
+    for k in range(1, min(run - 1, len(own)) + 1):
+        at = np.flatnonzero(total[k:] - total[:-k] >= least)
+        yield k, at, tk.spans_hash(own, at, at + k, tk.BASE_A), tk.spans_hash(own, at, at + k, tk.BASE_B)
+        if k == len(own) and not len(at):
+            at = np.zeros(1, dtype=np.int64)
+            yield k, at, tk.spans_hash(own, at, at + k, tk.BASE_A) ^ _WHOLE, tk.spans_hash(own, at, at + k, tk.BASE_B) ^ _WHOLE
+
+
+def _short_runs(run: int, least: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in tk.chunks(batch["text"]):
+                hashes, units = _units(c)
+                n_words = _n_words(c)
+                docs, hi, lo = [], [], []
+                for i in range(c.hi - c.lo):
+                    for _, _, one, two in _short(hashes[units[i] : units[i + 1]], n_words[units[i] : units[i + 1]], run, least):
+                        one, first = np.unique(one, return_index=True)
+                        hi.append(one)
+                        lo.append(two[first])
+                        docs.append(np.full(len(one), c.lo + i))
+                if docs:
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(hi).view(np.int64)), pa.array(np.concatenate(lo).view(np.int64))], names=["doc_id", "hi", "lo"])
+
+    return go
+
+
 def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in tk.chunks(batch["text"]):
@@ -89,24 +133,34 @@ def _runs(run: int, gram: int):
     return go
 
 
-def _delete(run: int):
+def _later(at: np.ndarray, known: pa.Array | None) -> np.ndarray:
+    """Which runs stand before in the text, or are known to."""
+    later = np.ones(len(at), dtype=bool)
+    later[np.unique(at, return_index=True)[1]] = False
+    if known is not None and len(known):
+        later |= np.isin(at.view(np.int64), known.to_numpy(zero_copy_only=False))
+    return later
+
+
+def _delete(run: int, least: int | None):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tk.chunks(batch["text"]):
                 starts, ends, firsts, full = lines(c)
                 hashes, units = _units(c)
+                n_words = _n_words(c) if least else None
                 texts, counts, removed = [], np.diff(units), []
                 for i in range(c.hi - c.lo):
                     own, known = hashes[units[i] : units[i + 1]], batch["runs"][c.lo + i].values
                     gone = np.zeros(len(own), dtype=bool)
                     if len(own) >= run:
-                        at = tk.windows_hash(own, run, tk.BASE_A)
-                        later = np.ones(len(at), dtype=bool)
-                        later[np.unique(at, return_index=True)[1]] = False
-                        if known is not None and len(known):
-                            later |= np.isin(at.view(np.int64), known.to_numpy(zero_copy_only=False))
+                        later = _later(tk.windows_hash(own, run, tk.BASE_A), known)
                         if later.any():
                             gone = covered(later, run)
+                    if least:
+                        for k, at, one, _ in _short(own, n_words[units[i] : units[i + 1]], run, least):
+                            for j in range(k):
+                                gone[at[_later(one, known)] + j] = True
                     removed.append(int(gone.sum()))
                     if not removed[-1]:
                         texts.append(batch["text"][c.lo + i].as_py())
@@ -121,7 +175,7 @@ def _delete(run: int):
     return go
 
 
-def dedup_lines(docs: DataFrame, *carry: str, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, *carry: str, run: int = RUN, gram: int = GRAM, least: int | None = None) -> DataFrame:
     """doc_id, the carried columns, text without later repeats, n_lines (lines with a word) and n_removed."""
     docs = documents(docs, *carry)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -130,10 +184,13 @@ def dedup_lines(docs: DataFrame, *carry: str, run: int = RUN, gram: int = GRAM)
     shared = posts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     seeds = posts.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
     runs = stage(hashed.join(seeds, "doc_id").mapInArrow(_runs(run, gram), f"doc_id {kind}, hi bigint, lo bigint"), "op2-runs")
-    least = runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hi", "lo", "least")
-    hits = runs.join(least, ["hi", "lo"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("hi").alias("runs"))
+    if least:
+        short = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_short_runs(run, least), f"doc_id {kind}, hi bigint, lo bigint")
+        runs = runs.union(stage(short, "op2-short"))
+    first = runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hi", "lo", "least")
+    hits = runs.join(first, ["hi", "lo"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("hi").alias("runs"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", text string, n_lines bigint, n_removed bigint"
-    return docs.join(hits, "doc_id", "left").mapInArrow(_delete(run), schema)
+    return docs.join(hits, "doc_id", "left").mapInArrow(_delete(run, least), schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

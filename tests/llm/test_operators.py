@@ -493,3 +493,24 @@ def test_secrets_have_no_limits():
     assert named("x_" * 70 + f"v = '{own[0]}'\nclient_secret = " + "x_" * 70 + "v\n") == [own[0]]
     assert named(f"client_secret = '{own[0]}' +\n    '{own[1]}'\n    + '{own[2]}'\n") == own[:3]
     assert named(f"client_secret = '{own[0]}'\n+other = '{own[1]}'\n") == [own[0]]
+
+
+def test_pipeline_lines_goes_by_content(spark):
+    """Repeats of one or two lines go from 50 words on, or as whole texts; shorter ones stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+
+    def line(n):
+        return " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+
+    long, left, right, short, own = line(50), line(30), line(20), line(49), [line(9) for _ in range(9)]
+    rows = [
+        (1, f"{own[0]}\n{long}\n{left}\n\n{right}\n{short}"), (2, f"{own[1]}\n{long}\n{own[2]}"), (3, f"{own[3]}\n{left}\n{right}\n{own[4]}"), (4, f"{own[5]}\n{short}\n{own[6]}"), (5, long), (6, f"{own[7]}\n{own[8]}"),
+        (7, f"{own[7]}\n{own[8]}"), (8, own[7]), (None, long), (None, f"{long}\n{own[0]}\n{long}"), (9, f"{right}\n{left}"), (9, f"{right}\n{left}"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, docs, "").collect()]
+    changed = {(2, rows[1][1]): f"{own[1]}\n{own[2]}", (3, rows[2][1]): f"{own[3]}\n{own[4]}", (5, long): None, (7, rows[6][1]): None, (None, rows[9][1]): f"{long}\n{own[0]}"}
+    expected = [(i, x, len(x)) for i, t in rows if (x := changed.get((i, t), t)) is not None]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
