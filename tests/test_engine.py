@@ -276,3 +276,12 @@ def test_cache_scans_only_what_changed(spark, files):
     once = findings.scan(tree, (R.CORPUS,)).join(tree.select(F.col("path").alias("file"), F.sha2("content", 256).alias("content_hash")), "file").withColumn("rule_hash", F.lit("1")).withColumn("title", F.lit("stored"))
     again = findings.cached_scan(files({"a": "Licensed under x", "b": "Licensed under z"}), once, "1", (R.CORPUS,))
     assert rows(again, "file", "title") == [("a", "stored"), ("b", "License line")]
+
+
+def test_rotation_guide_counts_all_findings(spark):
+    from gneiss.plans import catalogue
+
+    from .conftest import SF
+
+    lineitem = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert sum(r["n"] for r in catalogue.QUERIES["rotation_guide"](spark, SF).collect()) == lineitem.count()
