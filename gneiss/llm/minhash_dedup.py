@@ -7,24 +7,28 @@ has fewer than 17 of 40, and one of 0.85 fewer than 20, with a chance below 1e-6
 Prefix and skip merging keep the join small without losing candidates. Pairs held by one document only can't collide.
 Ordered by how many documents hold them, rarest first, the last `matches` - 1 pairs of a document are skipped: they are
 the long posting lists (a passage of many documents), and two documents with `matches` collisions also meet in a
-shorter list. Collisions are then counted on the whole signatures.
-
-A posting list never yields all its pairs. Its documents meet its first one only, and confirmed links join components.
-Lists that still hold several components are put together by their first document and go on:
-
-- In a list of SMALL documents or fewer, those of different components meet at once: SMALL pairs each at most.
-- A larger one has a centre, the shingles that most of its documents hold, and its documents meet the one that is
-  nearest to it, by what it misses of the centre and what it has outside of it. Two linked documents that neither miss
-  nor add a shingle in common are both linked to the nearest one: they are at least as far from the centre. All others
-  share missing or added shingles, the more the farther they are, so the documents are posted again under these: as
-  before only under the rarest, all but as many as they must share, less one. At most half of a list's documents have
-  any one of them, so lists end after a logarithm of their size.
-
-So a list of copies costs a few pairs for each copy, and no link between components is lost. Every link is confirmed on
-the full sets. Equal sets stand together from the start (one representative each).
-
-Defined results: null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one node,
-which links by any of its texts. A null doc_id gets a null component and is kept.
+shorter list. Collisions are then counted on the whole signatures, and every candidate is confirmed on full sets.
+
+A posting list never yields all its pairs. What joins its documents comes in three steps, whatever its length:
+
+1. Stars. The documents of a list meet its most common one (that whose pairs are held by most documents): links make
+   components, and each document's home is the most common document that it is linked with, or itself.
+2. Visits. A link that is still missing joins two components. Among the documents of some list, the shingles are ordered
+   by how many hold them, rarest first. Two linked sets share one of the first (1 - t) * n + 1 shingles of the larger and
+   (1 - t) / (1 + t) * 2n + 1 of the smaller, and at the first one that they share, at places i and j, what is left on
+   either side still suffices: min(n - i, m - j) >= t / (1 + t) * (n + m). Where that holds, the larger one visits, not
+   the smaller one, but its home: a thousand copies of one home are one visit.
+3. Relatives. A visitor that is not linked with the home p may be linked with one of those that live there. Of a set x,
+   D(x) is what it misses of p and what it has outside of it, and w(x) = 2 (missed + t * added) / (1 + t). If x and y
+   are linked, |D(x) & D(y)| >= (w(x) + w(y)) / 2 - |p| (1 - t) / (1 + t), and w(y) / 2 > |p| (1 - t) / (1 + t) as y
+   isn't linked with p; so more than w(x) / 2 elements of D(x) are in D(y), and x is posted under its rarest
+   |D(x)| - floor(w(x) / 2) ones only. Those that meet and belong to different components are confirmed.
+
+So a list of copies costs a few pairs for each copy, and no link between components is lost. Equal sets stand together
+from the start. The number of joins doesn't depend on the data, apart from the rounds of `components`.
+
+Defined results: null and empty texts have no shingles and link with nothing. Texts are the nodes: rows that share a
+doc_id but not the text are told apart. A null doc_id gets a null component, links with nothing and is kept.
 """
 
 from __future__ import annotations
@@ -41,7 +45,6 @@ from . import textkit as tk
 from .common import components, documents, stage, table
 
 COORDINATES = 40
-SMALL = 32
 WORDS, SIMILARITY, MATCHES = 5, 80, 17
 #: The query's contract: three words and 0.85, for which more matches can be asked.
 QUERY = {"words": 3, "similarity": 85, "matches": 20}
@@ -68,26 +71,32 @@ def _sets(c: tk.Chunk, words: int) -> tuple[list[np.ndarray], np.ndarray, np.nda
     return [np.unique(values[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)], values, firsts
 
 
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], type=pa.binary())
+
+
 def _signatures(words: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rest = [k for k in batch.schema.names if k != "text"]
             for c in tk.chunks(batch["text"]):
                 sets, values, firsts = _sets(c, words)
                 full = np.flatnonzero(np.diff(firsts) > 0)
                 low = np.empty((len(full), coordinates), dtype=np.int64)
                 if len(full):
                     for k in range(coordinates):
-                        low[:, k] = np.minimum.reduceat((values * _SEEDS[k]) >> tk.U(34), firsts[:-1][full]).astype(np.int64) | (k << 30)
+                        least = np.minimum.reduceat((values * _SEEDS[k]) >> tk.U(8), firsts[:-1][full])
+                        low[:, k] = (least | tk.U(k << 56)).view(np.int64)
                 sizes = np.zeros(c.hi - c.lo + 1, dtype=np.int64)
                 sizes[full + 1] = coordinates
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"].slice(c.lo, c.hi - c.lo),
+                        *(batch[k].slice(c.lo, c.hi - c.lo) for k in rest),
                         pa.array([len(x) for x in sets], type=pa.int64()),
-                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], type=pa.binary()),
+                        _digests(sets),
                         tk.list_array(low.ravel(), np.cumsum(sizes), pa.int64()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "signature"],
+                    names=[*rest, "n_shingles", "digest", "signature"],
                 )
 
     return run
@@ -98,16 +107,20 @@ def _full_sets(words: int):
         for batch in batches:
             for c in tk.chunks(batch["text"]):
                 sets = _sets(c, words)[0]
-                yield pa.RecordBatch.from_arrays([batch["digest"].slice(c.lo, c.hi - c.lo), tk.list_array(np.concatenate(sets).view(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int64())], names=["digest", "shingles"])
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                found = tk.list_array(np.concatenate(sets).view(np.int64), offsets, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, c.hi - c.lo), _digests(sets), found], names=["doc_id", "digest", "shingles"])
 
     return run
 
 
 def _confirm(similarity: int):
+    """(a, b) of the pairs that are linked, by their sets sa and sb."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch["sx"], batch["sy"], strict=True):
+            for x, y in zip(batch["sa"], batch["sb"], strict=True):
                 x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= similarity * (len(x) + len(y) - both))
@@ -117,78 +130,130 @@ def _confirm(similarity: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
-    """(rows, links). rows: doc_id, n_shingles, component_id for every row; links: confirmed (a, b) between the numbers
-    of distinct sets."""
-    docs = documents(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stage(docs.mapInArrow(_signatures(words, coordinates), f"doc_id {kind}, n_shingles bigint, digest binary, signature array<bigint>"), "op7-signatures")
-    sets = stage(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "op7-sets")
-    posts = sets.select("digest", "node", F.explode("signature").alias("post"))
+def _differences(similarity: int):
+    """For pairs (a, b) of a home and another set, by their sets sa and sb: whether they are linked, keys of what b
+    misses and adds, and how many of these it must be posted under."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, need, keys = [], [], []
+            for home, x, y, wanted in zip(batch["a"], batch["sa"], batch["sb"], batch["wanted"], strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(tk.U) for v in (x, y))
+                own = tk.mix(np.array([home.as_py()], dtype=np.int64).view(tk.U))
+                missed, added = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                both = len(x) - len(missed)
+                linked.append(100 * both >= similarity * (len(x) + len(y) - both))
+                need.append(len(missed) + len(added) - (100 * len(missed) + similarity * len(added)) // (100 + similarity))
+                if wanted.as_py():
+                    keys.append(np.concatenate([tk.mix(missed ^ own), tk.mix((added + tk.U(1)) ^ ~own)]).view(np.int64))
+                else:
+                    keys.append(np.zeros(0, dtype=np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            columns = [pa.array(linked, type=pa.bool_()), pa.array(need, type=pa.int64()), tk.list_array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *columns], names=["a", "b", "linked", "need", "keys"])
+
+    return run
+
+
+def _posts(sets: DataFrame, matches: int) -> DataFrame:
+    """(post, id, common): each set under the pairs of its signature that others hold, without the most common ones."""
+    posts = sets.select("id", F.explode("signature").alias("post"))
     held = posts.groupBy("post").agg(F.count("*").alias("held")).where("held > 1")
-    skip = F.size("order") - F.lit(matches - 1)
-    ranked = posts.join(held, "post").groupBy("digest").agg(F.min("node").alias("node"), F.array_sort(F.collect_list(F.struct("held", "post"))).alias("order"))
-    posts = stage(ranked.where(F.size("order") >= matches).select("digest", "node", F.explode(F.slice("order", 1, skip)).alias("x")).select("digest", "node", F.col("x.post").alias("post")), "op7-posts")
-    met = posts.select("digest").distinct()
-    texts = docs.join(rows.select("doc_id", "digest").join(sets.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").join(met, "digest", "left_semi").distinct(), "doc_id")
-    full = stage(texts.mapInArrow(_full_sets(words), "digest binary, shingles array<bigint>").dropDuplicates(["digest"]), "op7-full")
-    signed = sets.join(met, "digest", "left_semi").select("digest", "signature")
-
-    def colliding(pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures have enough matches: no link is likely among the others."""
-        one, two = (signed.select(F.col("digest").alias(k), F.col("signature").alias(f"g{k}")) for k in "xy")
-        return pairs.join(one, "x").join(two, "y").where(F.size(F.array_intersect("gx", "gy")) >= matches).drop("gx", "gy")
+    ranked = posts.join(held, "post").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "post"))).alias("order")).where(F.size("order") >= matches)
+    common = F.aggregate("order", F.lit(0).cast("long"), lambda total, x: total + x["held"])
+    return ranked.select("id", common.alias("common"), F.explode(F.slice("order", F.lit(1), F.size("order") - F.lit(matches - 1))).alias("x")).select("x.post", "id", "common")
+
+
+def _places(full: DataFrame, similarity: int) -> DataFrame:
+    """(token, id, n, reach): the shingles of each set that others hold and that may be the first one which it shares with a
+    linked set. Then that other set has at most `reach` shingles."""
+    t, theta = similarity / 100, similarity / (100 + similarity)
+    n = F.size("shingles").cast("long")
+    tokens = full.select("id", n.alias("n"), F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    order = tokens.join(held, "token").groupBy("id").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("order"))
+    # the shingles that no other set has come first
+    first = F.col("n") - F.size("order")
+    prefix = F.greatest(F.floor(F.col("n") * (1 - t) + 1e-6) + 1 - first, F.lit(0)).cast("int")
+    placed = order.select("id", "n", first.alias("first"), F.posexplode(F.slice("order", F.lit(1), prefix)).alias("place", "x"))
+    reach = F.floor((F.col("n") - F.col("first") - F.col("place")) / theta - F.col("n") + 1e-6)
+    return placed.select("x.token", "id", "n", reach.alias("reach")).where(F.col("reach") >= F.col("n") * t - 1e-6)
+
+
+def near_duplicates(docs: DataFrame, *carry: str, words: int = WORDS, similarity: int = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
+    """(rows, links). rows: doc_id, the carried columns, n_shingles, group_id (a number for each component of texts, null
+    without shingles) and component_id for every row; links: confirmed (a, b) between the numbers of distinct sets, enough of them to join each component."""
+    docs = documents(docs, *carry)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    rows = stage(docs.mapInArrow(_signatures(words, coordinates), f"{kinds}, n_shingles bigint, digest binary, signature array<bigint>"), "op7-signatures")
+    linkable = rows.where("n_shingles > 0 and doc_id is not null")
+    sets = stage(linkable.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()), "op7-sets")
+    posts = stage(_posts(sets, matches), "op7-posts")
+    met = posts.select("id").distinct()
+    chosen = sets.join(met, "id").select("id", "digest", F.col("least").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    sized = texts.mapInArrow(_full_sets(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, shingles array<bigint>")
+    full = stage(sized.join(chosen, ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "shingles"), "op7-full")
+    signed = sets.join(met, "id", "left_semi").select("id", "signature")
+
+    def both(pairs: DataFrame) -> DataFrame:
+        """pairs(a, b, ...) with their sets sa and sb."""
+        one, two = (full.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+        return pairs.join(one, "a").join(two, "b")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Links (a, b) among pairs(x, y, a, b) of digests and nodes, distinct."""
-        one, two = (full.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
-        return stage(colliding(pairs).join(one, "x").join(two, "y").select("a", "b", "sx", "sy").mapInArrow(_confirm(similarity), f"a {kind}, b {kind}"), name)
-
-    lists = posts.select(F.col("post").alias("list"), "digest", "node")
-    first = lists.groupBy("list").agg(F.min(F.struct("node", "digest")).alias("first"), F.count("*").alias("held")).where("held > 1").select("list", F.col("first.node").alias("b"), F.col("first.digest").alias("y"))
-    lists = stage(lists.join(first, "list").select("y", "digest", "node", "b").distinct(), "op7-lists")
-    links = confirmed(lists.where("y <> digest").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b"), "op7-stars")
-    lists, turn = lists.select(F.xxhash64("y").alias("list"), "digest", "node"), 0
-    while True:
-        turn += 1
-        groups = components(links, f"op7-{turn}")
-        grouped = stage(lists.join(groups, lists.node == groups.node, "left").select("list", "digest", lists.node, F.coalesce("component", lists.node).alias("group")), f"op7-grouped-{turn}")
-        mixed = stage(grouped.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held")).where("low <> high").select("list", "held"), f"op7-mixed-{turn}")
-        small = grouped.join(mixed.where(F.col("held") <= SMALL).select("list"), "list")
-        one = small.select("list", F.col("digest").alias("x"), F.col("node").alias("a"), F.col("group").alias("ga"))
-        two = small.select("list", F.col("digest").alias("y"), F.col("node").alias("b"), F.col("group").alias("gb"))
-        pairs = one.join(two, "list").where("ga < gb").select("x", "y", "a", "b").distinct()
-        large = mixed.where(F.col("held") > SMALL)
-        if large.isEmpty():
-            links = links.union(confirmed(pairs, f"op7-pairs-{turn}"))
-            break
-        members = stage(grouped.join(large, "list").join(full, "digest").select("list", "held", "digest", "node", "shingles"), f"op7-members-{turn}")
-        centre = members.select("list", "held", F.explode("shingles").alias("token")).groupBy("list", "held", "token").agg(F.count("*").alias("n")).where("2 * n > held").groupBy("list").agg(F.collect_list("token").alias("centre"))
-        placed = members.join(centre, "list", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
-        placed = placed.select("list", "digest", "node", F.size("centre").alias("held"), F.array_except("centre", "shingles").alias("missing"), F.array_except("shingles", "centre").alias("added"))
-        far = 100 * F.size("missing") + similarity * F.size("added")
-        placed = stage(placed.withColumn("far", far), f"op7-placed-{turn}")
-        nearest = placed.groupBy("list").agg(F.min(F.struct("far", "digest", "node")).alias("w")).select("list", F.col("w.far").alias("least"), F.col("w.digest").alias("y"), F.col("w.node").alias("b"))
-        near = placed.join(nearest, "list")
-        meet = near.where("digest <> y").select(F.col("digest").alias("x"), "y", F.col("node").alias("a"), "b").distinct()
-        links = stage(links.union(confirmed(pairs.unionByName(meet), f"op7-turn-{turn}")), f"op7-links-{turn}")
-        need = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("least") - (100 - similarity) * F.col("held")) / (100 + similarity)).cast("int"))
-        tokens = F.concat(F.transform("missing", lambda t: F.xxhash64(F.col("list"), F.lit("-"), t)), F.transform("added", lambda t: F.xxhash64(F.col("list"), F.lit("+"), t)))
-        again = near.select("list", "digest", "node", need.alias("need"), F.explode(tokens).alias("next"))
-        shared = again.groupBy("next").agg(F.count("*").alias("held")).where("held > 1")
-        order = again.join(shared, "next").groupBy("list", "digest").agg(F.min("node").alias("node"), F.min("need").alias("need"), F.array_sort(F.collect_list(F.struct("held", "next"))).alias("order")).where(F.size("order") >= F.col("need"))
-        lists = order.select("digest", "node", F.explode(F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).alias("x")).select(F.col("x.next").alias("list"), "digest", "node")
-    same = rows.where("n_shingles > 0").join(sets.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    twice = same.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("other")).where("a <> other")
-    links = links.union(twice.select("a", F.col("other").alias("b")))
+        """Links among distinct pairs(a, b): those whose signatures have enough matches and whose sets are alike."""
+        one, two = (signed.select(F.col("id").alias(k), F.col("signature").alias(f"g{k}")) for k in "ab")
+        close = pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("ga", "gb")) >= matches).select("a", "b")
+        return stage(both(close).select("a", "b", "sa", "sb").mapInArrow(_confirm(similarity), "a bigint, b bigint"), name)
+
+    # stars
+    first = posts.groupBy("post").agg(F.max(F.struct("common", "id")).alias("first"), F.count("*").alias("held")).where("held > 1").select("post", F.col("first.id").alias("a"))
+    links = confirmed(posts.join(first, "post").where("a <> id").select("a", F.col("id").alias("b")).distinct(), "op7-stars")
+    groups = components(links, "op7-stars")
+    known = posts.groupBy("id").agg(F.min("common").alias("common"))
+    rank = known.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "common", F.coalesce("component", "id").alias("component"))
+    near = links.union(links.select("b", "a")).toDF("id", "other").join(known.select(F.col("id").alias("other"), "common"), "other").select("id", "common", "other")
+    homes = near.union(known.select("id", "common", F.col("id").alias("other"))).groupBy("id").agg(F.max(F.struct("common", "other")).alias("x")).select("id", F.col("x.other").alias("home"))
+    living = stage(rank.join(homes, "id").select("id", "component", "home"), "op7-homes")
+
+    # visits
+    t = similarity / 100
+    placed = stage(_places(full, similarity).join(living, "id"), "op7-places")
+    at_home = placed.where(F.col("reach") >= F.col("n")).groupBy("token", "home", F.col("component").alias("home_component")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.max("reach").alias("top"))
+    visitors = placed.select("token", F.col("id").alias("b"), "n", "reach", "component")
+    suits = (F.col("component") != F.col("home_component")) & (F.col("smallest") <= F.least("reach", "n")) & (F.col("largest") >= F.col("n") * t - 1e-6) & (F.col("n") <= F.col("top"))
+    visits = visitors.join(at_home, "token").where(suits).select(F.col("home").alias("a"), "b").distinct()
+    many = living.where("home <> id").select(F.col("home").alias("a")).distinct().withColumn("wanted", F.lit(True))
+    visits = visits.join(many, "a", "left").select("a", "b", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    kinds = "a bigint, b bigint, linked boolean, need bigint, keys array<bigint>"
+    visited = stage(both(visits).select("a", "b", "sa", "sb", "wanted").mapInArrow(_differences(similarity), kinds), "op7-visits")
+    links = stage(links.union(visited.where("linked").select("a", "b")), "op7-links")
+
+    # relatives
+    groups = components(links, "op7-visits")
+    open_ = visited.where("not linked and size(keys) > 0").select("a", "b", F.explode("keys").alias("key"))
+    relatives = living.where("home <> id").select(F.col("home").alias("a"), F.col("id").alias("b")).join(open_.select("a").distinct(), "a").withColumn("wanted", F.lit(True))
+    kin = stage(both(relatives).select("a", "b", "sa", "sb", "wanted").mapInArrow(_differences(similarity), kinds), "op7-relatives")
+    keys = kin.select("b", "need", F.explode("keys").alias("key"))
+    held = keys.groupBy("key").agg(F.count("*").alias("held"))
+    rare = keys.join(held, "key").groupBy("b").agg(F.min("need").alias("need"), F.array_sort(F.collect_list(F.struct("held", "key"))).alias("order")).select(F.col("b").alias("a"), F.explode(F.slice("order", F.lit(1), F.col("need").cast("int"))).alias("x")).select("a", "x.key")
+    label = lambda k: groups.select(F.col("node").alias(k), F.col("component").alias(f"group_{k}"))
+    pairs = open_.select("b", "key").join(rare, "key").select("a", "b").distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = F.coalesce("group_a", "a") != F.coalesce("group_b", "b")
+    links = stage(links.union(confirmed(pairs.where(apart).select("a", "b"), "op7-kin")), "op7-all")
+
     groups = components(links, "op7-last")
-    nodes = sets.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    found = rows.join(nodes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id")).alias("component_id"))
-    return found, links
+    nodes = sets.select("digest", "least", "id").join(groups, sets.id == groups.node, "left").select("digest", "least", F.coalesce("component", "id").alias("component"))
+    smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = nodes.join(smallest, "component").select("digest", "component_id", F.col("component").alias("group_id"))
+    names = ["doc_id", *carry, "n_shingles", "group_id"]
+    out = rows.join(found, "digest", "left").select(*names, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out, links
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = near_duplicates(table(spark, sf_dir, "documents"), **QUERY)
+    rows = near_duplicates(table(spark, sf_dir, "documents"), **QUERY)[0].drop("group_id")
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

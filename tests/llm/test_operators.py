@@ -160,31 +160,41 @@ def brute_components(rows, n, similarity):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("small", [32, 6])
-def test_minhash_dedup(spark, clash, none, monkeypatch, small):
-    monkeypatch.setattr(minhash_dedup, "SMALL", small)
+def test_minhash_dedup(spark, clash, none):
     expected = brute_components(ROWS, 3, 85)
     found, _ = minhash_dedup.near_duplicates(clash, **minhash_dedup.QUERY)
     rows = found.collect()
     assert len(rows) == len(ROWS)
     assert {r["doc_id"]: r["component_id"] for r in rows} == expected | {None: None}
-    if small == 32:
-        assert minhash_dedup.near_duplicates(none)[0].count() == 0
+    assert minhash_dedup.near_duplicates(none)[0].count() == 0
 
 
 def test_crowd_of_near_copies(spark):
-    """Edited copies of one text, more than SMALL: few are linked to each, many to none."""
+    """Edited copies of one text and of its copies: few are linked to each, many to none, some only by a third."""
     rng = random.Random(3)
     base = [f"w{rng.randrange(3000)}" for _ in range(60)]
     rows = []
-    for i in range(90):
-        w = list(base)
+    for i in range(260):
+        w = list(base if i < 120 else rng.choice(rows)[1].split())
         for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4, 5))):
-            w[rng.randrange(60)] = f"w{rng.randrange(3000 if rng.random() < 0.6 else 5)}"
+            w[rng.randrange(len(w))] = f"w{rng.randrange(3000 if rng.random() < 0.6 else 5)}"
+        if i % 9 == 0:
+            del w[: rng.randrange(8)]
         rows.append((i, " ".join(w), "en", "s", 0))
     rng.shuffle(rows)
     found, _ = minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), **minhash_dedup.QUERY)
-    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(rows, 3, 85)
+    expected = brute_components(rows, 3, 85)
+    assert len(set(expected.values())) > 40
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
+
+
+def test_minhash_recall(spark):
+    """Components of a part of the small table equal those of all pairs, for the pipeline's words and similarity too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(400)
+    rows = [tuple(r) for r in docs.collect()]
+    for options, words_, similarity in ((minhash_dedup.QUERY, 3, 85), ({}, 5, 80)):
+        found, _ = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(rows, words_, similarity)
 
 
 def test_sainte_lague():
