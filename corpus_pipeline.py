@@ -34,14 +34,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id. Texts are told apart, not ids:
-    rows that share a doc_id go only where their texts are linked, rows without a doc_id or without words never."""
-    own = docs.select(*COLUMNS, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("digest"))).alias("node"))
-    rows, _ = minhash_dedup.near_duplicates(own.select(F.col("node").alias("doc_id"), "text"))
-    keep = rows.where("doc_id = component_id").select(F.col("doc_id").alias("node"), "n_shingles").distinct()
-    found = own.join(keep, "node")
-    first = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("x")).select("node.doc_id", "x.*")
-    return own.where("node is null").select(*COLUMNS).unionByName(found.where("n_shingles = 0").select(*COLUMNS)).unionByName(first.select(*COLUMNS))
+    """One document of each group of near duplicates stays, that of the smallest doc_id and then the smallest hash of its
+    text. Texts are told apart, not ids: rows that share a doc_id go only where their texts are linked, rows without a
+    doc_id or without words never. Of rows that are equal in doc_id and text, the one of the smallest lang, source and
+    n_chars stays."""
+    docs = docs.select(*COLUMNS)
+    keyed = docs.withColumn("near_key", F.xxhash64("text"))
+    rows, _ = minhash_dedup.near_duplicates(keyed, "near_key")
+    group = rows.where("doc_id is not null and n_shingles > 0").groupBy("group_id", "doc_id", "near_key").agg(F.count("*").alias("times"))
+    first = group.groupBy("group_id").agg(F.min(F.struct("doc_id", "near_key", "times")).alias("x")).select("x.*")
+    bare = rows.where("doc_id is not null and n_shingles = 0").select("doc_id", "near_key", F.lit(1).cast("long").alias("times")).distinct()
+    found = keyed.join(first.unionByName(bare), ["doc_id", "near_key"])
+    once = found.where("times = 1").select(*COLUMNS)
+    least = found.where("times > 1").groupBy("doc_id", "near_key").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
+    return docs.where("doc_id is null").unionByName(once).unionByName(least.select(*COLUMNS))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
