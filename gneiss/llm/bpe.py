@@ -7,8 +7,13 @@ encoding (merges run the same in each token whatever stands beside it, as long a
 crossing would also occur between the two alone), so each node has one such token, and the encoding of a shared
 prefix is computed once. Words end with a character of their own (`</w>`), an edge to a leaf.
 
-Text is cut where the tokenizer's splits can't reach across: at ASCII white space. Pieces met before come from a
-bounded cache of the worker. The vocabulary file is read by path on each executor; it isn't part of this repository.
+The trie is held as the sorted words, in which its nodes stand depth first: a word's path leaves that of the word before
+where the two differ. The walk keeps one stack with the last token of each node on the path, so its memory is linear in
+the longest word, whatever its length.
+
+Text is cut where the tokenizer's splits can't reach across: at ASCII white space. The distinct pieces of a chunk are
+looked up in a cache of bounded size; ids of whole texts are then gathered by numpy, and decoding takes the token of each
+id. The vocabulary file is read by path on each executor; it isn't part of this repository.
 
 Defined results: null and empty texts, and those of white space alone, have no tokens and decode to an empty string.
 """
@@ -21,7 +26,9 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +39,8 @@ END = "</w>"
 SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The tokenizer's split pattern; its white space is Unicode's.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+")
-CACHED = 400_000
+#: Bytes of a worker's caches of words and of pieces, each; pairs of tokens.
+CACHED, PAIRS = 24 << 20, 150_000
 
 
 def byte_letters() -> list[str]:
@@ -54,8 +62,8 @@ class Merges:
         self.vocab = vocab
         self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.own: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.longest = max(len(self.letters(t)) for t in vocab)
+        self.pairs: dict[int, bool] = {}
+        self.names = {i: t for t, i in vocab.items()}
         made: dict[str, list[tuple[str, str]]] = {}
         for pair in self.ranks:
             made.setdefault(pair[0] + pair[1], []).append(pair)
@@ -87,12 +95,14 @@ class Merges:
             self.own[token] = good
         return good
 
-    def follows(self, a: str, b: str) -> bool:
-        good = self.pairs.get((a, b))
+    def follows(self, a: int, b: int) -> bool:
+        key = a << 32 | b
+        good = self.pairs.get(key)
         if good is None:
-            if len(self.pairs) > CACHED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            good = self.pairs[a, b] = self._apart(a, b) if self.parts is not None else self.run(self.letters(a) + self.letters(b)) == [a, b]
+            x, y = self.names[a], self.names[b]
+            good = self.pairs[key] = self._apart(x, y) if self.parts is not None else self.run(self.letters(x) + self.letters(y)) == [x, y]
         return good
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
@@ -118,51 +128,85 @@ class Merges:
         return True
 
 
+class Ends:
+    """Tokens by the letters that they end with: those inside of words, or those at their ends (without `</w>`)."""
+
+    def __init__(self, tokens: dict[str, int]):
+        self.ids = tokens
+        #: Ends of longer tokens.
+        self.more = {t[k:] for t in tokens for k in range(1, len(t))}
+
+    def at(self, word: str, n: int) -> list[tuple[int, int]]:
+        """(start, id) of the tokens that end before place n of a word, the longest last."""
+        out, k, ids, more = [], n - 1, self.ids, self.more
+        while k >= 0:
+            end = word[k:n]
+            found = ids.get(end)
+            if found is not None:
+                out.append((k, found))
+            if end not in more:
+                break
+            k -= 1
+        return out
+
+
 class Trie:
     """Encodes many distinct words in one depth-first walk."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-
-    def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of each nonempty word of byte letters."""
-        root: dict[str, dict | str] = {}
-        for word in words:
-            node = root
-            for letter in word[:-1]:
-                below = node.get(letter)
-                if below is None:
-                    below = node[letter] = {}
-                node = below
-            node[word[-1] + END] = word
-        out: dict[str, list[str]] = {}
-        vocab, whole, follows, reach = self.merges.vocab, self.merges.whole, self.merges.follows, self.merges.longest - 1
-        walk = [("", [], iter(root.items()))]  # a prefix, the last tokens of all prefixes up to it, and its edges
-        while walk:
-            prefix, last, edges = walk[-1]
-            n = len(prefix)
-            for letter, below in edges:
-                leaf = isinstance(below, str)
-                for k in range(max(0, n - reach), n + 1):
-                    token = prefix[k:] + letter
-                    if token in vocab and whole(token) and (not k or follows(last[k - 1], token)):
-                        break
-                else:
-                    raise ValueError(f"no token ends {prefix}{letter!r}")
-                if not leaf:
-                    walk.append((prefix + letter, [*last, token], iter(below.items())))
+        whole = {t: i for t, i in merges.vocab.items() if merges.whole(t)}
+        self.inner = Ends({t: i for t, i in whole.items() if not t.endswith(END) or t == END})
+        self.outer = Ends({t[: -len(END)]: i for t, i in whole.items() if t.endswith(END) and t != END})
+        self.sizes = {i: len(t) for t, i in self.inner.ids.items()}
+
+    def encode(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Token ids, as 32-bit numbers, of each nonempty word of byte letters."""
+        follows, inner, outer, sizes = self.merges.follows, self.inner, self.outer, self.sizes
+        last: list[int] = []  # the last token of each prefix of the current path
+        out, before = {}, ""
+
+        def step(ends: Ends, word: str, n: int) -> tuple[int, int]:
+            for k, token in reversed(ends.at(word, n)):
+                if not k or follows(last[k - 1], token):
+                    return k, token
+            raise ValueError(f"no token ends {word[:n]!r}")
+
+        for word in sorted(words):
+            n, shared = len(word), 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
                     break
-                tokens = [token]
-                while k:
-                    token = last[k - 1]
-                    tokens.append(token)
-                    k -= len(token)
-                out[below] = tokens[::-1]
-            else:
-                walk.pop()
+                shared += 1
+            del last[min(shared, n - 1) :]
+            for depth in range(len(last) + 1, n):
+                last.append(step(inner, word, depth)[1])
+            k, token = step(outer, word, n)
+            ids = [token]
+            while k:
+                token = last[k - 1]
+                ids.append(token)
+                k -= sizes[token]
+            out[word] = np.array(ids[::-1], dtype=np.int32).tobytes()
+            before = word
         return out
 
 
+class Bounded(dict):
+    """A cache of byte strings that is emptied when it holds more than CACHED bytes."""
+
+    held = 0
+
+    def put(self, key: str, value: bytes) -> None:
+        self.held += len(key) + len(value) + 200
+        self[key] = value
+
+    def tidy(self) -> None:
+        if self.held > CACHED:
+            self.clear()
+            self.held = 0
+
+
 class Tokenizer:
     """A word-level BPE tokenizer file: lower case, split words, byte letters, word ends."""
 
@@ -171,20 +215,25 @@ class Tokenizer:
             data = json.load(f)
         self.vocab: dict[str, int] = dict(data["model"]["vocab"])
         self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
-        self.names = {i: t for t, i in (self.vocab | self.added).items()}
-        self.ids = {t: str(i).encode() for i, t in self.names.items()}
+        if any(x in t for t in self.added for x in " \t\n\v\f\r"):
+            raise ValueError("added tokens with white space can't be found in pieces of a text")
+        names = {i: t for t, i in (self.vocab | self.added).items()}
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], type=pa.string())
+        self.decimals = pa.array([str(i) for i in range(len(self.names))], type=pa.string())
         self.merges = Merges(self.vocab, (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]))
         self.trie = Trie(self.merges)
         self.letters = byte_letters()
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spaces = regex.compile(f"[{SPACES}]+")
-        self.known: dict[str, list[str]] = {}  # tokens of a word
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}  # ids and tokens of a piece, joined by spaces
+        self.known = Bounded()  # ids of a word
+        self.cache = Bounded()  # ids of a piece
 
     def words(self, piece: str) -> list[str]:
         """The words of a piece as byte letters; added tokens stand for themselves, after a NUL letter that is none."""
+        if piece.isascii() and piece.isalpha():
+            return [piece.lower()]
         out = []
-        for i, part in enumerate(self.specials.split(piece) if self.specials and "<|" in piece else [piece]):
+        for i, part in enumerate(self.specials.split(piece) if self.specials and self.specials.search(piece) else [piece]):
             if i % 2:
                 out.append("\0" + part)
                 continue
@@ -193,27 +242,39 @@ class Tokenizer:
                 out.append(word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()]))
         return out
 
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        """Puts pieces without ASCII white space into the cache."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        if len(self.known) > CACHED:
-            self.known.clear()
-        split = {p: self.words(p.decode("utf-8", "replace")) for p in pieces if p not in self.cache}
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Token ids, as 32-bit numbers, of each of some distinct pieces without ASCII white space."""
+        self.cache.tidy()
+        self.known.tidy()
+        split = {p: self.words(p) for p in pieces if p not in self.cache}
         new = {w for words in split.values() for w in words if w not in self.known and w[0] != "\0"}
-        self.known |= self.trie.encode(new)
+        for word, ids in self.trie.encode(new).items():
+            self.known.put(word, ids)
         for piece, words in split.items():
-            tokens = [t for w in words for t in ([w[1:]] if w[0] == "\0" else self.known[w])]
-            self.cache[piece] = (b" ".join([self.ids[t] for t in tokens]), " ".join(tokens).encode())
-
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """Decimal ids and tokens of a text whose pieces are learned, each joined by spaces."""
-        found = [self.cache[p] for p in text.split()]
-        return b" ".join([a for a, _ in found if a]), b" ".join([b for a, b in found if a])
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The file names no decoder, so tokens are joined by spaces."""
-        return " ".join(self.names[i] for i in ids)
+            self.cache.put(piece, b"".join([self.known[w] if w[0] != "\0" else np.int32(self.added[w[1:]]).tobytes() for w in words]))
+        return [self.cache[p] for p in pieces]
+
+    def encode(self, c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of a chunk, and the number of the first one of each document (and the end)."""
+        starts, ends, firsts = tk.words(c)
+        data = c.data[~tk.SPACE[c.data]]
+        places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+        found = self.pieces([p.decode("utf-8", "replace") for p in column.dictionary.to_pylist()])
+        which = column.indices.to_numpy(zero_copy_only=False)
+        sizes = np.array([len(x) >> 2 for x in found], dtype=np.int64)
+        pool, begin = np.frombuffer(b"".join(found), dtype=np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        own = sizes[which]
+        until = np.concatenate([[0], np.cumsum(own)])
+        return pool[np.arange(until[-1]) + np.repeat(begin[which] - until[:-1], own)], until[firsts]
+
+    def joined(self, names: pa.Array, ids: np.ndarray, firsts: np.ndarray) -> pa.Array:
+        """The names of each document's ids, joined by spaces."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), names.take(pa.array(ids))), " ")
+
+    def decode(self, ids: np.ndarray, firsts: np.ndarray) -> pa.Array:
+        """Texts of the ids of some documents. The file names no decoder, so tokens are joined by spaces."""
+        return self.joined(self.names, ids, firsts)
 
 
 @cache
@@ -221,21 +282,24 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def _digests(texts: pa.Array) -> pa.Array:
+    _, places, data = texts.buffers()
+    places, data = np.frombuffer(places, dtype=np.int32)[texts.offset :], memoryview(data or b"")
+    return pa.array([hashlib.sha256(data[places[i] : places[i + 1]]).hexdigest() for i in range(len(texts))], type=pa.string())
+
+
 def _encoded(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
             rest = [k for k in batch.schema.names if k != "text"]
-            for c in tk.chunks(batch["text"], 4 << 20):
-                texts = [c.text(i) for i in range(c.hi - c.lo)]
-                own.learn({p for t in texts for p in t.split()})
-                found = [own.encode(t) for t in texts]
-                counts = pa.array([a.count(b" ") + 1 if a else 0 for a, _ in found], type=pa.int64())
+            for c in tk.chunks(batch["text"], 2 << 20):
+                ids, firsts = own.encode(c)
                 if digest:
-                    columns = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in found]) for k in (0, 1)]
+                    columns = {"ids_sha256": _digests(own.joined(own.decimals, ids, firsts)), "decoded_sha256": _digests(own.decode(ids, firsts))}
                 else:
-                    columns = [pa.array([[int(i) for i in a.split()] for a, _ in found], type=pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*(batch[k].slice(c.lo, c.hi - c.lo) for k in rest), counts, *columns], names=[*rest, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids",))])
+                    columns = {"ids": tk.list_array(ids, firsts, pa.int32())}
+                yield pa.RecordBatch.from_arrays([*(batch[k].slice(c.lo, c.hi - c.lo) for k in rest), pa.array(np.diff(firsts)), *columns.values()], names=[*rest, "n_tokens", *columns])
 
     return run
 
@@ -256,7 +320,10 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([own.decode(x.as_py() or ()) for x in batch["ids"]], type=pa.string())], names=["doc_id", "text"])
+            ids = batch["ids"]
+            firsts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            texts = own.decode(ids.flatten().to_numpy(zero_copy_only=False), firsts)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], texts], names=["doc_id", "text"])
 
     df = df.select("doc_id", "ids")
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text string")

@@ -282,25 +282,56 @@ def test_bpe_equals_the_library(spark, clash, none):
     letters = "aàbcdehilmnoprstuwxyzABC'’.,!?0123ΣσςİıſK éèüß日本語한🎉👍́̈​\xa0\x1c\x85\t\n<|>_-#&©①Ⅷ٠ॐक्"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(600)]
     texts += ["I don't we're they'll 'S <|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "a" * 300, "ha" * 200, "antidisestablishmentarianism", *((t or "") for _, t, *_ in ROWS)]
-    for t in texts:
-        raw = t.encode()
-        own.learn(set(raw.split()))
-        ids, tokens = own.encode(raw)
-        e = library.encode(t, add_special_tokens=False)
-        assert ids.decode() == " ".join(map(str, e.ids)), t
-        assert tokens.decode() == library.decode(e.ids, skip_special_tokens=False) == own.decode(e.ids)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for c in tk.chunks(pa.array(texts), 5000):
+        ids, firsts = own.encode(c)
+        decoded = own.decode(ids, firsts).to_pylist()
+        for i, row in enumerate(range(c.lo, c.hi)):
+            assert ids[firsts[i] : firsts[i + 1]].tolist() == expected[row], texts[row]
+            assert decoded[i] == library.decode(expected[row], skip_special_tokens=False)
     out = bpe.encode(clash, bpe.vocabulary(), "source")
     assert out.count() == len(ROWS) and bpe.decode(out, bpe.vocabulary()).count() == len(ROWS)
     assert bpe.encode(none, bpe.vocabulary()).count() == 0
 
 
+def test_op8_query_equals_the_library(spark, tmp_path, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in bpe.op8_bpe(spark, str(tmp_path)).where("doc_id is not null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    sha, expected = lambda x: hashlib.sha256(x.encode()).hexdigest(), []
+    for i, t, *_ in ROWS:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        expected.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert got == sorted(r for r in expected if r[0] is not None)
+
+
+def test_unbroken_letters_take_linear_memory():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    own, library = bpe.Tokenizer(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    tracemalloc.start()
+    ids, _ = own.encode(next(tk.chunks(pa.array([text]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    part = text[:20_000]
+    assert own.encode(next(tk.chunks(pa.array([part]))))[0].tolist() == library.encode(part, add_special_tokens=False).ids
+    assert len(ids) > 100_000
+
+
 def test_follows_is_what_the_merges_say():
     m = bpe.Tokenizer(bpe.vocabulary()).merges
     rng, vocab = random.Random(0), list(m.vocab)
     plain = [t for t in vocab if not t.endswith(bpe.END)]
     for _ in range(3000):
         a, b = rng.choice(plain), rng.choice(vocab)
-        assert m.follows(a, b) == (m.run(m.letters(a) + m.letters(b)) == [a, b]), (a, b)
+        assert m.follows(m.vocab[a], m.vocab[b]) == (m.run(m.letters(a) + m.letters(b)) == [a, b]), (a, b)
     assert all(m.whole(t) == (m.run(m.letters(t)) == [t]) for t in rng.sample(vocab, 2000))
 
 
