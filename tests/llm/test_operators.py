@@ -18,7 +18,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, line_dedup, minhash_dedup, mixing, mpeg_audio, quality_rules, secret_scan, sharding, substring_dedup, toxicity
+from gneiss.llm import bpe, line_dedup, minhash_dedup, mixing, mpeg_audio, perplexity, quality_rules, secret_scan, sharding, substring_dedup, toxicity
 from gneiss.llm import textkit as tk
 
 from ..conftest import SF
@@ -364,7 +364,8 @@ def test_mpeg_damage_and_tables():
 
 
 def test_quality_base_and_bands(spark, clash, none):
-    rows = quality_rules.judge(clash, carry=("doc_id", "text")).collect()
+    assert quality_rules.judge(none, unit="characters").count() == 0
+    rows = quality_rules.judge(clash, carry=("doc_id", "text"), unit="characters").collect()
     assert len(rows) == len(ROWS)
     for r in rows:
         w = words(r["text"])
@@ -378,20 +379,57 @@ def test_quality_base_and_bands(spark, clash, none):
     assert quality_rules.judge(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    text = "".join(rng.choice(list("abc def\n"), 4000))
-    (c,) = tk.chunks(pa.array([text]))
-    own, _ = quality_rules.codes(c)
-    grams, counts = np.unique(own, return_counts=True)
-    p = np.exp(quality_rules.fit(grams.astype(np.int64), counts).dense().astype(float))
-    contexts = np.unique(grams >> quality_rules.BITS)
-    sums = p.reshape(-1, quality_rules.KINDS)[contexts].sum(1)
-    assert np.abs(sums - 1).max() < 0.05
-    points, kinds = [0x20] * 2 + [ord(x) for x in text], {}
-    for k in range(len(text)):
-        kinds.setdefault(tuple(points[k : k + 3]), int(own[k]))
-    assert len(set(kinds.values())) == len(grams)
+def brute_runs(texts, n):
+    counts, held = collections.Counter(), collections.Counter()
+    for x in texts:
+        own = [0] * (n - 1) + [ord(y) + 1 for y in x]
+        runs = [tuple(own[k : k + n]) for k in range(len(x))]
+        counts.update(runs)
+        held.update(set(runs))
+    return counts, held
+
+
+def test_runs_are_counted(spark):
+    rng = random.Random(0)
+    letters = [*"abc \n", *map(chr, range(0x4E00, 0x4E00 + 9000, 3))]
+    for pool in (letters[:6], letters):
+        texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 400))) for _ in range(40)]
+        (c,) = tk.chunks(pa.array(texts))
+        own, firsts = perplexity.points(c)
+        runs, n, held = perplexity.count_texts(own, np.diff(firsts))
+        counts, texts_of = brute_runs(texts, perplexity.ORDER)
+        assert {tuple(r): (a, b) for r, a, b in zip(runs.tolist(), n.tolist(), held.tolist(), strict=True)} == {r: (counts[r], texts_of[r]) for r in counts}
+
+
+def test_kneser_ney_sums_to_one(spark):
+    """After every context of the stored model, and after unseen ones, the probabilities of all symbols sum to one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.xxhash64("lang").alias("model"), "text")
+    rows = perplexity.fitted(docs).collect()
+    assert len(rows) == docs.where("length(text) > 0").select("model").distinct().count()
+    for row in rows:
+        model = perplexity.Model(row.asDict())
+        contexts = (model.orders[-1][2] * tk.U(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))[::37]
+        contexts = np.concatenate([contexts, contexts ^ tk.U(1 << 20), np.array([0, model.other], dtype=tk.U)])
+        symbols = np.arange(1, model.other + 1, dtype=tk.U)
+        keys = (contexts[:, None] << tk.U(perplexity.BITS) | symbols[None]).ravel()
+        assert np.abs(np.exp(model.logs(keys)).reshape(len(contexts), -1).sum(1) - 1).max() < 1e-6
+
+
+def test_models_in_blocks_judge_alike(spark, clash, monkeypatch):
+    once = {repr(r): r for r in quality_rules.judge(clash, carry=("doc_id", "lang"), unit="characters").collect()}
+    monkeypatch.setattr(perplexity, "BLOCK", 1)
+    assert {repr(r) for r in quality_rules.judge(clash, carry=("doc_id", "lang"), unit="characters").collect()} == set(once)
+
+
+def test_quality_recall(spark):
+    """Of the labelled documents in the held-out fifth, at least 0.9 of the bad ones go and at most 0.03 of the others."""
+    sf = "/root/testdata/sf0.1"
+    held = spark.read.parquet(f"{sf}/labels.parquet").where("crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", "quality")
+    rows = quality_rules.op10_quality_rules(spark, sf).join(held, "doc_id").select("doc_id", "n_words", "base_failed", "kept", "quality").collect()
+    passed = [r for r in rows if not r["base_failed"]]
+    bad, good = ([r["kept"] for r in passed if r["quality"] == q] for q in (0, 1))
+    assert len(bad) > 30 and 1 - sum(bad) / len(bad) >= 0.9
+    assert 1 - sum(good) / len(good) <= 0.03
 
 
 def test_perplexity_rejects_other_texts(spark):
@@ -399,8 +437,9 @@ def test_perplexity_rejects_other_texts(spark):
     v = ["the", "an", "tion", "ing", "er", "re", "and", "of"]
     clean = [(i, " ".join(rng.choice(v) + rng.choice(v) for _ in range(120)), "en", "s", 0) for i in range(60)]
     odd = [(100 + i, " ".join(rng.choice(v) + rng.choice(v) + "$$%#" + str(rng.randrange(10**6)) for _ in range(120)), "en", "s", 0) for i in range(2)]
-    rows = quality_rules.judge(spark.createDataFrame(clean + odd, SCHEMA)).collect()
-    assert {r["doc_id"] for r in rows if r["kept"]} == {i for i, *_ in clean}
+    for unit in ("words", "characters"):
+        rows = quality_rules.judge(spark.createDataFrame(clean + odd, SCHEMA), unit=unit).collect()
+        assert {r["doc_id"] for r in rows if r["kept"]} == {i for i, *_ in clean}
 
 
 def test_shuffled_words_are_rejected_in_every_language(spark):
