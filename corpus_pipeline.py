@@ -23,7 +23,7 @@ BLOCK = 512
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; of rows that share a doc_id, those that fail."""
-    return quality_rules.judge(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
+    return quality_rules.judge(docs, carry=COLUMNS, unit="characters").where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
