@@ -67,20 +67,21 @@ def advisory_severity(severity: str = "severity", fallback: str = "db_severity")
     return F.when(F.size(v3) > 0, F.coalesce(cvss_band(number_prefix(F.element_at(v3, 1)["score"])), F.lit("low"))).otherwise(F.coalesce(named, F.lit("high")))
 
 
-#: License families by substring, permissive ones first.
-PERMISSIVE = ("MIT", "ISC", "BSD", "APACHE", "UNLICENSE", "0BSD", "CC0", "ZLIB")
-STRONG_COPYLEFT = ("AGPL", "GPL", "SSPL")
-WEAK_COPYLEFT = ("LGPL", "MPL", "EPL", "CDDL")
+#: Licenses by what their upper-case name holds, permissive ones first; then common families.
+PERMISSIVE = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense", "WTFPL", "Zlib", "BlueOak-1.0.0", "PSF-2.0")
+COPYLEFT = ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "EUPL-1.2", "MPL-2.0", "CPAL-1.0", "OSL-3.0")
+PERMISSIVE_FAMILIES, COPYLEFT_FAMILIES = ("MIT", "BSD", "ISC", "APACHE"), ("GPL",)
 
 
 def license_class(license: Column | str) -> Column:
-    """ok, weak-copyleft, copyleft or unknown; a dual license with a permissive part is ok."""
+    """ok, copyleft or unknown; a dual license with a permissive part is ok."""
     upper = F.upper(license)
 
     def has(names: tuple[str, ...]) -> Column:
-        return F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(upper, n))
+        return F.exists(F.array(*(F.lit(n.upper()) for n in names)), lambda n: F.contains(upper, n))
 
-    return F.when(upper.isNull() | (upper == ""), "unknown").when(has(PERMISSIVE), "ok").when(has(WEAK_COPYLEFT), "weak-copyleft").when(has(STRONG_COPYLEFT), "copyleft").otherwise("unknown")
+    out = F.when(upper.isNull() | upper.isin("", "UNKNOWN", "UNLICENSED"), "unknown")
+    return out.when(has(PERMISSIVE), "ok").when(has(COPYLEFT), "copyleft").when(has(PERMISSIVE_FAMILIES), "ok").when(has(COPYLEFT_FAMILIES), "copyleft").otherwise("unknown")
 
 
 def entropy(text: Column | str) -> Column:

@@ -185,26 +185,38 @@ def taint_findings(flows: DataFrame) -> DataFrame:
     return flows.where("not sanitized").select(F.concat(F.lit("taint:"), "sink").alias("rule"), F.col("path").alias("file"), F.col("sink_line").alias("line"), F.lit("high").alias("confidence"), F.when(F.col("sink").isin("sql-injection", "command-injection", "eval"), "critical").otherwise("high").alias("severity"))
 
 
-#: Fixed values, in order: words of middleware that authenticate, and their kind.
-AUTH = (("passport", "passport"), ("jwt", "jwt"), ("bearer", "bearer"), ("session", "session"), ("apikey", "api-key"), ("api_key", "api-key"), ("oauth", "oauth"), ("auth", "auth"), ("protect", "auth"), ("login", "auth"))
-PUBLIC = ("/health", "/login", "/register", "/signup", "/public", "/status", "/ping", "/")
-SENSITIVE = ("admin", "user", "account", "payment", "billing", "password", "token", "delete", "config", "settings", "upload", "export")
+#: Words of middleware that authenticates, whatever their case.
+AUTH = ("auth", "authenticate", "authorize", "requireAuth", "ensureAuth", "verifyToken", "checkToken", "requireLogin", "isAuthenticated", "passport", "jwt", "session", "apiKey", "bearer", "login_required", "permission_required")
+#: The kind of authentication, by the first of these words.
+AUTH_TYPES = (("jwt", "JWT"), ("bearer", "JWT"), ("session", "Session"), ("apikey", "API Key"), ("api_key", "API Key"), ("passport", "Passport"), ("oauth", "OAuth"))
+#: Paths that need no authentication, with all below them.
+PUBLIC = ("/health", "/healthz", "/ready", "/readyz", "/ping", "/status", "/version", "/login", "/signup", "/register", "/auth", "/public", "/static", "/assets", "/docs", "/swagger", "/openapi", "/favicon", "/robots.txt", "/sitemap", "/", "/index")
+#: What a sensitive path holds.
+SENSITIVE = ("admin", "user", "account", "payment", "billing", "password", "token", "secret", r"api/v\d", "internal", "delete", "export", "import", "upload", "download", "config", "setting", "role", "permission")
+#: Ports that should not be public; images and passwords of data stores.
+SENSITIVE_PORTS = (22, 3306, 5432, 6379, 27017)
+STORES, WEAK = "postgres|mysql|mongo|redis|mariadb", "password|123|admin|root|default"
 
 
 def is_public(route: Column) -> Column:
-    """Equal to a public path, or below it. / is public, so a path that starts with // is too."""
-    return reduce(lambda a, p: a | (route == p) | F.startswith(route, F.lit(p + "/")), PUBLIC, F.lit(False))
+    """Equal to a public path, or below it, whatever the case. / is public, so a path that starts with // is too."""
+    low = F.lower(route)
+    return reduce(lambda a, p: a | (low == p) | F.startswith(low, F.lit(p + "/")), PUBLIC, F.lit(False))
 
 
 def endpoints(found: DataFrame) -> DataFrame:
-    """routes with auth, its kind, and a risk: the first that holds of the cascade."""
-    low, route = F.lower("handlers"), F.col("route")
-    kind = F.coalesce(*(F.when(F.contains(low, F.lit(w)), F.lit(k)) for w, k in AUTH))
-    sensitive = reduce(lambda a, w: a | F.contains(F.lower(route), F.lit(w)), SENSITIVE, F.lit(False))
-    writes = F.col("method").isin("POST", "PUT", "PATCH", "DELETE")
-    out = found.withColumn("auth_type", kind).withColumn("has_auth", kind.isNotNull()).withColumn("public", is_public(route))
-    risk = F.when(F.col("has_auth"), "low").when(F.col("public") & ~writes, "low").when(sensitive, "high").when(writes & ~F.col("public"), "high").when(writes, "medium").otherwise("medium")
-    return out.withColumn("sensitive", sensitive).withColumn("risk", risk)
+    """routes with auth, its kind, and a risk with its reason: the first that holds of a write or a sensitive path
+    without auth, an admin or internal path, and no auth."""
+    low, route, method = F.lower(F.coalesce("handlers", F.lit(""))), F.col("route"), F.col("method")
+    has_auth = F.col("has_auth")
+    kind = F.coalesce(*(F.when(F.contains(low, F.lit(w)), F.lit(k)) for w, k in AUTH_TYPES), F.lit("Unknown"))
+    out = found.withColumn("has_auth", reduce(lambda a, w: a | F.contains(low, F.lit(w.lower())), AUTH, F.lit(False)))
+    out = out.withColumn("auth_type", F.when(has_auth, kind)).withColumn("public", is_public(route)).withColumn("sensitive", F.lower(route).rlike("|".join(SENSITIVE)))
+    write = ~has_auth & method.isin("POST", "PUT", "PATCH", "DELETE")
+    admin = F.lower(route).rlike("admin|internal")
+    risk = F.when(write | (~has_auth & F.col("sensitive")), "high").when(admin, "medium").when(~has_auth, "medium").otherwise("low")
+    why = F.when(write, F.concat(method, F.lit(" endpoint without authentication"))).when(~has_auth & F.col("sensitive"), F.concat(F.lit("Sensitive path '"), route, F.lit("' without authentication"))).when(admin, "Admin endpoint — verify authorization checks")
+    return out.withColumn("risk", risk).withColumn("risk_reason", why)
 
 
 def unprotected(mapped: DataFrame) -> DataFrame:
@@ -241,11 +253,22 @@ def service_edges(services: DataFrame) -> DataFrame:
 
 
 def trust_boundaries(services: DataFrame) -> DataFrame:
-    """public (with ports), private (without) and data (stores by image), as sorted names."""
-    store = F.coalesce(F.col("image"), F.lit("")).rlike(r"(?i)postgres|mysql|mongo|redis|maria|elastic|cassandra")
-    open_ = F.size(F.coalesce("ports", F.array())) > 0
-    zone = F.when(store, "data").when(open_, "public").otherwise("private")
-    return services.groupBy(zone.alias("zone")).agg(F.array_sort(F.collect_set("name")).alias("services"))
+    """Services with ports (public), without (internal) and data stores by image (private, beside the other two): sorted
+    names, and risks in the order of the names: sensitive ports, stores with ports, weak passwords of stores."""
+    ports = F.coalesce("ports", F.array().cast("array<int>"))
+    open_, store = F.size(ports) > 0, F.coalesce(F.col("image"), F.lit("")).rlike(f"(?i){STORES}")
+    shown = F.when(F.exists(ports, lambda x: x.isin(*SENSITIVE_PORTS)), F.concat("name", F.lit(" exposes sensitive port(s): "), F.array_join(ports.cast("array<string>"), ", ")))
+    weak = F.exists(F.map_values(F.coalesce("environment", F.create_map().cast("map<string,string>"))), lambda v: v.rlike(f"(?i){WEAK}"))
+    reached = F.when(open_, F.concat("name", F.lit(" database port exposed publicly")))
+    guessed = F.when(weak, F.concat("name", F.lit(" may have default/weak credentials")))
+
+    def zone(which: Column, name: str, exposure: str, *risks: Column) -> DataFrame:
+        own = services.where(which).select("name", F.array_compact(F.array(*risks)).alias("risks") if risks else F.array().cast("array<string>").alias("risks"))
+        rows = own.groupBy().agg(F.array_sort(F.collect_list(F.struct("name", "risks"))).alias("x")).where(F.size("x") > 0)
+        return rows.select(F.lit(name).alias("boundary"), F.lit(exposure).alias("exposure"), F.col("x.name").alias("services"), F.flatten("x.risks").alias("risks"))
+
+    public, internal = zone(open_, "Public-facing services", "public", shown), zone(~open_, "Internal services", "internal")
+    return public.unionByName(internal).unionByName(zone(store, "Data layer", "private", reached, guessed))
 
 
 def band_overlap(matches: DataFrame, targets: DataFrame) -> DataFrame:

@@ -49,10 +49,11 @@ def _grade(total: Column) -> Column:
 
 
 def scorecard(found: DataFrame, has_lockfile: bool, tooling: int) -> DataFrame:
-    """Points for code, secrets, dependencies, infrastructure and tooling (0 to 15, given), their total and grade."""
+    """Points for code (all findings, by severity), secrets, dependencies, infrastructure and tooling (0 to 15, given),
+    their total and grade."""
     kind = F.col("category")
     n = found.agg(
-        *(F.count_if((F.col("severity") == s) & ~kind.isin("secrets", "dependency", "iac")).alias(s) for s in SEVERITIES[:4]),
+        *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES[:4]),
         *(F.count_if(kind == c).alias(c) for c in ("secrets", "dependency", "iac")),
     )
 
@@ -106,7 +107,11 @@ def replay_scoreboard(cases: DataFrame) -> DataFrame:
 
 
 def expected_found(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """expected(case, file_hint, rule_class) with caught: a finding's file ends with the hint and its rule contains the class."""
-    a, b = expected.alias("a"), found.select("file", "rule").distinct().alias("b")
-    hit = F.endswith(F.col("b.file"), F.col("a.file_hint")) & F.contains(F.col("b.rule"), F.col("a.rule_class"))
-    return a.join(b, hit, "left").groupBy("a.case", "a.file_hint", "a.rule_class").agg((F.count("b.file") > 0).alias("caught"))
+    """expected(case, file_hint, rule_class) with caught: a finding's file ends with the hint and its rule contains the
+    class. Distinct files, rules, hints and classes meet, not cases and findings."""
+    one = found.select("file", "rule").distinct()
+    hints, classes = expected.select("file_hint").distinct(), expected.select("rule_class").distinct()
+    files = one.select("file").distinct().join(hints, F.endswith("file", "file_hint"))
+    rules = one.select("rule").distinct().join(classes, F.contains("rule", "rule_class"))
+    caught = one.join(files, "file").join(rules, "rule").select("file_hint", "rule_class").distinct().withColumn("caught", F.lit(True))
+    return expected.join(caught, ["file_hint", "rule_class"], "left").select("case", "file_hint", "rule_class", F.coalesce("caught", F.lit(False)).alias("caught"))

@@ -49,20 +49,20 @@ def history_secrets(added: DataFrame) -> DataFrame:
     return added.withColumn("hit", tests).where("hit is not null").select(F.concat(F.lit("history:"), "hit.slug").alias("rule"), "hit.severity", "hash", "file", "ordinal", mask_secret("hit.value").alias("snippet"))
 
 
-#: Fixed order: a line is reported for the first of these that it matches.
+#: Fixed values, in order: a line is reported for the first of these that it matches.
 MONITOR = (
-    ("sql-error", "high", r"sql syntax|sqlstate|ora-[0-9]{5}|syntax error at or near"),
-    ("stack-trace", "medium", r"traceback \(most recent|at [a-z0-9_.$]+\([a-z0-9_]+\.(java|js|ts):[0-9]+"),
-    ("ssrf-attempt", "high", r"169\.254\.169\.254|metadata\.google\.internal"),
-    ("auth-failure", "medium", r"authentication fail|login fail|invalid (password|credentials)|\b401\b"),
-    ("authz-failure", "medium", r"access denied|permission denied|forbidden|\b403\b"),
-    ("path-traversal", "high", r"\.\./\.\./|%2e%2e%2f"),
-    ("xss-attempt", "high", r"<script|javascript:"),
-    ("rate-limit", "low", r"too many requests|rate limit|\b429\b"),
-    ("secret-leak", "critical", r"(password|secret|token|api_?key) ?[:=] ?[\"']?[a-z0-9+/_.=-]{8,}"),
-    ("memory-error", "high", r"out of memory|heap limit|segmentation fault"),
-    ("cmd-injection", "critical", r"; *(cat|ls|id|whoami|wget|curl) "),
-    ("deserialization", "high", r"invalidclassexception|unpicklingerror"),
+    ("sql-error", "high", r"SQL\s*(?:syntax\s*)?error|ORA-\d+|PG::\w+Error"),
+    ("stack-trace", "medium", r"stack\s*trace|at\s+\w+\s+\(.*:\d+:\d+\)"),
+    ("ssrf-attempt", "high", r"ECONNREFUSED|ETIMEDOUT.*(?:internal|169\.254|10\.|172\.(?:1[6-9]|2\d|3[01]))"),
+    ("auth-failure", "medium", r"unauthorized|401.*(?:bearer|token|jwt)"),
+    ("authz-failure", "medium", r"403.*forbidden|access\s*denied"),
+    ("path-traversal", "high", r"\.\./|\.\.\\|path\s*traversal|directory\s*traversal"),
+    ("xss-attempt", "high", r"<script|javascript:|on\w+\s*=|alert\s*\("),
+    ("rate-limit", "low", r"rate\s*limit|too\s*many\s*requests|429"),
+    ("secret-leak", "critical", r"(?:password|secret|token|key)\s*[:=]\s*\S+"),
+    ("memory-error", "critical", r"segfault|SIGSEGV|buffer\s*overflow|heap\s*corruption"),
+    ("cmd-injection", "critical", r"exec|spawn|child_process.*(?:;|&&|\|\||`)"),
+    ("deserialization", "high", r"deserializ|unmarshal|pickle\.load|readObject"),
 )
 
 
@@ -74,18 +74,22 @@ def monitor_hit(line: Column | str = "line") -> Column:
 
 def monitor(lines: DataFrame) -> DataFrame:
     """Alerts of a table or stream of log lines."""
-    return lines.withColumn("_hit", monitor_hit()).where("_hit is not null").select(*lines.columns, "_hit.rule", "_hit.severity")
+    some = lines.where(F.col("line").rlike(regex("|".join(p for _, _, p in MONITOR))))
+    # the array keeps the optimizer from testing the patterns once for the filter and once more for the result
+    hit = some.withColumn("_hit", F.explode(F.array(monitor_hit())))
+    return hit.select(*lines.columns, "_hit.rule", "_hit.severity")
 
 
 def dast_verdict(responses: DataFrame) -> DataFrame:
-    """responses with verdict and severity: the first that holds of an indicator in the body, a delay, a redirect to the
-    payload's host, and a server error that speaks of a database."""
-    body = F.coalesce("body", F.lit(""))
-    shown = F.col("detect_regex").isNotNull() & F.expr("body rlike detect_regex")
-    host = F.regexp_extract("payload_value", r"^(?:https?:)?//([^/:?#]+)", 1)
-    moved = F.col("status").between(300, 399) & (host != "") & F.contains(F.coalesce("location_header", F.lit("")), host)
-    broken = (F.col("status") == 500) & body.rlike(r"(?i)sql|database|query|syntax")
-    verdict = F.when(shown, "indicator").when(F.col("elapsed_ms") > 4500, "delay").when(moved, "redirect").when(broken, "server-error")
+    """responses(payload_name, category, detect_regex, status, body, elapsed_ms, location_header) with verdict and
+    vulnerable: the first that holds of an indicator in the body, the delay of a time-based payload, a redirect to another
+    host, and a server error that speaks of a database."""
+    body, location = F.coalesce("body", F.lit("")), F.coalesce("location_header", F.lit(""))
+    shown = F.coalesce(F.expr("coalesce(body, '') rlike detect_regex"), F.lit(False))
+    late = F.contains("payload_name", F.lit("Time-based")) & (F.col("elapsed_ms") > 4500)
+    moved = (F.col("category") == "redirect") & F.col("status").isin(301, 302, 303, 307, 308) & (F.contains(location, F.lit("evil.com")) | F.startswith(location, F.lit("//")))
+    broken = (F.col("category") == "sqli") & (F.col("status") == 500) & body.rlike(r"(?i)sql|syntax|query|database|ORA-|PG::")
+    verdict = F.when(shown, "indicator").when(late, "delay").when(moved, "redirect").when(broken, "server-error")
     return responses.withColumn("verdict", verdict).withColumn("vulnerable", F.col("verdict").isNotNull())
 
 

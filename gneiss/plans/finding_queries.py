@@ -126,11 +126,11 @@ def verdict_dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dismissed(findings(spark, sf_dir), verdicts(spark, sf_dir))
 
 
-@query("chain_resolve", f"""{W}, m AS (SELECT o_orderkey AS position, unnest([0, 1, 2]) AS pos, o_orderkey * 8 + unnest([1, 2, 1]) AS k FROM orders WHERE o_orderkey < 3000),
+@query("chain_resolve", f"""{W}, m AS (SELECT o_orderkey AS position, unnest([0, 1, 2]) AS pos, o_orderkey * 8 + unnest([1, 2, 1]) AS k FROM orders),
 r AS (SELECT m.position, m.pos, f.id FROM m JOIN (SELECT DISTINCT 'K' || (ordinal // 1000000000) AS id, ordinal // 1000000000 AS k FROM findings) f ON f.k = m.k)
 SELECT 'CHAIN-' || CASE WHEN position + 1 < 1000 THEN lpad((position + 1)::VARCHAR, 3, '0') ELSE (position + 1)::VARCHAR END AS id, string_agg(id, ',' ORDER BY pos) AS members FROM r GROUP BY position HAVING count(*) >= 2""")
 def chain_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = read(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("position"))
+    chains = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"))
     pairs = F.array(*(F.struct(F.lit(p).alias("pos"), F.concat(F.lit("K"), (F.col("position") * 8 + k).cast("string")).alias("finding_id")) for p, k in ((0, 1), (1, 2), (2, 1))))
     members = chains.select("position", F.explode(pairs).alias("m")).select("position", "m.pos", "m.finding_id")
     found = findings(spark, sf_dir).select(F.concat(F.lit("K"), F.expr("ordinal div 1000000000").cast("string")).alias("id")).distinct()
@@ -150,31 +150,31 @@ def category_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.category_top(findings(spark, sf_dir))
 
 
-@query("trust_score", f"{W} SELECT file, {TENTHS.format('sum(cost)::BIGINT')} AS trust_score FROM findings WHERE ordinal % 17 = 0 GROUP BY file")
+@query("trust_score", f"{W} SELECT file, {TENTHS.format('sum(cost)::BIGINT')} AS trust_score FROM findings GROUP BY file")
 def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.history_rows(findings(spark, sf_dir).where("ordinal % 17 = 0"), "file").select("file", "trust_score")
+    return S.history_rows(findings(spark, sf_dir), "file").select("file", "trust_score")
 
 
-@query("trust_score_chains", f"{W} SELECT {TENTHS.format('coalesce(sum(c), 0)::BIGINT')} AS trust_score FROM (SELECT cost AS c FROM findings WHERE ordinal % 9001 = 0 UNION ALL SELECT CASE rank WHEN 0 THEN 15 WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END FROM findings WHERE ordinal % 20011 = 0)")
+@query("trust_score_chains", f"{W} SELECT {TENTHS.format('coalesce(sum(c), 0)::BIGINT')} AS trust_score FROM (SELECT cost AS c FROM findings UNION ALL SELECT CASE rank WHEN 0 THEN 15 WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END FROM findings WHERE ordinal % 20011 = 0)")
 def trust_score_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = findings(spark, sf_dir)
-    return S.trust_score(f.where("ordinal % 9001 = 0"), f.where("ordinal % 20011 = 0"))
+    return S.trust_score(f, f.where("ordinal % 20011 = 0"))
 
 
-@query("scorecard", f"""{W}, n AS (SELECT count(*) FILTER (rank = 0 AND k = '') AS c, count(*) FILTER (rank = 1 AND k = '') AS h, count(*) FILTER (rank = 2 AND k = '') AS m, count(*) FILTER (rank = 3 AND k = '') AS l, count(*) FILTER (k = 'secrets') AS s, count(*) FILTER (k = 'dependency') AS d, count(*) FILTER (k = 'iac') AS i
-  FROM (SELECT rank, CASE category WHEN 'AF' THEN 'secrets' WHEN 'RF' THEN 'dependency' WHEN 'NO' THEN 'iac' ELSE '' END AS k FROM findings WHERE ordinal % 12007 = 0)),
+@query("scorecard", f"""{W}, n AS (SELECT count(*) FILTER (rank = 0) AS c, count(*) FILTER (rank = 1) AS h, count(*) FILTER (rank = 2) AS m, count(*) FILTER (rank = 3) AS l, count(*) FILTER (k = 'secrets') AS s, count(*) FILTER (k = 'dependency') AS d, count(*) FILTER (k = 'iac') AS i
+  FROM (SELECT rank, CASE category WHEN 'AF' THEN 'secrets' WHEN 'RF' THEN 'dependency' WHEN 'NO' THEN 'iac' ELSE '' END AS k FROM findings)),
 p AS (SELECT round(greatest(30 - 10 * c - 5 * h - 2 * m - 0.5 * l, 0))::BIGINT AS code, greatest(20 - 10 * s, 0)::BIGINT AS secret_points, greatest(20 - 3 * d, 0)::BIGINT AS dependency_points, greatest(15 - 3 * i, 0)::BIGINT AS iac_points, 9::BIGINT AS tooling FROM n),
 t AS (SELECT *, code + secret_points + dependency_points + iac_points + tooling AS total FROM p) SELECT *, CASE WHEN total >= 90 THEN 'A+' WHEN total >= 80 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 60 THEN 'C' WHEN total >= 50 THEN 'D' ELSE 'F' END AS grade FROM t""")
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("category") == "AF", "secrets").when(F.col("category") == "RF", "dependency").when(F.col("category") == "NO", "iac").otherwise("")
-    return S.scorecard(findings(spark, sf_dir).where("ordinal % 12007 = 0").withColumn("category", kind), True, 9)
+    return S.scorecard(findings(spark, sf_dir).withColumn("category", kind), True, 9)
 
 
-_HISTORY = f"{W}, h AS (SELECT scan_id, {_COUNTS}, {TENTHS.format('sum(cost)::BIGINT')} AS trust_score FROM findings WHERE ordinal % 191 = 0 GROUP BY scan_id)"
+_HISTORY = f"{W}, h AS (SELECT scan_id, {_COUNTS}, {TENTHS.format('sum(cost)::BIGINT')} AS trust_score FROM findings GROUP BY scan_id)"
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.history_rows(findings(spark, sf_dir).where("ordinal % 191 = 0"))
+    return S.history_rows(findings(spark, sf_dir))
 
 
 @query("history_rows", f"{_HISTORY} SELECT * FROM h")
@@ -229,11 +229,11 @@ def replay_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.replay_scoreboard(cases)
 
 
-@query("expected_found", f"""{W}, e AS (SELECT p_partkey AS case_id, (p_partkey % 60)::VARCHAR AS hint, 'r' || (p_partkey % 50) AS cls FROM part WHERE p_partkey < 200), f AS (SELECT DISTINCT file, rule FROM findings WHERE ordinal % 11 = 0)
-SELECT case_id, bool_or(f.file IS NOT NULL) AS caught FROM e LEFT JOIN f ON f.file LIKE '%' || e.hint AND contains(f.rule, e.cls) GROUP BY case_id""")
+@query("expected_found", f"""{W}, e AS (SELECT p_partkey AS case_id, (p_partkey % 60)::VARCHAR AS hint, 'r' || (p_partkey % 50) AS cls FROM part), f AS (SELECT DISTINCT file, rule FROM findings), k AS (SELECT DISTINCT hint, cls FROM e), c AS (SELECT hint, cls FROM k WHERE EXISTS (SELECT 1 FROM f WHERE suffix(f.file, k.hint) AND contains(f.rule, k.cls)))
+SELECT case_id, (hint, cls) IN (SELECT (hint, cls) FROM c) AS caught FROM e""")
 def expected_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("case"), (F.col("p_partkey") % 60).cast("string").alias("file_hint"), F.concat(F.lit("r"), (F.col("p_partkey") % 50).cast("string")).alias("rule_class"))
-    return S.expected_found(e, findings(spark, sf_dir).where("ordinal % 11 = 0")).select(F.col("case").alias("case_id"), "caught")
+    e = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("case"), (F.col("p_partkey") % 60).cast("string").alias("file_hint"), F.concat(F.lit("r"), (F.col("p_partkey") % 50).cast("string")).alias("rule_class"))
+    return S.expected_found(e, findings(spark, sf_dir)).select(F.col("case").alias("case_id"), "caught")
 
 
 def policy_rules(spark: SparkSession) -> DataFrame:
@@ -330,7 +330,7 @@ def deps_by_ecosystem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.by_ecosystem(D.flag_vulnerable(d, D.vulnerable(d, advisories(spark, sf_dir))))
 
 
-@query("license_class", f"WITH {DEPS} SELECT CASE WHEN license = '' THEN 'unknown' WHEN regexp_matches(license, 'MIT|ISC|BSD|Apache', 'i') THEN 'ok' WHEN regexp_matches(license, 'LGPL|MPL|EPL|CDDL', 'i') THEN 'weak-copyleft' WHEN regexp_matches(license, 'GPL|SSPL', 'i') THEN 'copyleft' ELSE 'unknown' END AS license_class, count(*) AS n FROM deps GROUP BY 1")
+@query("license_class", f"WITH {DEPS} SELECT CASE WHEN license = '' THEN 'unknown' WHEN regexp_matches(license, 'MIT|ISC|BSD|Apache', 'i') THEN 'ok' WHEN regexp_matches(license, 'GPL|MPL-2.0', 'i') THEN 'copyleft' ELSE 'unknown' END AS license_class, count(*) AS n FROM deps GROUP BY 1")
 def license_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.license_buckets(deps(spark, sf_dir))
 
@@ -388,9 +388,9 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.tickets(findings(spark, sf_dir))
 
 
-@query("markdown_sections", f"{W} SELECT rank::BIGINT AS rank, severity, string_agg('- **' || title || '** `' || file || ':' || line || '`', chr(10) ORDER BY ordinal) AS body FROM findings WHERE ordinal % 50 = 0 GROUP BY rank, severity")
+@query("markdown_sections", f"{W} SELECT rank::BIGINT AS rank, severity, string_agg('- **' || title || '** `' || file || ':' || line || '`', chr(10) ORDER BY ordinal) AS body FROM findings GROUP BY rank, severity")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.markdown(findings(spark, sf_dir).where("ordinal % 50 = 0"))
+    return X.markdown(findings(spark, sf_dir))
 
 
 @query("notify_payload")

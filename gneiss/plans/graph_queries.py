@@ -96,17 +96,19 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     route = F.element_at(F.array(*map(F.lit, ("/admin/users", "/health", "/items", "/payment/new", "//odd", "/public/a"))), (k % 6 + 1).cast("int"))
-    return G.endpoints(c.select(F.concat(F.lit("f"), (k % 500).cast("string")).alias("path"), F.element_at(F.array(*map(F.lit, ("GET", "POST", "PUT", "DELETE"))), (k % 4 + 1).cast("int")).alias("method"), route.alias("route"), F.when(k % 5 == 0, "requireAuth, h").otherwise("h").alias("handlers"), k.alias("line")))
+    return G.endpoints(c.select(F.concat(F.lit("f"), (k % 500).cast("string")).alias("path"), F.element_at(F.array(*map(F.lit, ("GET", "POST", "PUT", "DELETE"))), (k % 4 + 1).cast("int")).alias("method"), route.alias("route"), F.when(k % 5 == 0, "requireAuth, h").when(k % 7 == 0, "Passport.authenticate('jwt')").when(k % 11 == 0, "apiKey, session").otherwise("h").alias("handlers"), k.alias("line")))
 
 
-_ENDPOINTS = """WITH c AS (SELECT c_custkey AS line, 'f' || (c_custkey % 500) AS path, ['GET', 'POST', 'PUT', 'DELETE'][c_custkey % 4 + 1] AS method, ['/admin/users', '/health', '/items', '/payment/new', '//odd', '/public/a'][c_custkey % 6 + 1] AS route, c_custkey % 5 = 0 AS has_auth FROM customer),
-e AS (SELECT *, route IN ('/health', '/public/a', '//odd') AS pub, regexp_matches(route, 'admin|user|payment') AS sens, method <> 'GET' AS wr FROM c),
-m AS (SELECT *, CASE WHEN has_auth THEN 'low' WHEN pub AND NOT wr THEN 'low' WHEN sens THEN 'high' WHEN wr AND NOT pub THEN 'high' ELSE 'medium' END AS risk FROM e)"""
+_ENDPOINTS = """WITH c AS (SELECT c_custkey AS line, 'f' || (c_custkey % 500) AS path, ['GET', 'POST', 'PUT', 'DELETE'][c_custkey % 4 + 1] AS method, ['/admin/users', '/health', '/items', '/payment/new', '//odd', '/public/a'][c_custkey % 6 + 1] AS route,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Unknown' WHEN c_custkey % 7 = 0 THEN 'JWT' WHEN c_custkey % 11 = 0 THEN 'Session' END AS auth_type FROM customer),
+e AS (SELECT *, auth_type IS NOT NULL AS has_auth, route IN ('/health', '/public/a', '//odd') AS pub, regexp_matches(route, 'admin|user|payment') AS sens, method <> 'GET' AS wr, contains(route, 'admin') AS adm FROM c),
+m AS (SELECT *, CASE WHEN NOT has_auth AND (wr OR sens) THEN 'high' WHEN adm THEN 'medium' WHEN NOT has_auth THEN 'medium' ELSE 'low' END AS risk,
+  CASE WHEN NOT has_auth AND wr THEN method || ' endpoint without authentication' WHEN NOT has_auth AND sens THEN 'Sensitive path ''' || route || ''' without authentication' WHEN adm THEN 'Admin endpoint — verify authorization checks' END AS why FROM e)"""
 
 
-@query("endpoint_risk", f"{_ENDPOINTS} SELECT line, has_auth, pub AS public, risk FROM m")
+@query("endpoint_risk", f"{_ENDPOINTS} SELECT line, has_auth, auth_type, pub AS public, risk, why AS risk_reason FROM m")
 def endpoint_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return endpoints(spark, sf_dir).select("line", "has_auth", "public", "risk")
+    return endpoints(spark, sf_dir).select("line", "has_auth", "auth_type", "public", "risk", "risk_reason")
 
 
 @query("endpoint_unprotected", f"{_ENDPOINTS} SELECT line FROM m WHERE NOT has_auth AND NOT pub AND sens")
@@ -135,7 +137,7 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("svc-"), F.lpad(k.cast("string"), 2, "0"))
     other = F.concat(F.lit("svc-"), F.lpad(((k * 3 + 1) % 25).cast("string"), 2, "0"))
     value = F.when(k % 3 == 0, F.concat(F.lit("http://"), other, F.lit(":80"))).when(k % 3 == 1, F.lit("postgres://u:p@db.example.org:5432/x")).otherwise(F.lit("plain"))
-    return n.select(name.alias("name"), F.when(k % 4 == 0, "postgres:16").otherwise("app").alias("image"), F.when(k % 2 == 0, F.array(F.lit(80))).otherwise(F.array().cast("array<int>")).alias("ports"), F.create_map(F.lit("URL"), value).alias("environment"), F.when(k % 5 == 0, F.array(other)).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    return n.select(name.alias("name"), F.when(k % 4 == 0, "postgres:16").otherwise("app").alias("image"), F.when(k % 6 == 0, F.array(F.lit(80), F.lit(5432))).when(k % 2 == 0, F.array(F.lit(80))).otherwise(F.array().cast("array<int>")).alias("ports"), F.create_map(F.lit("URL"), value).alias("environment"), F.when(k % 5 == 0, F.array(other)).otherwise(F.array().cast("array<string>")).alias("depends_on"))
 
 
 _SERVICES = "WITH s AS (SELECT n_nationkey AS k, 'svc-' || lpad(n_nationkey::VARCHAR, 2, '0') AS name, 'svc-' || lpad(((n_nationkey * 3 + 1) % 25)::VARCHAR, 2, '0') AS other FROM nation)"
@@ -146,9 +148,11 @@ def service_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.service_edges(services(spark, sf_dir))
 
 
-@query("trust_boundaries", f"{_SERVICES} SELECT CASE WHEN k % 4 = 0 THEN 'data' WHEN k % 2 = 0 THEN 'public' ELSE 'private' END AS zone, string_agg(name, ',' ORDER BY name) AS services FROM s GROUP BY 1")
+@query("trust_boundaries", f"""{_SERVICES}, p AS (SELECT *, k % 2 = 0 AS open, k % 4 = 0 AS store FROM s),
+r AS (SELECT name, 1 AS z, CASE WHEN k % 6 = 0 THEN name || ' exposes sensitive port(s): 80, 5432' END AS risk FROM p WHERE open UNION ALL SELECT name, 2, NULL FROM p WHERE NOT open UNION ALL SELECT name, 3, CASE WHEN open THEN name || ' database port exposed publicly' END FROM p WHERE store)
+SELECT ['Public-facing services', 'Internal services', 'Data layer'][z] AS boundary, ['public', 'internal', 'private'][z] AS exposure, string_agg(name, ',' ORDER BY name) AS services, coalesce(string_agg(risk, ';' ORDER BY name), '') AS risks FROM r GROUP BY z""")
 def trust_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.trust_boundaries(services(spark, sf_dir)).select("zone", F.array_join("services", ",").alias("services"))
+    return G.trust_boundaries(services(spark, sf_dir)).select("boundary", "exposure", F.array_join("services", ",").alias("services"), F.array_join("risks", ";").alias("risks"))
 
 
 @query("band_overlap", f"WITH {FINDINGS}, m AS (SELECT file, line AS a, line + 3 AS b FROM findings WHERE rule = 'r5'), t AS (SELECT 'f' || (p_partkey % 600) AS file, p_partkey % 200 AS first, p_partkey % 200 + 5 AS last, p_partkey FROM part) SELECT p_partkey, EXISTS (SELECT 1 FROM m WHERE m.file = t.file AND m.a <= t.last AND m.b >= t.first) AS caught FROM t")

@@ -165,14 +165,19 @@ def monitor_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textscan.monitor(explode_lines(files(spark, sf_dir))).select("path", "line_no", "rule")
 
 
-@query("dast_verdict", """WITH r AS (SELECT event_id, event_type, (200 + event_id % 4 * 100)::BIGINT AS status, (value * 100)::BIGINT AS elapsed_ms, CASE WHEN event_id % 5 = 0 THEN 'database error in query' ELSE 'plain' END || props AS body, CASE WHEN event_id % 3 = 0 THEN 'https://evil.example/x' ELSE '/home' END AS location FROM events),
-v AS (SELECT event_id, CASE WHEN event_type = 'error' AND regexp_matches(body, '"k": 7') THEN 'indicator' WHEN elapsed_ms > 4500 THEN 'delay' WHEN status BETWEEN 300 AND 399 AND contains(location, 'evil.example') THEN 'redirect' WHEN status = 500 AND regexp_matches(body, 'sql|database|query|syntax', 'i') THEN 'server-error' END AS verdict FROM r)
+@query("dast_verdict", """WITH r AS (SELECT event_id, event_type, CASE event_id % 2 WHEN 0 THEN 'Time-based blind' ELSE 'Union' END AS name, ['sqli', 'redirect', 'xss'][event_id % 3 + 1] AS category, [200, 302, 304, 500][event_id % 4 + 1] AS status, (value * 100)::BIGINT AS elapsed_ms,
+  CASE WHEN event_id % 5 = 0 THEN 'Database error in query' ELSE 'plain' END || props AS body, CASE event_id % 7 WHEN 0 THEN 'https://evil.com/x' WHEN 1 THEN '//elsewhere' ELSE '/home' END AS location FROM events),
+v AS (SELECT event_id, CASE WHEN event_type = 'error' AND regexp_matches(body, '"k": 7') THEN 'indicator' WHEN contains(name, 'Time-based') AND elapsed_ms > 4500 THEN 'delay' WHEN category = 'redirect' AND status IN (301, 302, 303, 307, 308) AND (contains(location, 'evil.com') OR starts_with(location, '//')) THEN 'redirect' WHEN category = 'sqli' AND status = 500 AND regexp_matches(body, 'sql|syntax|query|database|ORA-|PG::', 'i') THEN 'server-error' END AS verdict FROM r)
 SELECT coalesce(verdict, 'none') AS verdict, count(*) AS n FROM v GROUP BY 1""")
 def dast_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+
+    def pick(n: int, *values: str | int):
+        return F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+
     responses = e.select(
-        F.when(F.col("event_type") == "error", '"k": 7').alias("detect_regex"), F.lit("https://evil.example/p").alias("payload_value"), (F.lit(200) + F.col("event_id") % 4 * 100).alias("status"), F.round(F.col("value") * 100).cast("long").alias("elapsed_ms"),
-        F.concat(F.when(F.col("event_id") % 5 == 0, "database error in query").otherwise("plain"), "props").alias("body"), F.when(F.col("event_id") % 3 == 0, "https://evil.example/x").otherwise("/home").alias("location_header"),
+        F.when(F.col("event_type") == "error", '"k": 7').alias("detect_regex"), pick(2, "Time-based blind", "Union").alias("payload_name"), pick(3, "sqli", "redirect", "xss").alias("category"), pick(4, 200, 302, 304, 500).alias("status"), F.round(F.col("value") * 100).cast("long").alias("elapsed_ms"),
+        F.concat(F.when(k % 5 == 0, "Database error in query").otherwise("plain"), "props").alias("body"), F.when(k % 7 == 0, "https://evil.com/x").when(k % 7 == 1, "//elsewhere").otherwise("/home").alias("location_header"),
     )
     return textscan.dast_verdict(responses).groupBy(F.coalesce("verdict", F.lit("none")).alias("verdict")).agg(F.count("*").alias("n"))
 

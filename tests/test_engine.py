@@ -194,7 +194,7 @@ def test_deleted_first_stays_dropped(spark):
 
 def test_licenses_and_severities(spark):
     t = spark.createDataFrame([("GPL-3.0 OR MIT",), ("AGPL-3.0",), ("LGPL-2.1",), (None,)], "l string")
-    assert [r[0] for r in t.select(S.license_class("l")).collect()] == ["ok", "copyleft", "weak-copyleft", "unknown"]
+    assert [r[0] for r in t.select(S.license_class("l")).collect()] == ["ok", "copyleft", "copyleft", "unknown"]
     a = spark.createDataFrame([([("CVSS_V3", "CVSS:3.1/AV:N")], None), ([], "MODERATE"), ([], None), ([("CVSS_V3", "7.5")], None)], "severity array<struct<type:string,score:string>>, db_severity string")
     assert [r[0] for r in a.select(S.advisory_severity()).collect()] == ["low", "medium", "high", "high"]
 
@@ -237,6 +237,31 @@ def test_endpoint_without_routes(spark):
     assert graph.endpoint_assessment(graph.endpoints(none)).first()["auth_percent"] == 100
 
 
+def test_endpoint_risks(spark):
+    t = spark.createDataFrame(
+        [("f", "POST", "/login", "h", 1), ("f", "GET", "/health", "h", 2), ("f", "GET", "/users", "h", 3), ("f", "GET", "/admin", "requireAuth, h", 4), ("f", "GET", "/api/v2/x", "h", 5), ("f", "GET", "/items", "jwt, session", 6), ("f", "GET", "/items", "apiKey", 7), ("f", "GET", "//x", "", 8)],
+        "path string, method string, route string, handlers string, line int",
+    )
+    mapped = graph.endpoints(t)
+    assert [r[1:] for r in rows(mapped, "line", "risk", "auth_type", "public")] == [("high", None, True), ("medium", None, True), ("high", None, False), ("medium", "Unknown", False), ("high", None, False), ("low", "JWT", False), ("low", "API Key", False), ("medium", None, True)]
+    assert rows(graph.unprotected(mapped), "line") == [(3,), (5,)]
+    assert graph.endpoint_assessment(mapped).first()["high_risk"] == 3
+
+
+def test_dast_verdicts(spark):
+    t = spark.createDataFrame(
+        [("Union", "sqli", "root:.*:0:0", 200, "root:x:0:0", 1, None), ("Time-based blind", "sqli", "zz", 200, "", 4501, None), ("Union", "sqli", "zz", 200, "", 9000, None), ("r", "redirect", "zz", 302, "", 1, "https://evil.com/"), ("r", "redirect", "zz", 304, "", 1, "//evil.com"), ("r", "redirect", "zz", 308, "", 1, "//x"), ("r", "xss", "zz", 302, "", 1, "//x"), ("s", "sqli", "zz", 500, "ORA-1", 1, None), ("s", "xss", "zz", 500, "SQL", 1, None), ("s", "sqli", None, 500, None, 1, None)],
+        "payload_name string, category string, detect_regex string, status int, body string, elapsed_ms int, location_header string",
+    )
+    assert [r["verdict"] for r in textscan.dast_verdict(t).collect()] == ["indicator", "delay", None, "redirect", None, "redirect", None, "server-error", None, None]
+
+
+def test_trust_boundaries(spark):
+    t = spark.createDataFrame([("db", "postgres:16", [5432], {"P": "Admin"}), ("web", "app", [80], None), ("job", None, None, None)], "name string, image string, ports array<int>, environment map<string,string>")
+    got = {r["boundary"]: (r["services"], r["risks"]) for r in graph.trust_boundaries(t).collect()}
+    assert got == {"Public-facing services": (["db", "web"], ["db exposes sensitive port(s): 5432"]), "Internal services": (["job"], []), "Data layer": (["db"], ["db database port exposed publicly", "db may have default/weak credentials"])}
+
+
 def test_csv_and_sarif(spark):
     f = found(spark, ("r", "high", "c", "a\\b", 0)).withColumn("title", F.lit('say "x", y'))
     assert exports.csv_rows(f).first()["row"] == 'F0,high,"say ""x"", y",r,c,,a\\b,0,medium,,'
@@ -250,7 +275,7 @@ def test_monitor_takes_the_first_pattern(spark):
 
 def test_monitor_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.log").write_text("fine\nTraceback (most recent call last)\n")
+    (tmp_path / "in/a.log").write_text("fine\n    at run (app.js:10:5)\n")
     q = streams.monitor_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
