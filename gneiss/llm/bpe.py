@@ -11,7 +11,7 @@ The trie is held as the sorted words, in which its nodes stand depth first: a wo
 where the two differ. The walk keeps one stack with the last token of each node on the path, so its memory is linear in
 the longest word, whatever its length.
 
-Text is cut where the tokenizer's splits can't reach across: at ASCII white space. The distinct pieces of a chunk are
+Text is cut where the tokenizer's splits can't reach across: at ASCII white space. The distinct words of a chunk are
 looked up in a cache of bounded size; ids of whole texts are then gathered by numpy, and decoding takes the token of each
 id. The vocabulary file is read by path on each executor; it isn't part of this repository.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -39,8 +40,8 @@ END = "</w>"
 SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The tokenizer's split pattern; its white space is Unicode's.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+")
-#: Bytes of a worker's caches of words and of pieces, each; pairs of tokens.
-CACHED, PAIRS = 24 << 20, 150_000
+#: Bytes of a worker's cache of words; pairs of tokens.
+CACHED, PAIRS = 40 << 20, 150_000
 
 
 def byte_letters() -> list[str]:
@@ -136,19 +137,6 @@ class Ends:
         #: Ends of longer tokens.
         self.more = {t[k:] for t in tokens for k in range(1, len(t))}
 
-    def at(self, word: str, n: int) -> list[tuple[int, int]]:
-        """(start, id) of the tokens that end before place n of a word, the longest last."""
-        out, k, ids, more = [], n - 1, self.ids, self.more
-        while k >= 0:
-            end = word[k:n]
-            found = ids.get(end)
-            if found is not None:
-                out.append((k, found))
-            if end not in more:
-                break
-            k -= 1
-        return out
-
 
 class Trie:
     """Encodes many distinct words in one depth-first walk."""
@@ -158,36 +146,54 @@ class Trie:
         whole = {t: i for t, i in merges.vocab.items() if merges.whole(t)}
         self.inner = Ends({t: i for t, i in whole.items() if not t.endswith(END) or t == END})
         self.outer = Ends({t[: -len(END)]: i for t, i in whole.items() if t.endswith(END) and t != END})
-        self.sizes = {i: len(t) for t, i in self.inner.ids.items()}
+
+    def _step(self, ends: Ends, word: str, n: int, last: list[int]) -> tuple[int, int]:
+        """Start and id of the token that ends a prefix of n letters, given the last tokens of the shorter ones."""
+        ids, more, k, found = ends.ids, ends.more, n - 1, []
+        while k >= 0:
+            end = word[k:n]
+            if end in ids:
+                found.append(k)
+            if end not in more:
+                break
+            k -= 1
+        for k in reversed(found):
+            token = ids[word[k:n]]
+            if not k or self.merges.follows(last[k - 1], token):
+                return k, token
+        raise ValueError(f"no token ends {word[:n]!r}")
 
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
         """Token ids, as 32-bit numbers, of each nonempty word of byte letters."""
-        follows, inner, outer, sizes = self.merges.follows, self.inner, self.outer, self.sizes
-        last: list[int] = []  # the last token of each prefix of the current path
+        pairs, step, inner, outer = self.merges.pairs, self._step, self.inner, self.outer
+        tokens, own = inner.ids, outer.ids
+        last, starts = [], []  # of each prefix of the current path: its last token, and where that starts
         out, before = {}, ""
-
-        def step(ends: Ends, word: str, n: int) -> tuple[int, int]:
-            for k, token in reversed(ends.at(word, n)):
-                if not k or follows(last[k - 1], token):
-                    return k, token
-            raise ValueError(f"no token ends {word[:n]!r}")
-
         for word in sorted(words):
             n, shared = len(word), 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 shared += 1
-            del last[min(shared, n - 1) :]
-            for depth in range(len(last) + 1, n):
-                last.append(step(inner, word, depth)[1])
-            k, token = step(outer, word, n)
+            depth = min(shared, n - 1, len(last))
+            del last[depth:], starts[depth:]
+            start = starts[-1] if depth else 0
+            for depth in range(depth + 1, n):
+                # the token before with one more letter, if it may stand there: then it is the one
+                token = tokens.get(word[start:depth])
+                if token is None or (start and not pairs.get(last[start - 1] << 32 | token)):
+                    start, token = step(inner, word, depth, last)
+                last.append(token)
+                starts.append(start)
+            token = own.get(word[start:])
+            if token is None or (start and not pairs.get(last[start - 1] << 32 | token)):
+                start, token = step(outer, word, n, last)
             ids = [token]
-            while k:
-                token = last[k - 1]
-                ids.append(token)
-                k -= sizes[token]
-            out[word] = np.array(ids[::-1], dtype=np.int32).tobytes()
+            while start:
+                ids.append(last[start - 1])
+                start = starts[start - 1]
+            ids.reverse()
+            out[word] = array("i", ids).tobytes()
             before = word
         return out
 
@@ -226,12 +232,12 @@ class Tokenizer:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.known = Bounded()  # ids of a word
-        self.cache = Bounded()  # ids of a piece
+        #: Ids of what may follow the letters of a simple piece.
+        self.tails = {t: self.vocab[t + END] for t in ".," if t + END in self.vocab and self.merges.whole(t + END)}
+        self.simple = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{''.join(self.tails)}]?$" if self.tails else "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
     def words(self, piece: str) -> list[str]:
         """The words of a piece as byte letters; added tokens stand for themselves, after a NUL letter that is none."""
-        if piece.isascii() and piece.isalpha():
-            return [piece.lower()]
         out = []
         for i, part in enumerate(self.specials.split(piece) if self.specials and self.specials.search(piece) else [piece]):
             if i % 2:
@@ -242,28 +248,56 @@ class Tokenizer:
                 out.append(word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()]))
         return out
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Token ids, as 32-bit numbers, of each of some distinct pieces without ASCII white space."""
-        self.cache.tidy()
+    def learn(self, words: Iterable[str]) -> None:
+        """Puts words of byte letters into the cache."""
         self.known.tidy()
-        split = {p: self.words(p) for p in pieces if p not in self.cache}
-        new = {w for words in split.values() for w in words if w not in self.known and w[0] != "\0"}
-        for word, ids in self.trie.encode(new).items():
+        for word, ids in self.trie.encode([w for w in words if w not in self.known]).items():
             self.known.put(word, ids)
-        for piece, words in split.items():
-            self.cache.put(piece, b"".join([self.known[w] if w[0] != "\0" else np.int32(self.added[w[1:]]).tobytes() for w in words]))
-        return [self.cache[p] for p in pieces]
+
+    def spelt(self, word: str) -> str:
+        return word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of some distinct pieces without ASCII white space, and the number of each one's first (and the end).
+
+        Simple pieces, Latin letters with or without a stop or comma, are taken apart by column functions: such letters
+        are composed already, and their lower case is theirs alone."""
+        simple = pc.match_substring_regex(pieces, self.simple)
+        easy = pieces.filter(simple)
+        tail = np.zeros(len(easy), dtype=np.int32)
+        for t, i in self.tails.items():
+            tail[pc.ends_with(easy, t).to_numpy(zero_copy_only=False)] = i + 1
+        stems = pc.utf8_lower(pc.utf8_rtrim(easy, "".join(self.tails)) if self.tails else easy).dictionary_encode()
+        names = [self.spelt(w) for w in stems.dictionary.to_pylist()]
+        hard = [self.words(p) for p in pieces.filter(pc.invert(simple)).to_pylist()]
+        self.learn({*names, *(w for words in hard for w in words if w[0] != "\0")})
+        known = self.known
+        easy_ids = [known[w] for w in names]
+        which = stems.indices.to_numpy(zero_copy_only=False)
+        hard_ids = [b"".join([known[w] if w[0] != "\0" else np.int32(self.added[w[1:]]).tobytes() for w in words]) for words in hard]
+        mask = simple.to_numpy(zero_copy_only=False)
+        # every piece takes a run of the pool and at most one id more
+        source = np.empty(len(pieces), dtype=np.int64)
+        source[mask], source[~mask] = which, len(names) + np.arange(len(hard))
+        more = np.zeros(len(pieces), dtype=np.int32)
+        more[mask] = tail
+        ids, until = gathered(easy_ids + hard_ids, source, (more > 0).astype(np.int64))
+        ids[until[1:][more > 0] - 1] = more[more > 0] - 1
+        return ids, until
 
     def encode(self, c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of a chunk, and the number of the first one of each document (and the end)."""
         starts, ends, firsts = tk.words(c)
         data = c.data[~tk.SPACE[c.data]]
-        places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
-        found = self.pieces([p.decode("utf-8", "replace") for p in column.dictionary.to_pylist()])
-        which = column.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array([len(x) >> 2 for x in found], dtype=np.int64)
-        pool, begin = np.frombuffer(b"".join(found), dtype=np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        kind, column = (pa.binary(), pa.BinaryArray) if places.dtype == np.int32 else (pa.large_binary(), pa.LargeBinaryArray)
+        column = column.from_buffers(kind, len(starts), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+        try:
+            pieces = column.dictionary.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            pieces = pa.array([p.decode("utf-8", "replace") for p in column.dictionary.to_pylist()], type=pa.string())
+        pool, begin = self.pieces(pieces)
+        which, sizes = column.indices.to_numpy(zero_copy_only=False), np.diff(begin)
         own = sizes[which]
         until = np.concatenate([[0], np.cumsum(own)])
         return pool[np.arange(until[-1]) + np.repeat(begin[which] - until[:-1], own)], until[firsts]
@@ -277,6 +311,18 @@ class Tokenizer:
         return self.joined(self.names, ids, firsts)
 
 
+def gathered(runs: list[bytes], which: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen runs of 32-bit numbers one after the other, each with room for `more` numbers after it, and ends."""
+    sizes = np.array([len(x) >> 2 for x in runs], dtype=np.int64)
+    pool, begin = np.frombuffer(b"".join(runs), dtype=np.int32), np.cumsum(sizes) - sizes
+    own = sizes[which] if len(which) else np.zeros(0, dtype=np.int64)
+    until = np.concatenate([[0], np.cumsum(own + more)])
+    out = np.zeros(until[-1], dtype=np.int32)
+    place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    out[np.repeat(until[:-1], own) + place] = pool[np.repeat(begin[which] if len(which) else own, own) + place]
+    return out, until
+
+
 @cache
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -293,7 +339,7 @@ def _encoded(path: str, digest: bool):
         own = tokenizer(path)
         for batch in batches:
             rest = [k for k in batch.schema.names if k != "text"]
-            for c in tk.chunks(batch["text"], 2 << 20):
+            for c in tk.chunks(batch["text"], 4 << 20):
                 ids, firsts = own.encode(c)
                 if digest:
                     columns = {"ids_sha256": _digests(own.joined(own.decimals, ids, firsts)), "decoded_sha256": _digests(own.decode(ids, firsts))}
