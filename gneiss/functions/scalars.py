@@ -93,6 +93,14 @@ def entropy(text: Column | str) -> Column:
     return F.when(F.length(text) > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
 
 
+def fnv1a(text: Column | str) -> Column:
+    """FNV-1a of a text's characters in 32 bits, as eight hexadecimal digits."""
+    text = F.col(text) if isinstance(text, str) else text
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    h = F.aggregate(letters, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(0x01000193).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.lpad(F.lower(F.hex(h)), 8, "0")
+
+
 def escape_sentinels(text: Column | str) -> Column:
     """Untrusted text that can't close a prompt's sentinel tags."""
     return F.regexp_replace(text, r"<(/?)(untrusted[^>]*)>", "&lt;$1$2&gt;")

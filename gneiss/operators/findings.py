@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.rules import WIRED
-from gneiss.functions.scalars import fingerprint, line_bucket, rank_of, severity_rank
+from gneiss.functions.scalars import fingerprint, fnv1a, line_bucket, rank_of, severity_rank
 from gneiss.operators import modes
+from gneiss.sources.stores import staged
 
 
 def scan(files: DataFrame, families: tuple[modes.Family, ...] = WIRED) -> DataFrame:
@@ -157,6 +160,32 @@ def resolve_chains(chains: DataFrame, members: DataFrame, found: DataFrame) -> D
     return chains.join(kept, "position").withColumn("id", F.format_string("CHAIN-%03d", F.col("position") + 1))
 
 
+def rule_config_hash(enabled: Column, disabled: Column) -> Column:
+    """What a cache of scans is keyed by beside a file: FNV-1a of the sorted rule lists as JSON."""
+    return fnv1a(F.to_json(F.struct(F.array_sort(enabled).alias("enabled"), F.array_sort(disabled).alias("disabled"))))
+
+
+def merge_scanners(scanners: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str | None]]:
+    """Findings of several scanners of one schema, with the scanner's name, and what each failed with (None: it didn't).
+
+    All run at the same time; one that fails, when it is built or when it runs, takes none of the others' findings away.
+    Each is written to the shared folder first, as a lazy plan would fail later and as a whole."""
+
+    def run(name: str) -> DataFrame | str:
+        try:
+            found = scanners[name]().withColumn("scanner", F.lit(name))
+            return staged(found, f"scanner-{name}")
+        except Exception as failure:  # whatever a scanner throws is its own
+            return f"{type(failure).__name__}: {str(failure)[:200]}"
+
+    with ThreadPoolExecutor(max_workers=max(1, len(scanners))) as pool:
+        done = dict(zip(scanners, pool.map(run, scanners), strict=True))
+    kept = [x for x in done.values() if isinstance(x, DataFrame)]
+    if not kept:
+        raise RuntimeError(f"all scanners failed: {done}")
+    return reduce(DataFrame.unionByName, kept), {k: None if isinstance(x, DataFrame) else x for k, x in done.items()}
+
+
 def cached_scan(files: DataFrame, stored: DataFrame, rule_hash: str, families: tuple[modes.Family, ...] = WIRED) -> DataFrame:
     """Findings of files that changed, and the stored ones of files that didn't.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from gneiss.functions.rules import SECRETS
 from gneiss.functions.scalars import js_trim, mask_secret
@@ -105,12 +108,43 @@ def list_files(files: DataFrame, prefix: str = "", limit: int = 100) -> DataFram
     return files.where(F.startswith("path", F.lit(prefix))).select("path").orderBy("path").limit(limit)
 
 
+def _closing(text: str, start: int) -> int:
+    """Place after the brace that closes the one at start, braces in JSON strings aside; 0 without one."""
+    depth, inside, at = 0, False, start
+    while at < len(text):
+        c = text[at]
+        if inside:
+            if c == "\\":
+                at += 1
+            elif c == '"':
+                inside = False
+        elif c == '"':
+            inside = True
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return at + 1
+        at += 1
+    return 0
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _objects(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[str]:
+        text = (text or "").strip()
+        fenced = (x.strip() for x in re.findall(r"```(?:json)?\s*\n?([\s\S]*?)```", text))
+        out = [x for x in (text, *fenced) if x.startswith("{") and x.endswith("}")]
+        opens = [i for i, c in enumerate(text) if c == "{"]
+        closed = ((i, _closing(text, i)) for i in reversed(opens))
+        return list(dict.fromkeys([*out, *(text[i:end] for i, end in closed if end)]))
+
+    return texts.map(one)
+
+
 def json_candidates(text: Column | str) -> Column:
-    """JSON texts in free text, in the order to try them: the whole, fenced blocks, the widest braces."""
+    """JSON objects in free text, in the order to try them: the whole, fenced blocks, balanced braces from the end on."""
     text = F.col(text) if isinstance(text, str) else text
-    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), 1)
-    wide = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.filter(F.concat(F.array(text), fenced, F.array(wide)), lambda x: F.try_parse_json(x).isNotNull())
+    return F.filter(_objects(text), lambda x: F.try_parse_json(x).isNotNull())
 
 
 #: What to do about a leaked secret, by rule; else by what the rule contains; else the general guide.

@@ -11,7 +11,7 @@ from gneiss.operators import exports as X
 from gneiss.operators import findings as A
 from gneiss.operators import policy as P
 from gneiss.operators import scoring as S
-from gneiss.operators.textscan import rotation_guide
+from gneiss.operators.textscan import ROTATION, rotation_guide
 from gneiss.plans.base import DEPS, FILES, FINDINGS, OLD, deps, files, findings, old_and_new, query, read
 from gneiss.sources.corpus import explode_lines
 from gneiss.streaming.streams import watch_changes
@@ -398,7 +398,7 @@ def notify_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.notify_payload(findings(spark, sf_dir))
 
 
-@query("rotation_guide")
+@query("rotation_guide", f"{W} SELECT CASE WHEN ordinal % 2 = 0 THEN '{ROTATION['secret:github-pat']}' ELSE '{ROTATION['secret:database-url']}' END AS guide, count(*) AS n FROM findings GROUP BY 1".replace("account's", "account''s"))
 def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = findings(spark, sf_dir).withColumn("rule", F.when(F.col("ordinal") % 2 == 0, "secret:github-pat").otherwise("history:database-url"))
     return rotation_guide(named).groupBy("guide").agg(F.count("*").alias("n"))

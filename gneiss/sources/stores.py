@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,3 +19,16 @@ def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the folder that executors share (spark.checkpoint.dir; a fresh one where that is unset) and read
+    back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='gneiss-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -310,3 +310,22 @@ def test_rotation_guide_counts_all_findings(spark):
 
     lineitem = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert sum(r["n"] for r in catalogue.QUERIES["rotation_guide"](spark, SF).collect()) == lineitem.count()
+
+
+def test_fnv1a_known_values(spark):
+    t = spark.createDataFrame([("",), ("a",), ("foobar",)], "x string")
+    assert [r[0] for r in t.select(S.fnv1a("x")).collect()] == ["811c9dc5", "e40c292c", "bf9cf968"]
+    one, other = (t.select(findings.rule_config_hash(F.array(*map(F.lit, x)), F.array(F.lit("d")))).first()[0] for x in ("ab", "ba"))
+    assert one == other
+
+
+def test_json_candidates_are_balanced(spark):
+    t = spark.createDataFrame([('x {"a": "}{"} y {"b": {"c": "\\\\"}} {',), ("[1]",), (None,)], "x string")
+    assert [r[0] for r in t.select(textscan.json_candidates("x")).collect()] == [['{"c": "\\\\"}', '{"b": {"c": "\\\\"}}', '{"a": "}{"}'], [], []]
+
+
+def test_failed_scanners_take_nothing_away(spark):
+    t = spark.range(3)
+    bad = lambda: t.select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    kept, failed = findings.merge_scanners({"good": lambda: t, "bad": bad})
+    assert kept.count() == 3 and failed["good"] is None and failed["bad"]
