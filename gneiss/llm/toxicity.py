@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import documents, table
+from .common import documents, stage, table
 
 CHARS, WINDOW, STRIDE = 16, 32, 16
 HIDDEN, CHAR_HIDDEN, CHAR_IN, WORD_IN, BUCKETS, ALPHABET = 8, 8, 8, 8, 1 << 13, 64
@@ -214,6 +214,8 @@ def step(p: dict, letters: np.ndarray, buckets: np.ndarray, at: np.ndarray, weig
 
 def odds(keys: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For each key (of a token of doc), how much likelier it is in documents of label 1: log-odds, 0 if in under 3."""
+    if not len(keys):
+        return np.zeros(0, dtype=f32)
     _, index = np.unique(keys, return_inverse=True)
     seen = np.unique(np.stack([index, doc]), axis=1)
     n = index.max() + 1
@@ -336,16 +338,20 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | float, *carry: str) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) -> dict[str, np.ndarray] | float:
-    """The model from docs(doc_id, text) and labels(doc_id, toxic): at most `sample` documents of label 1, twice that of 0."""
-    spark = docs.sparkSession
+    """The model from docs(doc_id, text) and labels(doc_id, toxic): at most `sample` documents of label 1, twice that of 0.
+
+    They are drawn from the labelled documents that have a letter and at most sample_chars characters; of rows that share
+    a doc_id, the least text counts. Without documents of both labels, one score for all: that of the label there is, or
+    0.5."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    fitting = documents(docs).where((F.length("text") <= sample_chars) & F.col("text").rlike("[a-zA-Z\\x{80}-\\x{10FFFF}]"))
+    known = stage(labels.join(fitting.select("doc_id").distinct(), "doc_id", "left_semi"), "op1-labels")
     order = F.xxhash64(F.lit(seed), "doc_id")
-    ids = [(r["doc_id"], r["toxic"]) for v in (0, 1) for r in labels.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(sample * (2 - v)).collect()]
-    if len({y for _, y in ids}) < 2:
-        return float(ids[0][1]) if ids else 0.5
-    chosen = spark.createDataFrame(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
-    rows = documents(docs).where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()  # 3 * sample rows of sample_chars at most, repeated rows aside
-    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
+    drawn = [known.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(sample * (2 - v)) for v in (0, 1)]
+    chosen = F.broadcast(drawn[0].union(drawn[1]))  # 3 * sample rows at most
+    texts = fitting.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in texts.collect())  # of sample_chars at most
+    rows = [r for r in rows if len(Tokens(next(tk.chunks(pa.array([r[1]])))).starts)]
     if len({y for _, _, y in rows}) < 2:
         return float(rows[0][2]) if rows else 0.5
     return train([t for _, t, _ in rows], [y for _, _, y in rows], seed=seed)
