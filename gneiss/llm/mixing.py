@@ -10,7 +10,7 @@ The driver holds one row a source. Shards are bounded, so a source with most of
 
 Defined results: null and empty texts have size 0 and are taken 0 times. A null source is a source, ordered last.
 Repeated rows are rows of their own. An empty table gives an empty mix. Reruns agree: order and choice are hashes of
-the seed, doc_id, source and block number; rows equal in doc_id and size may swap what they give.
+the seed, doc_id, size, the text's checksum, source and block number; rows equal in these may swap what they give.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import stage, table
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, SEED = 64, 500_000, 7
+#: Shards of a group: a source of 15 T words has 30,000 groups.
+LEVEL = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,17 +67,29 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return got
 
 
-def _shard_quotas(block: int):
+def _dealt(name: str, by: list[str]):
+    """Deals a group's `seats` to its rows by `words`; by: what orders and names the rows."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        return pdf[["at", "shard"]].assign(quota=np.array(sainte_lague(pdf["words"].tolist(), int(pdf["blocks"].iloc[0])), dtype=np.int64) * block)
+        pdf = pdf.sort_values(by)
+        return pdf[by].assign(**{name: np.array(sainte_lague(pdf["words"].tolist(), int(pdf["seats"].iloc[0])), dtype=np.int64)})
 
     return run
 
 
+def shard_quotas(totals: DataFrame, block: int, level: int = LEVEL) -> DataFrame:
+    """at, shard, quota. totals: at, shard, words, seats (the source's blocks). A source's blocks go to its groups of
+    `level` shards, and each group's to its shards, so no task holds more than some thousands of rows."""
+    totals = totals.withColumn("group", F.expr(f"shard div {level}").cast("int"))
+    groups = totals.groupBy("at", "group").agg(F.sum("words").alias("words"), F.first("seats").alias("seats"))
+    given = groups.groupBy("at").applyInPandas(_dealt("seats", ["at", "group"]), "at int, group int, seats long")
+    each = totals.drop("seats").join(given, ["at", "group"]).groupBy("at", "group").applyInPandas(_dealt("given", ["at", "shard"]), "at int, shard int, given long")
+    return each.select("at", "shard", (F.col("given") * block).alias("quota"))
+
+
 def _take(block: int, seed: int, key: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", key, "size"], kind="stable")
+        pdf = pdf.sort_values(["order", key, "size", "mark"], kind="stable")
         ends = pdf["size"].to_numpy().cumsum()
         starts, total, quota = ends - pdf["size"].to_numpy(), int(ends[-1]), int(pdf["quota"].iloc[0])
         passes = min(LIMIT, quota // total) if total else LIMIT
@@ -114,7 +128,7 @@ def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK, shard_words: i
     once more)."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    sized = stage(docs.select(key, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "op4-sizes")
+    sized = stage(docs.select(key, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("mark")), "op4-sizes")
     sizes = {s: int(n) for s, n in sized.groupBy("source").agg(F.sum("size")).collect()}  # one row a source
     want = targets(sizes, weights, share)
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -123,10 +137,11 @@ def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK, shard_words: i
         [(i, s, sizes[s], want[s], b, -(-sizes[s] // shard_words) or 1) for i, (s, b) in enumerate(zip(names, blocks, strict=True))],
         "at int, name string, source_size long, target double, blocks long, shards int",
     )
-    placed = sized.join(sources, sized.source.eqNullSafe(sources.name)).withColumn("order", F.xxhash64(F.lit(seed), key)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.col("shards").cast("long")).cast("int"))
-    totals = placed.groupBy("at", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-    quotas = totals.groupBy("at").applyInPandas(_shard_quotas(block), "at int, shard int, quota long")
-    taken = placed.select(key, "at", "shard", "size", "order").join(quotas, ["at", "shard"]).groupBy("at", "shard").applyInPandas(_take(block, seed, key), f"{key} {kind}, at int, size long, passes int, taken long, spans array<array<bigint>>")
+    own = (key, "size", "mark")  # rows that share a key, null among them, are dealt by their texts
+    placed = sized.join(sources, sized.source.eqNullSafe(sources.name)).withColumn("order", F.xxhash64(F.lit(seed), *own)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), *own), F.col("shards").cast("long")).cast("int"))
+    totals = placed.groupBy("at", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("seats"))
+    quotas = shard_quotas(totals, block)
+    taken = placed.select(*own, "at", "shard", "order").join(quotas, ["at", "shard"]).groupBy("at", "shard").applyInPandas(_take(block, seed, key), f"{key} {kind}, at int, size long, passes int, taken long, spans array<array<bigint>>")
     return taken.join(sources.select("at", F.col("name").alias("source"), "source_size", "target"), "at").drop("at")
 
 
