@@ -1,6 +1,6 @@
 """Operator 9, sharding: a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has RING places. Each shard stands at `virtual` of them, and a document's place is its hash. It goes to the
+The ring has RING places. Each shard stands at `virtual` of them, and a document's place is the hash of its id and text. It goes to the
 shard that stands next clockwise; where that shard is full it continues clockwise to the next that is not. A shard's
 bound is its fair share, n // shards or one more, so counts are at most one apart (the law `rows`), and only what
 overflows is moved away from its own shard.
@@ -60,16 +60,21 @@ def plan(counts: np.ndarray, shards: int, virtual: int = VIRTUAL, seed: int = SE
 
 
 def shard_rows(df: DataFrame, key: str, ties: list[str], shards: int = SHARDS, virtual: int = VIRTUAL, seed: int = SEED) -> DataFrame:
-    """df with shard and slot (gapless in its shard). df is read once: its rows are staged, so keep them narrow."""
-    spark = df.sparkSession
-    df = stage(df.withColumn("_at", F.xxhash64(F.lit(seed), key)).withColumn("_place", F.shiftrightunsigned("_at", 48).cast("int")), "op9-rows")
+    """df with shard and slot (gapless in its shard), in place of columns of these names. df is read once: its rows are
+    staged, so keep them narrow. A row's place is the hash of its key and ties: rows of one key, null among them, are
+    spread by the others."""
+    spark, own = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
+    at = F.xxhash64(F.lit(seed), key, *ties)
+    df = stage(df.select(F.struct(*own).alias("row"), at.alias("at"), F.shiftrightunsigned(at, 48).cast("int").alias("place")), "op9-rows")
     counts = np.zeros(RING, dtype=np.int64)
-    for place, n in df.groupBy("_place").count().collect():  # RING rows at most
+    for place, n in df.groupBy("place").count().collect():  # RING rows at most
         counts[place] = n
-    pieces = spark.createDataFrame(plan(counts, shards, virtual, seed), "_p int, _from long, _to long, shard int, _base long")
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("_place").orderBy("_at", key, *ties)) - 1)
-    there = (F.col("_place") == F.col("_p")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return ranked.join(F.broadcast(pieces), there).withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_from")).drop("_at", "_place", "_rank", "_p", "_from", "_to", "_base")  # at most RING + virtual * shards**2 pieces
+    pieces = spark.createDataFrame(plan(counts, shards, virtual, seed), "of int, first long, until long, shard int, base long")
+    order = Window.partitionBy("place").orderBy("at", *(F.col(f"row.`{c}`") for c in (key, *ties)))
+    ranked = df.withColumn("rank", F.row_number().over(order) - 1)
+    there = (F.col("place") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until"))
+    found = ranked.join(F.broadcast(pieces), there)  # at most RING + virtual * shards**2 pieces
+    return found.select("row.*", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
