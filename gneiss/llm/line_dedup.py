@@ -181,16 +181,18 @@ def dedup_lines(docs: DataFrame, *carry: str, run: int = RUN, gram: int = GRAM,
     kind = docs.schema["doc_id"].dataType.simpleString()
     hashed = stage(docs.select("doc_id", "text").mapInArrow(_hash_lines, f"doc_id {kind}, lines array<bigint>"), "op2-lines").where("doc_id is not null")
     posts = stage(hashed.mapInArrow(_fingerprints(run, gram), f"doc_id {kind}, anchor bigint"), "op2-posts")
-    shared = posts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # staged, so that a hot anchor's or run's rows can be split in the joins with them
+    shared = stage(posts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "op2-shared")
     seeds = posts.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
     runs = stage(hashed.join(seeds, "doc_id").mapInArrow(_runs(run, gram), f"doc_id {kind}, hi bigint, lo bigint"), "op2-runs")
     if least:
         short = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_short_runs(run, least), f"doc_id {kind}, hi bigint, lo bigint")
         runs = runs.union(stage(short, "op2-short"))
-    first = runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hi", "lo", "least")
+    first = stage(runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hi", "lo", "least"), "op2-first")
     hits = runs.join(first, ["hi", "lo"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("hi").alias("runs"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", text string, n_lines bigint, n_removed bigint"
-    return docs.join(hits, "doc_id", "left").mapInArrow(_delete(run, least), schema)
+    bare = docs.where("doc_id is null").withColumn("runs", F.array().cast("array<bigint>"))
+    return docs.where("doc_id is not null").join(hits, "doc_id", "left").unionByName(bare).mapInArrow(_delete(run, least), schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,11 +134,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     copy = rows.join(stage(first, "op5-copied"), "digest", "left").select("doc_id", "n_words", "digest", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"), "anchors")
     posts = stage(copy.where("not copy and doc_id is not null and size(anchors) > 0").select("doc_id", F.explode("anchors").alias("anchor")), "op5-posts")
-    shared = posts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # staged, so that a hot anchor's or run's rows can be split in the joins with them
+    shared = stage(posts.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "op5-shared")
     seeds = posts.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
     held = stage(docs.join(seeds, "doc_id"), "op5-held")
     runs = stage(held.mapInArrow(_runs(window, gram), f"{kinds}, hi bigint, lo bigint"), "op5-runs")
-    least = runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hi", "lo", "least")
+    least = stage(runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hi", "lo", "least"), "op5-least")
     hits = runs.join(least, ["hi", "lo"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("hi").alias("runs"))
     cut = held.select("doc_id", "text").join(hits, "doc_id").mapInArrow(_kept(window), f"{kinds}, digest binary, n_removed bigint, kept_text string, repeats array<struct<start:bigint,end:bigint>>")
     return copy.drop("anchors"), cut
