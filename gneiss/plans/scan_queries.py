@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
+from gneiss.functions.deep_rules import DEEP
 from gneiss.functions.scalars import entropy, mask_secret
 from gneiss.operators import modes, textscan
 from gneiss.operators.findings import scan, with_ids
@@ -121,6 +122,14 @@ def scan_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(files(spark, sf_dir), (*R.WIRED, *R.EXPERIMENTAL)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
+@query("scan_deep")
+def scan_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deep families over a script beside each page, and the pages themselves; tests hold a case for each family."""
+    pages = files(spark, sf_dir).where(F.startswith("path", F.lit("page/")))
+    scripts = pages.withColumn("path", F.concat("path", F.lit(".js"))).withColumn("content", F.concat(F.lit("el.innerHTML = value;\nexec(`ls ${dir}`);\n"), "content")).withColumn("length", F.length("content"))
+    return scan(pages.unionByName(scripts.select(*pages.columns)), DEEP).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
 @query("redos_scan")
 def redos_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textscan.redos(files(spark, sf_dir))

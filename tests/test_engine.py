@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from gneiss.functions import deep_rules as DR
 from gneiss.functions import rules as R
 from gneiss.functions import scalars as S
 from gneiss.operators import deps, exports, findings, graph, modes, policy, scoring, textscan
@@ -329,3 +330,38 @@ def test_failed_scanners_take_nothing_away(spark):
     bad = lambda: t.select(F.raise_error(F.lit("no")).cast("long").alias("id"))
     kept, failed = findings.merge_scanners({"good": lambda: t, "bad": bad})
     assert kept.count() == 3 and failed["good"] is None and failed["bad"]
+
+
+#: A file and a line for rules of each deep family, and a rule that the line must give.
+DEEP_CASES = (
+    ("a.js", "app.use(cors({ origin: '*' }))", "cors:cors-wildcard-origin"), ("a.js", "res.header('Access-Control-Allow-Origin', req.headers.origin)", "cors:cors-reflect-origin"),
+    ("a.js", "db.query(`SELECT a FROM t WHERE id = ${id}`)", "sqli:sqli-template-literal"), ("a.py", 'cursor.execute(f"SELECT a FROM t WHERE id = {x}")', "sqli:sqli-fstring-python"),
+    ("a.js", "el.innerHTML = value", "xss:xss-dom-innerhtml"), ("a.html", '<a href="javascript:run()">', "xss:xss-href-javascript"),
+    ("a.js", "exec(`ls ${dir}`)", "cmdi:cmdi-exec-template"), ("a.go", 'exec.Command("sh", "-c", x)', "cmdi:cmdi-go-exec-command"), ("a.py", "subprocess.run(cmd, shell=True)", "cmdi:cmdi-subprocess-shell"),
+    ("a.py", "return render_template_string(request.args.get('t'))", "ssti:ssti-jinja2"), ("a.js", "users.find(req.body)", "nosql:nosql-operator-injection"), ("a.js", "res.redirect(req.query.next)", "redirect:redirect-user-input"),
+    ("a.js", "const up = multer()", "upload:upload-no-size-limit"), ("a.java", "SAXParserFactory.newInstance()", "xxe:xxe-java-sax"), ("a.js", "const u = '/authorize?response_type=token'", "oauth:oauth-implicit-flow"),
+    ("a.js", "new ApolloServer({ introspection: true })", "graphql:gql-introspection-enabled"), ("a.js", "await User.create(req.body)", "input:input-no-schema"), ("a.js", "console.log('x', req.body)", "log:log-injection"),
+    ("a.js", "wss.on('connection', (ws) => {", "ws:ws-no-auth"), ("a.py", "requests.get(url, verify=False)", "zt:zt-no-mtls"), ("a.js", "fs.chmodSync(p, 0o777)", "perm:perm-world-writable"),
+    ("a.c", "strcpy(a, b);", "mem:mem-buffer-overflow"), ("a.rs", "unsafe { f() }", "mem:mem-rust-unsafe"), ("a.js", "app.listen(3000, '127.0.0.1')", "dns:dns-localhost-only-no-host-check"),
+    ("a.js", "mail({ to: req.body.to })", "email:email-header-injection"), ("a.html", '<a target="_blank" href="x">', "cj:cj-window-opener"), ("a.js", "cache.set('k', user.token)", "cache:cache-sensitive-data"), ("a.js", "w.postMessage(data, '*')", "sub:sub-postmessage-no-origin"),
+)
+DEEP_CLEAN = ("a.js", "a.py", "a.go", "a.java", "a.c", "a.rs", "a.html")
+
+
+def test_deep_rules(files):
+    """Each case's line gives its rule; the same line in a file of another kind, or plain lines, give none of it."""
+    tree = {f"d{i}/{name}": line + "\n" for i, (name, line, _) in enumerate(DEEP_CASES)} | {f"clean/{x}": "x = 1\nplain text\n" for x in DEEP_CLEAN} | {f"o{i}/x.txt": line for i, (_, line, _) in enumerate(DEEP_CASES)}
+    got = {(r["file"].split("/")[0], r["rule"]) for r in findings.scan(files(tree), DR.DEEP).select("file", "rule").collect()}
+    assert [x for i, (_, _, x) in enumerate(DEEP_CASES) if (f"d{i}", x) not in got] == []
+    assert not {d for d, _ in got if d == "clean" or d.startswith("o")}
+
+
+def test_deep_catalogue():
+    every = [r for f in DR.DEEP for r in f.rules]
+    assert len(every) == len({r.id for r in every}) == 129 and all(re.compile(p) for r in every for p in r.patterns)
+
+
+def test_custom_rules_join_a_scan(files):
+    own = R.load_custom('{"rules": [{"id": "no-todo", "title": "Open", "severity": "low", "patterns": ["todo"]}]}')
+    got = findings.scan(files({"a.js": "eval(x)\n// TODO later\n"}), (R.PATTERN,), tuple(own))
+    assert {"no-todo", "eval-usage"} <= {r["rule"] for r in got.collect()}
