@@ -20,12 +20,13 @@ Defined results: null and empty texts, and those of white space alone, have no t
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 #: The tokenizer's split pattern; its white space is Unicode's.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+")
 #: Bytes of a worker's cache of words; pairs of tokens.
-CACHED, PAIRS = 40 << 20, 150_000
+CACHED, PAIRS = 32 << 20, 150_000
 
 
 def byte_letters() -> list[str]:
@@ -323,9 +324,12 @@ def gathered(runs: list[bytes], which: np.ndarray, more: np.ndarray) -> tuple[np
     return out, until
 
 
-@cache
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+@contextmanager
+def tokenizer(path: str) -> Iterator[Tokenizer]:
+    """The tokenizer for a task: a worker that goes on to other work doesn't keep it."""
+    yield Tokenizer(path)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def _digests(texts: pa.Array) -> pa.Array:
@@ -336,16 +340,16 @@ def _digests(texts: pa.Array) -> pa.Array:
 
 def _encoded(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
-        for batch in batches:
-            rest = [k for k in batch.schema.names if k != "text"]
-            for c in tk.chunks(batch["text"], 4 << 20):
-                ids, firsts = own.encode(c)
-                if digest:
-                    columns = {"ids_sha256": _digests(own.joined(own.decimals, ids, firsts)), "decoded_sha256": _digests(own.decode(ids, firsts))}
-                else:
-                    columns = {"ids": tk.list_array(ids, firsts, pa.int32())}
-                yield pa.RecordBatch.from_arrays([*(batch[k].slice(c.lo, c.hi - c.lo) for k in rest), pa.array(np.diff(firsts)), *columns.values()], names=[*rest, "n_tokens", *columns])
+        with tokenizer(path) as own:
+            for batch in batches:
+                rest = [k for k in batch.schema.names if k != "text"]
+                for c in tk.chunks(batch["text"], 4 << 20):
+                    ids, firsts = own.encode(c)
+                    if digest:
+                        columns = {"ids_sha256": _digests(own.joined(own.decimals, ids, firsts)), "decoded_sha256": _digests(own.decode(ids, firsts))}
+                    else:
+                        columns = {"ids": tk.list_array(ids, firsts, pa.int32())}
+                    yield pa.RecordBatch.from_arrays([*(batch[k].slice(c.lo, c.hi - c.lo) for k in rest), pa.array(np.diff(firsts)), *columns.values()], names=[*rest, "n_tokens", *columns])
 
     return run
 
@@ -364,12 +368,12 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, text: what the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
-        for batch in batches:
-            ids = batch["ids"]
-            firsts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
-            texts = own.decode(ids.flatten().to_numpy(zero_copy_only=False), firsts)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], texts], names=["doc_id", "text"])
+        with tokenizer(path) as own:
+            for batch in batches:
+                ids = batch["ids"]
+                firsts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+                texts = own.decode(ids.flatten().to_numpy(zero_copy_only=False), firsts)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], texts], names=["doc_id", "text"])
 
     df = df.select("doc_id", "ids")
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text string")

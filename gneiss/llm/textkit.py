@@ -40,7 +40,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; base is odd."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
+        size = -(-n // (1 << 17)) << 17
         both = []
         for x in (base, pow(base, -1, 1 << 64)):
             run = np.full(size, x, dtype=U)
