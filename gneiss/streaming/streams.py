@@ -40,10 +40,11 @@ def watch_stream(versions: DataFrame, threshold: str = "info") -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = set(state.get[0]) if state.exists else set()
         out = []
-        for _, row in pd.concat(list(batches)).sort_values("version").iterrows():
-            now = {k["key"]: k["severity"] for k in (row["keys"] if row["keys"] is not None else [])}
-            out += [(key[0], row["version"], k, "new") for k in sorted(now) if k not in known and (order.index(now[k]) if now[k] in order else -1) <= limit]
-            out += [(key[0], row["version"], k, "resolved") for k in sorted(known - set(now))]
+        rows = pd.concat(list(batches)).sort_values("version")
+        for version, keys in zip(rows["version"], rows["keys"], strict=True):
+            now = {k["key"]: k["severity"] for k in (keys if keys is not None else [])}
+            out += [(key[0], version, k, "new") for k in sorted(now) if k not in known and (order.index(now[k]) if now[k] in order else -1) <= limit]
+            out += [(key[0], version, k, "resolved") for k in sorted(known - set(now))]
             known = set(now)
         if known:
             state.update((sorted(known),))
