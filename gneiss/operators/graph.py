@@ -139,23 +139,42 @@ def trace_paths(edges: DataFrame, source: str, target: str, depth: int = 10, lim
     return out.orderBy(F.size("path"), "path").limit(limit) if limit else out
 
 
-TAINT_SOURCES = {
-    "http-param": r"req\.(query|params|body)|request\.(args|form|json)|r\.URL\.Query|FormValue", "url-input": r"req\.url|location\.(href|search|hash)|window\.name", "user-input": r"process\.argv|sys\.argv|\binput\s*\(|prompt\s*\(", "file-input": r"readFile(Sync)?\s*\(|open\s*\([^)]*\)\.read|ioutil\.ReadFile",
-}
-TAINT_SINKS = {
-    "sql-injection": r"\.(query|execute|raw)\s*\(", "command-injection": r"\b(exec|execSync|spawn|system|popen)\s*\(", "xss": r"innerHTML\s*=|document\.write\s*\(|res\.send\s*\(", "path-traversal": r"(readFile|writeFile|createReadStream|sendFile)(Sync)?\s*\(",
-    "ssrf": r"\b(fetch|axios(\.\w+)?|http\.get|requests\.\w+)\s*\(", "eval": r"\beval\s*\(|new Function\s*\(", "redirect": r"\.redirect\s*\(",
-}
-SANITIZERS = ("parseInt", "Number", "escape", "encodeURIComponent", "sanitize", "validator", "DOMPurify", "parameterized", "prepare", "path.normalize", "basename", "shlex.quote", "bleach", "zod")
-PARAM_WORDS = r"(?i)req|input|data|body|param|query|user|url|path|file|cmd|name|id"
-
-
-def _classified(line: Column, table: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(line.rlike(p), F.lit(k)) for k, p in table.items())))
+#: Where input enters, by kind; a line gives a source for each pattern that it matches.
+TAINT_SOURCES = (
+    *(("http-param", p) for p in (r"req\.query\.\w+", r"req\.params\.\w+", r"req\.body\.\w+", r"req\.body$", r"req\.headers\.\w+", r"req\.cookies\.\w+", r"request\.args", r"request\.form", r"request\.json", r"request\.GET", r"request\.POST", r"r\.URL\.Query\(\)", r"r\.FormValue\(", r"\$_GET\[", r"\$_POST\[", r"\$_REQUEST\[", r"\$_COOKIE\[")),
+    *(("url-input", p) for p in (r"window\.location", r"document\.location", r"document\.URL", r"document\.referrer")),
+    *(("user-input", p) for p in (r"process\.argv", r"process\.stdin", r"readline", r"sys\.argv", r"os\.Args")),
+    *(("file-input", p) for p in (r"fs\.readFileSync\(", r"fs\.readFile\(", r"open\(\s*(?:req|request|params|input)")),
+)
+#: What input must not reach unchecked: kind, severity, weakness, title, pattern.
+TAINT_SINKS = (
+    ("sql-injection", "critical", 89, "SQL Injection Sink", r"\.query\s*\("), ("sql-injection", "critical", 89, "SQL Execution Sink", r"\.execute\s*\("), ("sql-injection", "critical", 89, "Raw SQL Sink", r"\.raw\s*\("),
+    ("command-injection", "critical", 78, "Command Execution Sink", r"exec\s*\("), ("command-injection", "critical", 78, "Sync Command Execution Sink", r"execSync\s*\("), ("command-injection", "high", 78, "Process Spawn Sink", r"spawn\s*\("), ("command-injection", "critical", 78, "Child Process Sink", r"child_process"), ("command-injection", "critical", 78, "OS System Call Sink", r"os\.system\s*\("), ("command-injection", "critical", 78, "Subprocess Sink", r"subprocess"),
+    ("xss", "high", 79, "innerHTML Assignment Sink", r"innerHTML\s*="), ("xss", "high", 79, "React Unsafe HTML Sink", r"dangerouslySetInnerHTML"), ("xss", "high", 79, "Document Write Sink", r"document\.write\s*\("), ("xss", "medium", 79, "HTML Render Sink", r"\.html\s*\("),
+    ("path-traversal", "high", 22, "File Read Sink", r"readFileSync\s*\("), ("path-traversal", "high", 22, "File Write Sink", r"writeFileSync\s*\("), ("path-traversal", "high", 22, "Read Stream Sink", r"createReadStream\s*\("), ("path-traversal", "medium", 22, "Path Join (potential sink)", r"path\.join\s*\("),
+    ("ssrf", "high", 918, "HTTP Fetch Sink", r"fetch\s*\("), ("ssrf", "high", 918, "Axios Request Sink", r"axios\s*[.(]"), ("ssrf", "high", 918, "HTTP Get Sink", r"http\.get\s*\("), ("ssrf", "high", 918, "Python Requests Sink", r"requests\.get\s*\("),
+    ("eval", "critical", 95, "Eval Sink", r"\beval\s*\("), ("eval", "critical", 95, "Dynamic Function Sink", r"new\s+Function\s*\("),
+    ("redirect", "medium", 601, "Redirect Sink", r"\.redirect\s*\("), ("redirect", "medium", 601, "Location Assignment Sink", r"location\s*="),
+)
+#: Fixed values, in order: what checks input, whatever the case; the first one that holds is named.
+SANITIZERS = (r"escape\w*", r"sanitize\w*", r"encode\w*", "htmlspecialchars", "htmlentities", "encodeURI", "encodeURIComponent", "DOMPurify", r"validator\.\w+", r"parseInt\s*\(", r"Number\s*\(", "parameterized", "prepared", "placeholder")
+#: Names of parameters that carry input.
+PARAM_WORDS = "(?i)req|request|input|data|body|query|params"
+
+
+def _sources(line: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(line.rlike(p), F.lit(k)) for k, p in TAINT_SOURCES)))
+
+
+def _sinks(line: Column) -> Column:
+    def one(kind: str, severity: str, cwe: int, title: str) -> Column:
+        return F.struct(F.lit(kind).alias("sink"), F.lit(severity).alias("severity"), F.lit(f"CWE-{cwe}").alias("cwe"), F.lit(title).alias("title"))
+
+    return F.array_compact(F.array(*(F.when(line.rlike(p), one(*row)) for *row, p in TAINT_SINKS)))
 
 
 def _sanitizer(text: Column) -> Column:
-    return F.coalesce(*(F.when(F.contains(text, F.lit(s)), F.lit(s)) for s in SANITIZERS))
+    return F.coalesce(*(F.when(text.rlike(f"(?i){s}"), F.lit(s)) for s in SANITIZERS))
 
 
 def taint_in_handlers(files: DataFrame) -> DataFrame:
@@ -164,11 +183,11 @@ def taint_in_handlers(files: DataFrame) -> DataFrame:
     starts = rows.select("path", "lines", F.posexplode("lines").alias("pos", "line")).where(F.col("line").rlike(f"(?i){_ROUTE}")).withColumn("at", F.col("pos") + 1)
     spans = starts.select("path", "lines", "at", F.regexp_extract("line", f"(?i){_ROUTE}", 2).alias("route"), brace_end(1000, F.col("at") + 200).cast("int").alias("end"))
     lines = spans.select("path", "lines", "route", "at", F.posexplode(F.slice("lines", F.col("at"), F.col("end") - F.col("at") + 1)).alias("n", "text")).withColumn("line", F.col("at") + F.col("n"))
-    source = lines.select("path", "at", "route", "lines", F.col("line").alias("source_line"), F.explode(_classified(F.col("text"), TAINT_SOURCES)).alias("source"))
-    sink = lines.select(F.col("path").alias("p2"), F.col("at").alias("a2"), F.col("line").alias("sink_line"), F.explode(_classified(F.col("text"), TAINT_SINKS)).alias("sink"))
+    source = lines.select("path", "at", "route", "lines", F.col("line").alias("source_line"), F.explode(_sources(F.col("text"))).alias("source"))
+    sink = lines.select(F.col("path").alias("p2"), F.col("at").alias("a2"), F.col("line").alias("sink_line"), F.explode(_sinks(F.col("text"))).alias("s"))
     flows = source.join(sink, (F.col("path") == F.col("p2")) & (F.col("at") == F.col("a2")) & (F.col("sink_line") > F.col("source_line")))
     between = F.array_join(F.slice("lines", F.col("source_line"), F.col("sink_line") - F.col("source_line") + 1), "\n")
-    return flows.withColumn("sanitizer", _sanitizer(between)).select("path", "route", "source", "source_line", "sink", "sink_line", "sanitizer", F.col("sanitizer").isNotNull().alias("sanitized"))
+    return flows.withColumn("sanitizer", _sanitizer(between)).select("path", "route", "source", "source_line", "s.*", "sink_line", "sanitizer", F.col("sanitizer").isNotNull().alias("sanitized"))
 
 
 def taint_across(funcs: DataFrame, lines: DataFrame, edges: DataFrame) -> DataFrame:
@@ -176,13 +195,15 @@ def taint_across(funcs: DataFrame, lines: DataFrame, edges: DataFrame) -> DataFr
     telling = funcs.where(F.exists("params", lambda p: p.rlike(PARAM_WORDS)))
     body = telling.alias("f").join(lines.alias("l"), (F.col("f.path") == F.col("l.path")) & F.col("l.line_no").between(F.col("f.line"), F.col("f.end_line")))
     per = body.groupBy("f.path", "f.name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l.line_no", "l.line"))), lambda x: x["line"]), "\n").alias("text"))
-    sinks = body.select(F.concat_ws(":", "f.path", "f.name").alias("callee"), F.col("l.line_no").alias("sink_line"), F.explode(_classified(F.col("l.line"), TAINT_SINKS)).alias("sink"))
+    sinks = body.select(F.col("f.path").alias("path"), F.concat_ws(":", "f.path", "f.name").alias("callee"), F.col("l.line_no").alias("sink_line"), F.explode(_sinks(F.col("l.line"))).alias("s")).select("path", "callee", "sink_line", "s.*")
     clean = per.select(F.concat_ws(":", "path", "name").alias("callee"), _sanitizer(F.col("text")).alias("sanitizer"))
-    return edges.where("caller <> callee").select("caller", "callee", F.col("line").alias("call_line")).join(sinks, "callee").join(clean, "callee").withColumn("sanitized", F.col("sanitizer").isNotNull())
+    return edges.where("caller <> callee").select("caller", "callee", F.col("line").alias("call_line")).join(sinks, "callee").join(clean, "callee").withColumn("source", F.lit("function-param")).withColumn("sanitized", F.col("sanitizer").isNotNull())
 
 
 def taint_findings(flows: DataFrame) -> DataFrame:
-    return flows.where("not sanitized").select(F.concat(F.lit("taint:"), "sink").alias("rule"), F.col("path").alias("file"), F.col("sink_line").alias("line"), F.lit("high").alias("confidence"), F.when(F.col("sink").isin("sql-injection", "command-injection", "eval"), "critical").otherwise("high").alias("severity"))
+    """Findings of flows that nothing checks, with the sink's severity, weakness and title."""
+    title = F.concat("title", F.lit(": "), "source", F.lit(" → "), "sink")
+    return flows.where("not sanitized").select(F.concat(F.lit("taint:"), "sink").alias("rule"), title.alias("title"), "severity", F.split("sink", "-")[0].alias("category"), "cwe", F.col("path").alias("file"), F.col("sink_line").alias("line"), F.lit("high").alias("confidence"))
 
 
 #: Words of middleware that authenticates, whatever their case.

@@ -199,24 +199,27 @@ def block_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HANDLER = "app.get('/p', (req, res) => {\n  const id = req.query.id;\n  LINE\n  db.query(id);\n});\n"
 
 
-@query("taint_flows", "SELECT 'c' || event_id || '.js' AS path, '/p' AS route, 'http-param' AS source, 'sql-injection' AS sink, CASE WHEN event_id % 3 = 0 THEN 'parseInt' END AS sanitizer, 2::BIGINT AS source_line, 4::BIGINT AS sink_line FROM events")
+@query("taint_flows", "SELECT 'c' || event_id || '.js' AS path, '/p' AS route, 'http-param' AS source, 'sql-injection' AS sink, CASE WHEN event_id % 3 = 0 THEN 'parseInt\\s*\\(' END AS sanitizer, 2::BIGINT AS source_line, 4::BIGINT AS sink_line FROM events")
 def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flows(spark, sf_dir).select("path", "route", "source", "sink", "sanitizer", "source_line", "sink_line")
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     body = F.replace(F.lit(_HANDLER), F.lit("LINE"), F.when(k % 3 == 0, "const n = parseInt(id);").otherwise("log(id);"))
     own = read(spark, sf_dir, "events").select(F.concat(F.lit("c"), k.cast("string"), F.lit(".js")).alias("path"), body.alias("content"), F.lit("javascript").alias("lang"))
-    return G.taint_in_handlers(own).select("path", "route", "source", "sink", "sanitizer", "source_line", "sink_line")
+    return G.taint_in_handlers(own)
 
 
-@query("taint_to_findings", "SELECT 'taint:sql-injection' AS rule, 'c' || event_id || '.js' AS file, 4::BIGINT AS line, 'critical' AS severity FROM events WHERE event_id % 3 <> 0")
+@query("taint_to_findings", "SELECT 'taint:sql-injection' AS rule, 'SQL Injection Sink: http-param → sql-injection' AS title, 'sql' AS category, 'CWE-89' AS cwe, 'c' || event_id || '.js' AS file, 4::BIGINT AS line, 'critical' AS severity FROM events WHERE event_id % 3 <> 0")
 def taint_to_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = taint_flows(spark, sf_dir).withColumn("sanitized", F.col("sanitizer").isNotNull())
-    return G.taint_findings(flows).select("rule", "file", "line", "severity")
+    return G.taint_findings(_flows(spark, sf_dir)).drop("confidence")
 
 
 @query("taint_across", "SELECT 'm' || event_id || '.js:top' AS caller, 'm' || event_id || '.js:run' AS callee, 'command-injection' AS sink, 2::BIGINT AS sink_line, event_id % 4 = 0 AS sanitized FROM events")
 def taint_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    body = F.concat(F.lit("function run(cmd) {\n  exec("), F.when(k % 4 == 0, "escape(cmd)").otherwise("cmd"), F.lit(");\n}\nfunction top(x) {\n  run(x);\n}\n"))
+    body = F.concat(F.lit("function run(input) {\n  exec("), F.when(k % 4 == 0, "escape(input)").otherwise("input"), F.lit(");\n}\nfunction top(x) {\n  run(x);\n}\n"))
     own = read(spark, sf_dir, "events").select(F.concat(F.lit("m"), k.cast("string"), F.lit(".js")).alias("path"), body.alias("content"), F.lit("javascript").alias("lang"))
     lines, fs = explode_lines(own), G.functions(own)
     edges = G.resolve_calls(G.calls(fs, lines), fs, G.imports(lines))
