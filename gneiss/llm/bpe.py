@@ -386,5 +386,7 @@ def vocabulary() -> str:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_tokens, ids_sha256 and decoded_sha256, the digest of what its ids decode to. Null and
+    empty texts have no tokens (digests of an empty text); repeated rows are rows of their own."""
     docs = documents(table(spark, sf_dir, "documents"))
     return docs.mapInArrow(_encoded(vocabulary(), True), _schema(docs, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

@@ -253,6 +253,8 @@ def near_duplicates(docs: DataFrame, *carry: str, words: int = WORDS, similarity
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept. Null and empty texts have no shingles and are kept; of
+    rows that share a doc_id each has its text's component; a null doc_id has none and is kept."""
     rows = near_duplicates(table(spark, sf_dir, "documents"), **QUERY)[0].drop("group_id")
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -10,7 +10,7 @@ The driver holds one row a source. Shards are bounded, so a source with most of
 
 Defined results: null and empty texts have size 0 and are taken 0 times. A null source is a source, ordered last.
 Repeated rows are rows of their own. An empty table gives an empty mix. Reruns agree: order and choice are hashes of
-the seed, doc_id, size, the text's checksum, source and block number; rows equal in these may swap what they give.
+the seed, doc_id, size, the text's hash, source and block number; rows equal in these may swap what they give.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -118,17 +118,22 @@ def _take(block: int, seed: int, key: str):
                     else:
                         own.append([int(s), int(e)])
             spans.append(own)
-        return pdf[[key, "at", "size"]].assign(passes=passes, taken=passes * pdf["size"].to_numpy() + upto(ends) - upto(starts), spans=spans)
+        return pdf[[key, "mark", "at", "size"]].assign(passes=passes, taken=passes * pdf["size"].to_numpy() + upto(ends) - upto(starts), spans=spans)
 
     return run
 
 
+def mark(text: str = "text") -> Column:
+    """What tells apart the rows that share a key: a hash of the text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK, shard_words: int = SHARD, seed: int = SEED, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, passes (whole readings of the document) and spans (of words, read
-    once more)."""
+    """doc_id, mark (a hash of the text), size, source, source_size, target, taken, passes (whole readings of the document)
+    and spans (of words, read once more)."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    sized = stage(docs.select(key, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("mark")), "op4-sizes")
+    sized = stage(docs.select(key, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), mark().alias("mark")), "op4-sizes")
     sizes = {s: int(n) for s, n in sized.groupBy("source").agg(F.sum("size")).collect()}  # one row a source
     want = targets(sizes, weights, share)
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -141,9 +146,11 @@ def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK, shard_words: i
     placed = sized.join(sources, sized.source.eqNullSafe(sources.name)).withColumn("order", F.xxhash64(F.lit(seed), *own)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), *own), F.col("shards").cast("long")).cast("int"))
     totals = placed.groupBy("at", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("seats"))
     quotas = shard_quotas(totals, block)
-    taken = placed.select(*own, "at", "shard", "order").join(quotas, ["at", "shard"]).groupBy("at", "shard").applyInPandas(_take(block, seed, key), f"{key} {kind}, at int, size long, passes int, taken long, spans array<array<bigint>>")
+    taken = placed.select(*own, "at", "shard", "order").join(quotas, ["at", "shard"]).groupBy("at", "shard").applyInPandas(_take(block, seed, key), f"{key} {kind}, mark long, at int, size long, passes int, taken long, spans array<array<bigint>>")
     return taken.join(sources.select("at", F.col("name").alias("source"), "source_size", "target"), "at").drop("at")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken. Null and empty texts have size 0 and are taken 0
+    times; a null source is one of its own; repeated rows are rows of their own. An empty table gives no rows."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -186,5 +186,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, counts of the base kinds, base_sha256 and spans. Null and empty texts have no spans
+    (the digest of an empty text, an empty list); repeated rows are rows of their own."""
     docs = documents(table(spark, sf_dir, "documents"))
     return docs.mapInArrow(_scan(True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")

@@ -78,6 +78,8 @@ def shard_rows(df: DataFrame, key: str, ties: list[str], shards: int = SHARDS, v
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, size, text_crc32, law (rows), shard, slot, grown_shard (null). Null texts have no bytes;
+    null and repeated doc_ids are rows like any other. An empty table gives no rows."""
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     return shard_rows(rows, "doc_id", ["text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -146,6 +146,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_words, n_removed, kept_sha256. Null and empty texts have no words; of rows that share
+    a doc_id none removes words of the other; a null doc_id neither loses words nor takes them from others."""
     summary, cut = find_repeats(table(spark, sf_dir, "documents"))
     cut = cut.select("doc_id", "digest", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept")).dropDuplicates(["doc_id", "digest"])
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)

@@ -358,6 +358,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, held_out, score, predicted. Labels of rows that are not held out alone are learned;
+    null and empty texts have the score of a window without tokens; repeated rows are scored each. An empty documents
+    table gives no rows, an empty labels table the score 0.5 for all."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)

@@ -692,3 +692,33 @@ def test_pipeline_lines_goes_by_content(spark):
     changed = {(2, rows[1][1]): f"{own[1]}\n{own[2]}", (3, rows[2][1]): f"{own[3]}\n{own[4]}", (5, long): None, (7, rows[6][1]): None, (None, rows[9][1]): f"{long}\n{own[0]}"}
     expected = [(i, x, len(x)) for i, t in rows if (x := changed.get((i, t), t)) is not None]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_pipeline_mix_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    twin = text(900)
+    rows = [(None, text(700), "en", "a", 0), (None, text(600), "en", "a", 0), (None, twin, "en", "b", 0), (None, twin, "en", "b", 0), (1, text(800), "en", "b", 0), (1, text(50), "en", "c", 0), (2, "", "en", "c", 0), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = collections.Counter()
+    for r in mixing.mix(docs, block=corpus_pipeline.BLOCK).collect():
+        want[r["source"]] += r["taken"]
+    got = collections.Counter()
+    whole = {r[1] for r in rows}
+    for r in corpus_pipeline.mixed(spark, docs, "").collect():
+        own = words(r["text"])
+        got[r["source"]] += len(own)
+        assert r["text"] in whole or any(set(own) <= set(words(x)) for x in whole)
+        assert r["n_chars"] == len(r["text"])
+    assert +got == +want
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    """Clashing columns don't matter, and no rows give no rows."""
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], SCHEMA + ", component_id long, mark long, size long, kept boolean, ids string, text_key string")
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
