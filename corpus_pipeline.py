@@ -22,12 +22,15 @@ BLOCK = 512
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; of rows that share a doc_id, those that fail."""
+    """Documents that the quality rules reject go; of rows that share a doc_id, those that fail. Null and empty texts fail
+    the base rules. Repeated rows are judged each; columns other than those of documents are dropped."""
     return quality_rules.judge(docs, carry=COLUMNS, unit="characters").where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go, of one or two lines where these are long or the whole text; a document that loses all its lines goes with them."""
+    """Later repeats of runs of lines go, of one or two lines where these are long or the whole text; a document that loses
+    all its lines goes with them. Null and empty texts have no lines and stay as they are; rows without a doc_id lose only
+    what they repeat themselves, and take nothing from others."""
     out = line_dedup.dedup_lines(docs, "lang", "source", "n_chars", least=line_dedup.LEAST)
     changed = F.col("n_removed") > 0
     return out.where("n_removed = 0 or n_removed < n_lines").withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -51,7 +54,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document as often as the mix reads it whole, and once more what it reads in part, as it stands in the text."""
+    """Each document as often as the mix reads it whole, and once more for each list of spans, as they stand in the text."""
     for batch in batches:
         for c in tk.chunks(batch["text"]):
             starts, ends, firsts = tk.words(c)
@@ -60,8 +63,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, row = firsts[i], c.lo + i
                 rows += [row] * batch["passes"][row].as_py()
                 texts += [batch["text"][row].as_py()] * batch["passes"][row].as_py()
-                spans = batch["spans"][row].as_py()
-                if spans:
+                for spans in batch["parts"][row].as_py():
                     rows.append(row)
                     texts.append("\n".join(c.data[starts[a + s] : ends[a + e - 1]].tobytes().decode() for s, e in spans))
             taken = pa.array(rows, type=pa.int64())
@@ -69,15 +71,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each whole reading of a document and one for the blocks read once more."""
+    """The mix: a row for each whole reading of a document and one for the blocks read once more. Null and empty texts have
+    no words and are not read. Rows that share a doc_id, null among them, are told apart by their texts; what the mix takes
+    of rows equal in both is read from one of them."""
     docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs, block=BLOCK).where("taken > 0").select(F.col("doc_id").alias("taken_id"), "passes", "spans")
+    taken = mixing.mix(docs, block=BLOCK).where("taken > 0").groupBy(F.struct("doc_id").alias("of"), "mark").agg(F.sum("passes").alias("passes"), F.collect_list(F.when(F.size("spans") > 0, F.col("spans"))).alias("parts"), F.count("*").alias("copies"))
+    marked = docs.withColumns({"of": F.struct("doc_id"), "mark": mixing.mark()})
+    once = marked.join(taken.where("copies = 1"), ["of", "mark"])
+    more = marked.join(taken.where("copies > 1"), ["of", "mark"]).dropDuplicates(["of", "mark"])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "n_chars") + ", n_chars bigint"
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).drop("taken_id").mapInArrow(_cut, schema)
+    return once.unionByName(more).drop("of", "mark", "copies").mapInArrow(_cut, schema)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids of the mix."""
+    """doc_id, lang, source, n_tokens and the token ids of the mix; null and empty texts have none."""
     return bpe.encode(docs, bpe.vocabulary(), "lang", "source")
 
 
