@@ -22,17 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives the loss of an executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: rows are whole documents here, and a batch lies in memory several times on its way.
+BATCH_ROWS = 1500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless someone has set them to other than Spark's default."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text and the named columns alone: columns of other names can't clash with an operator's own."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", *columns)
 
 
