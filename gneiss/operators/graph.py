@@ -292,8 +292,31 @@ def trust_boundaries(services: DataFrame) -> DataFrame:
     return public.unionByName(internal).unionByName(zone(store, "Data layer", "private", reached, guessed))
 
 
+#: File endings of languages that are parsed.
+PARSED = ("ts", "tsx", "cts", "mts", "js", "jsx", "cjs", "mjs")
+
+
 def band_overlap(matches: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets(file, first, last) with whether a match(file, start_line, end_line) overlaps them, ends included."""
     t, m = targets.alias("t"), matches.alias("m")
     hit = (F.col("t.file") == F.col("m.file")) & (F.col("m.start_line") <= F.col("t.last")) & (F.col("m.end_line") >= F.col("t.first"))
     return t.join(m, hit, "left_semi").withColumn("caught", F.lit(True)).unionByName(t.join(m, hit, "left_anti").withColumn("caught", F.lit(False)))
+
+
+def calibrate(cases: DataFrame, seeds: DataFrame, matches: DataFrame, parsed: tuple[str, ...] = PARSED) -> DataFrame:
+    """cases(case, alias, file, first, last; file null without a target) with total, overlapping, matched and skip_reason.
+
+    A case is skipped without a target, without a seed pattern (seeds(case), by its own name or its alias), or if its file
+    is of no language that is parsed. matches(case, start_line, end_line); ends of bands count."""
+    alias = F.coalesce("alias", "case")
+    known = seeds.select("case").distinct()
+    seeded = cases.select("case", alias.alias("alias")).join(known.select(F.col("case").alias("a")), F.col("case") == F.col("a"), "left").join(known.select(F.col("case").alias("b")), F.col("alias") == F.col("b"), "left")
+    seeded = seeded.select("case", (F.col("a").isNotNull() | F.col("b").isNotNull()).alias("seeded")).distinct()
+    out = cases.withColumn("alias", alias).join(seeded, "case")
+    known_language = F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1)).isin(*parsed)
+    reason = F.when(F.col("file").isNull(), "case has no calibration_target").when(~F.col("seeded"), F.concat(F.lit("no A1 seed pattern for "), F.col("alias"))).when(~known_language, F.concat(F.lit("unsupported language for file "), F.col("file")))
+    out = out.withColumn("skip_reason", reason)
+    hit = F.count_if((F.col("start_line") <= F.col("last")) & (F.col("end_line") >= F.col("first")))
+    found = out.where("skip_reason is null").join(matches, "case").groupBy("case").agg(F.count("*").alias("total"), hit.alias("overlapping"))
+    counted = out.join(found, "case", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("total", "overlapping")})
+    return counted.select("case", "alias", "file", "first", "last", "total", "overlapping", (F.col("overlapping") > 0).alias("matched"), "skip_reason")

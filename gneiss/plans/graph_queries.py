@@ -184,3 +184,20 @@ def import_semgrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.struct(F.concat(F.lit("pkg.rule"), (F.col("doc_id") % 7).cast("string")).alias("check_id"), F.col("source").alias("path"), F.struct(F.col("doc_id").alias("line")).alias("start"), F.struct(level.alias("severity")).alias("extra"))
     reports = d.select(F.concat(F.lit("r"), "doc_id").alias("path"), F.to_json(F.struct(F.array(result).alias("results"))).alias("content"))
     return imports.import_reports(reports).select("rule", "title", "severity", "file", "line")
+
+
+@query("calibration", """WITH c AS (SELECT 'G' || p_partkey AS "case", CASE WHEN p_partkey % 2 = 0 THEN 'C' || p_partkey ELSE 'G' || p_partkey END AS alias, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'a.py' ELSE 'a.ts' END AS file, p_partkey % 50 AS first, p_partkey % 50 + 4 AS last, p_partkey AS k FROM part),
+r AS (SELECT *, CASE WHEN file IS NULL THEN 'case has no calibration_target' WHEN k % 3 = 0 AND NOT k % 6 = 0 THEN 'no A1 seed pattern for ' || alias WHEN file = 'a.py' THEN 'unsupported language for file a.py' END AS skip_reason FROM c),
+m AS (SELECT l_partkey AS k, l_linenumber * 9 AS a, l_linenumber * 9 + 2 AS b FROM lineitem), n AS (SELECT r.k, count(*) AS total, count(*) FILTER (m.a <= r.last AND m.b >= r.first) AS overlapping FROM r JOIN m ON m.k = r.k WHERE skip_reason IS NULL GROUP BY r.k)
+SELECT "case", alias, file, coalesce(total, 0) AS total, coalesce(overlapping, 0) AS overlapping, coalesce(overlapping, 0) > 0 AS matched, skip_reason FROM r LEFT JOIN n ON n.k = r.k""")
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds are known by name or, for every sixth case, by alias."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.concat(F.lit("G"), k.cast("string"))
+    alias = F.when(k % 2 == 0, F.concat(F.lit("C"), k.cast("string")))
+    file = F.when(k % 5 == 0, None).when(k % 7 == 0, "a.py").otherwise("a.ts")
+    cases = p.select(name.alias("case"), alias.alias("alias"), file.alias("file"), (k % 50).alias("first"), (k % 50 + 4).alias("last"))
+    seeds = p.where(k % 3 != 0).select(name.alias("case")).union(p.where(k % 6 == 0).select(alias))
+    at = F.col("l_linenumber") * 9
+    matches = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("case"), at.alias("start_line"), (at + 2).alias("end_line"))
+    return G.calibrate(cases, seeds, matches).drop("first", "last")
