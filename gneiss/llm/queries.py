@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash_dedup, mixing, mpeg_audio, quality_rules, secret_scan, sharding, substring_dedup, toxicity
+from . import bpe, line_dedup, minhash_dedup, mixing, mpeg_audio, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
