@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash_dedup, mixing, mpeg_audio, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, toxicity
+from . import bpe, collocations, line_dedup, minhash_dedup, mixing, mpeg_audio, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,10 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_minhash_dedup": minhash_dedup.ORACLE,
+    "op12_suffix_dedup": suffix_dedup.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

@@ -100,9 +100,10 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
         lo = hi
 
 
-def words(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the chunk's words, and for each document (and the end) the number of its first word."""
-    space = SPACE[c.data]
+def words(c: Chunk, spaces: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the chunk's words, and for each document (and the end) the number of its first word. spaces: for
+    each byte, whether it stands between words."""
+    space = spaces[c.data]
     start, end = ~space, ~space
     start[1:] &= space[:-1]
     end[:-1] &= space[1:]
