@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterable
 
 from gneiss.operators.modes import Family, Rule
+from gneiss.sources import yamlfiles
 
 MAX_CUSTOM = 2_000
 
@@ -282,10 +283,13 @@ def normalise(raw: object) -> list[Rule]:
 
 
 def load_custom(text: str) -> list[Rule]:
-    """Rules from a JSON text, or a YAML one where a YAML library is installed."""
+    """Rules from a JSON or YAML text; none from one that is neither, or holds several documents."""
     try:
         return normalise(json.loads(text))
     except ValueError:
-        import yaml
-
-        return normalise(yaml.safe_load(text))
+        pass
+    try:
+        found = yamlfiles.parse(text)
+    except ValueError:
+        return []
+    return normalise(yamlfiles.plain(found[0])) if len(found) == 1 else []

@@ -273,6 +273,30 @@ def service_edges(services: DataFrame) -> DataFrame:
     return depends.unionByName(inside).unionByName(outside)
 
 
+#: What an environment's key says of the protocol, and the addresses that name a host.
+PROTOCOLS = (("redis", "redis"), ("mongo", "mongodb"), ("postgres", "postgresql"), ("database", "postgresql"), ("amqp", "amqp"), ("rabbit", "amqp"))
+ADDRESS = r"(?:https?|postgres|mysql|mongodb|redis|amqp)://([^:/\s]+)"
+
+
+def inferred_connections(services: DataFrame) -> DataFrame:
+    """(project, source, target, protocol, description): what a service depends on, the services of its project that its
+    environment's values name, and hosts outside that they address.
+
+    A project's names meet its values as one array: a project is a handful of files, whatever the number of projects."""
+    who = services.select("project", F.col("name").alias("source"), "depends_on", "environment")
+    depends = who.select("project", "source", F.explode("depends_on").alias("target")).withColumns({"protocol": F.lit("tcp"), "description": F.concat("source", F.lit(" depends on "), "target")})
+    names = services.groupBy("project").agg(F.collect_set("name").alias("names"))
+    values = who.select("project", "source", F.explode("environment").alias("key", "value")).join(names, "project")
+    low = F.lower("key")
+    protocol = F.coalesce(*(F.when(F.contains(low, F.lit(word)), F.lit(name)) for word, name in PROTOCOLS), F.lit("tcp"))
+    others = F.filter("names", lambda n: (n != F.col("source")) & F.contains(F.col("value"), n))
+    inside = values.withColumn("target", F.explode(others)).select("project", "source", "target", protocol.alias("protocol"), F.concat("source", F.lit(" references "), "target", F.lit(" via "), "key").alias("description"))
+    host = F.regexp_extract("value", ADDRESS, 1)
+    outside = values.withColumn("target", host).where((F.col("target") != "") & ~F.array_contains("names", F.col("target")))
+    outside = outside.select("project", "source", "target", F.split("value", "://")[0].alias("protocol"), F.concat("source", F.lit(" connects to external "), "target", F.lit(" via "), "key").alias("description"))
+    return depends.unionByName(inside).unionByName(outside)
+
+
 def trust_boundaries(services: DataFrame) -> DataFrame:
     """Services with ports (public), without (internal) and data stores by image (private, beside the other two): sorted
     names, and risks in the order of the names: sensitive ports, stores with ports, weak passwords of stores."""
