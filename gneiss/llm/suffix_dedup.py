@@ -2,8 +2,9 @@
 
 Every string of `window` bytes that starts in a document with a smaller id goes. The collection is dealt out so that equal
 strings meet: each window holds the smallest of its `gram`-byte hashes, its anchor, and a maximal run of windows on one
-anchor is a piece (at most `2 * window - gram` bytes; longer ones, in periodic texts, are cut). Only anchors that two
-documents hold matter. Equal pieces of a bucket are one, with the least and the greatest document that hold it.
+anchor is a piece (at most `2 * window - gram` bytes; longer ones, in periodic texts, are cut). Equal texts are one, whose
+other copies go whole. Only anchors that two texts hold matter. Equal pieces of a bucket are one, with the least and the
+greatest document that hold it; one that is alone on its anchor has no other piece to be ordered among.
 
 In each bucket (`Columns`) the collection's transform and its longest common prefixes are built from the pieces' ends: a
 round puts one symbol of every piece that has one left. The last round's suffixes stand in the transform at known places;
@@ -27,13 +28,14 @@ a doc_id take nothing from each other; equal rows all appear. A null doc_id neit
 
 from __future__ import annotations
 
-import hashlib
+import io
 import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ from .common import small_batches, stage, table
 
 WINDOW, GRAM = 50, 25
 #: Pieces of a bucket, about; an anchor with a thousandth of all pieces and at least HOT is cut into windows.
-PIECES, HOT = 120_000, 10_000
+PIECES, HOT = 300_000, 10_000
 CHUNK = 1 << 22
 SPAN = "struct<at:int,n:int,first:bigint>"
 #: Bytes kept of an anchor while shared ones are sought: two that agree in these and in their bucket count as one, which costs a comparison.
@@ -64,13 +66,13 @@ def _runs(c: tk.Chunk, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return at, np.flatnonzero(end) + 1 - at, low[at], np.searchsorted(c.offs, at, side="right") - 1
 
 
-def _ids(batch: pa.RecordBatch, c: tk.Chunk) -> np.ndarray:
-    return batch["doc_id"].slice(c.lo, c.hi - c.lo).to_numpy(zero_copy_only=False).astype(np.int64)
+def _ids(batch: pa.RecordBatch, c: tk.Chunk, name: str = "doc_id") -> np.ndarray:
+    return batch[name].slice(c.lo, c.hi - c.lo).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _posts(window: int, gram: int, buckets: int):
-    """Anchors of a batch by bucket, packed: those of one document with it; those of more once, marked; and, dealt by
-    document, the pairs of the latter."""
+    """Anchors of a batch by bucket, packed: those of one text with its mark; those of more once; and, dealt by mark, the
+    pairs of the latter."""
 
     def pack(kind: int, where: np.ndarray, ids: np.ndarray, anchors: np.ndarray, rows: list[tuple]) -> None:
         order = np.lexsort((ids, where))
@@ -84,7 +86,7 @@ def _posts(window: int, gram: int, buckets: int):
         for batch in batches:
             for c in tk.chunks(batch["text"], CHUNK):
                 _, _, anchors, own = _runs(c, window, gram)
-                ids = _ids(batch, c)[own]
+                ids = _ids(batch, c, "mark")[own]
                 order = np.lexsort((ids, anchors))
                 anchors, ids = anchors[order], ids[order]
                 new = np.ones(len(ids), dtype=bool)
@@ -104,7 +106,7 @@ def _posts(window: int, gram: int, buckets: int):
 
 
 def _shared(part: pa.Table) -> pa.Table:
-    """doc_id and the low bytes of its anchors that another document holds too, for one bucket."""
+    """A text's mark and the low bytes of its anchors that another text holds too, for one bucket."""
     kind, keys, ids = [], [], []
     for k, a, d, t in zip(*(part[x].to_pylist() for x in ("kind", "anchors", "ids", "times")), strict=True):
         own = np.frombuffer(a, dtype=np.uint8).reshape(-1, KEPT)
@@ -122,7 +124,7 @@ def _shared(part: pa.Table) -> pa.Table:
         some = (np.minimum.reduceat(ids, head) < np.maximum.reduceat(ids, head)) | (np.maximum.reduceat(kind, head) == 1)
         keep = np.repeat(some, np.diff(np.concatenate([head, [len(keys)]]))) & (kind == 0)
         keys, ids = keys[keep], ids[keep]
-    return pa.table({"doc_id": np.concatenate([pairs[1], ids]), "anchor": np.concatenate([pairs[0], keys])})
+    return pa.table({"mark": np.concatenate([pairs[1], ids]), "anchor": np.concatenate([pairs[0], keys])})
 
 
 def _low(anchors: np.ndarray) -> np.ndarray:
@@ -184,30 +186,46 @@ class Columns:
         self.blocks = np.zeros(256, dtype=np.int64)
         self.blocks[0] = len(ends)
         self.turn = 0
-        with self._open("symbols", "wb") as symbols, self._open("prefixes", "wb") as prefixes:
-            data[ends - 1].tofile(symbols)
-            np.zeros(len(ends), dtype=np.uint8).tofile(prefixes)
+        self.files = {(what, k): open(os.path.join(folder, f"{what}-{k}"), "w+b", buffering=0) for what in ("symbols", "prefixes") for k in (0, 1)}
+        symbols, prefixes = self._from_start()
+        symbols.write(data[ends - 1])
+        prefixes.write(np.zeros(len(ends), dtype=np.uint8))
         # of the last round's suffixes, in their order: block, place in it, piece
         self.last = np.zeros(len(ends), dtype=np.uint8), np.arange(len(ends)), np.arange(len(ends))
         while len(self.last[0]):
             self._round()
 
-    def _open(self, what: str, mode: str, ahead: int = 0):
-        return open(os.path.join(self.folder, f"{what}-{(self.turn + ahead) % 2}"), mode)
+    def _from_start(self, ahead: int = 0) -> list[io.FileIO]:
+        """The files of this round, or of the next one, at their start."""
+        files = [self.files[what, (self.turn + ahead) % 2] for what in ("symbols", "prefixes")]
+        for f in files:
+            f.seek(0)
+        return files
+
+    @staticmethod
+    def _next(file: io.FileIO, n: int) -> np.ndarray:
+        block = np.empty(n, dtype=np.uint8)
+        view = memoryview(block)
+        while len(view):
+            view = view[file.readinto(view) :]
+        return block
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
 
     def _round(self) -> None:
         block, place, piece = self.last
         edge = np.searchsorted(block, np.arange(257))
         before = np.zeros(256, dtype=np.int64)
         found = []
-        with self._open("symbols", "rb") as symbols, self._open("prefixes", "rb") as prefixes:
-            for s in np.flatnonzero(self.blocks).tolist():
-                n = int(self.blocks[s])
-                own, lcp = np.fromfile(symbols, np.uint8, n), np.fromfile(prefixes, np.uint8, n)
-                counts = np.bincount(own, minlength=256)
-                if edge[s + 1] > edge[s]:
-                    found.append(self._extended(own, lcp, counts, before, place[edge[s] : edge[s + 1]], piece[edge[s] : edge[s + 1]]))
-                before += counts
+        symbols, prefixes = self._from_start()
+        for s in np.flatnonzero(self.blocks).tolist():
+            own, lcp = (self._next(f, int(self.blocks[s])) for f in (symbols, prefixes))
+            counts = np.bincount(own, minlength=256)
+            if edge[s + 1] > edge[s]:
+                found.append(self._extended(own, lcp, counts, before, place[edge[s] : edge[s + 1]], piece[edge[s] : edge[s + 1]]))
+            before += counts
         symbol, rank, piece, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(symbol, kind="stable")
         symbol, rank, piece, left, right = (x[order] for x in (symbol, rank, piece, left, right))
@@ -215,22 +233,22 @@ class Columns:
         ahead = np.where(self.sizes[piece] > length, self.data[np.maximum(self.ends[piece] - length - 1, 0)], 0).astype(np.uint8)
         edge = np.searchsorted(symbol, np.arange(257))
         grown = self.blocks + np.diff(edge)
-        with self._open("symbols", "rb") as symbols, self._open("prefixes", "rb") as prefixes, self._open("symbols", "wb", 1) as symbols_out, self._open("prefixes", "wb", 1) as prefixes_out:
-            for s in np.flatnonzero(grown).tolist():
-                n, m = int(self.blocks[s]), int(grown[s])
-                own, lcp = np.fromfile(symbols, np.uint8, n), np.fromfile(prefixes, np.uint8, n)
-                if m > n:
-                    put = slice(edge[s], edge[s + 1])
-                    at, old = rank[put], np.ones(m, dtype=bool)
-                    old[at] = False
-                    wide, lows = np.empty(m, dtype=np.uint8), np.empty(m + 1, dtype=np.uint8)
-                    wide[old], wide[at] = own, ahead[put]
-                    lows[:m][old] = lcp
-                    lows[at + 1] = right[put]
-                    lows[at] = left[put]
-                    own, lcp = wide, lows[:m]
-                own.tofile(symbols_out)
-                lcp.tofile(prefixes_out)
+        (symbols, prefixes), (symbols_out, prefixes_out) = self._from_start(), self._from_start(1)
+        for s in np.flatnonzero(grown).tolist():
+            n, m = int(self.blocks[s]), int(grown[s])
+            own, lcp = self._next(symbols, n), self._next(prefixes, n)
+            if m > n:
+                put = slice(edge[s], edge[s + 1])
+                at, old = rank[put], np.ones(m, dtype=bool)
+                old[at] = False
+                wide, lows = np.empty(m, dtype=np.uint8), np.empty(m + 1, dtype=np.uint8)
+                wide[old], wide[at] = own, ahead[put]
+                lows[:m][old] = lcp
+                lows[at + 1] = right[put]
+                lows[at] = left[put]
+                own, lcp = wide, lows[:m]
+            symbols_out.write(own)
+            prefixes_out.write(lcp)
         self.blocks, self.turn = grown, length
         more = ahead > 0
         self.last = symbol[more], rank[more], piece[more]
@@ -259,8 +277,7 @@ class Columns:
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """The transform and the common prefixes, all blocks."""
-        with self._open("symbols", "rb") as symbols, self._open("prefixes", "rb") as prefixes:
-            return np.fromfile(symbols, np.uint8), np.fromfile(prefixes, np.uint8)
+        return tuple(self._next(f, int(self.blocks.sum())) for f in self._from_start())
 
     def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By length from 1 on: the length, the pieces that have a suffix of it, and the rows of these."""
@@ -268,7 +285,7 @@ class Columns:
         to = np.empty(len(order), dtype=np.int32)
         to[order] = np.arange(len(order), dtype=np.int32)
         del order
-        piece = row = np.arange(len(self.ends))
+        piece = row = np.arange(len(self.ends), dtype=np.int32)
         for length in range(1, self.turn + 1):
             more = self.sizes[piece] >= length
             piece, row = piece[more], to[row[more]]
@@ -277,6 +294,8 @@ class Columns:
 
 def first_holders(pieces: list[bytes], least: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, at, first) for every window of the pieces: the least document that holds it in any of them."""
+    if not pieces:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8) + np.uint8(1)
     with tempfile.TemporaryDirectory(prefix="gneiss-columns-") as folder:
@@ -287,7 +306,8 @@ def first_holders(pieces: list[bytes], least: np.ndarray, window: int) -> tuple[
         for length, piece, row in columns.rows():
             if length >= window:
                 np.minimum.at(low, stretch[row], least[piece])
-                found.append((piece, sizes[piece] - length, stretch[row]))
+                found.append((piece, (sizes[piece] - length).astype(np.int32), stretch[row]))
+        columns.close()
     piece, at, stretch = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((at, piece))
     return piece[order], at[order], low[stretch[order]]
@@ -303,7 +323,17 @@ def _held(window: int):
         anchor, key, least, most = anchor[order], key[order], least[order], most[order]
         head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1])]))
         anchor, key, least, most = anchor[head], key[head], np.minimum.reduceat(least, head), np.maximum.reduceat(most, head)
-        piece, at, first = first_holders(part["piece"].take(pa.array(order[head])).to_pylist(), least, window)
+        alone = np.ones(len(head), dtype=bool)
+        alone[1:] &= anchor[1:] != anchor[:-1]
+        alone[:-1] &= anchor[1:] != anchor[:-1]
+        some = np.flatnonzero(~alone)
+        piece, at, first = first_holders(part["piece"].take(pa.array(order[head[some]])).to_pylist(), least[some], window)
+        # a piece alone on its anchor has no other to be ordered among: all its windows are its own
+        own = np.flatnonzero(alone & (least < most))
+        n = pc.binary_length(part["piece"].take(pa.array(order[head[own]]))).to_numpy() - window + 1
+        piece, at, first = np.concatenate([some[piece], np.repeat(own, n)]), np.concatenate([at, np.zeros(int(n.sum()), dtype=np.int32)]), np.concatenate([first, np.repeat(least[own], n)])
+        order = np.lexsort((at, piece))
+        piece, at, first = piece[order], at[order], first[order]
         new = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (first[1:] != first[:-1])]))
         n = np.diff(np.concatenate([new, [len(piece)]]))
         piece, at, first = piece[new], at[new], first[new]
@@ -351,14 +381,17 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pieces:
         raise ValueError("gram has to be under window, and pieces at most 254 bytes long")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"), F.xxhash64("text", F.lit(1)).alias("mark2"))
     named = docs.where("doc_id is not null")
+    # equal texts, by 128 bits, are one: the first stands for all, the others go whole
+    keys = stage(named.select("doc_id", "mark", "mark2", F.octet_length("text").alias("size")), "op12-keys")
+    first = keys.groupBy("mark", "mark2").agg(F.min("doc_id").alias("first"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posts = named.mapInArrow(_posts(window, gram, buckets), "kind int, bucket bigint, anchors binary, ids binary, times binary")
-    shared = posts.groupBy("bucket").applyInArrow(_shared, "doc_id bigint, anchor bigint")
-    seeds = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
+    shared = posts.groupBy("bucket").applyInArrow(_shared, "mark bigint, anchor bigint")
+    seeds = shared.groupBy("mark").agg(F.collect_set("anchor").alias("seeds")).join(first, "mark").select(F.col("first").alias("doc_id"), "mark", "mark2", "seeds")
     schema = "doc_id bigint, mark bigint, pos bigint, anchor bigint, key bigint, piece binary, least bigint, most bigint"
-    found = stage(named.join(seeds, "doc_id").mapInArrow(_pieces(window, gram), schema), "op12-pieces")
+    found = stage(named.join(seeds, ["doc_id", "mark", "mark2"]).mapInArrow(_pieces(window, gram), schema), "op12-pieces")
     own = found.where("piece is not null").select("anchor", "key", "piece", "least", "most")
     total = own.count()
     limit = max(hot, total // 1000)
@@ -377,7 +410,9 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pieces:
     hits = hits.select("doc_id", "mark", "pos", F.explode(F.filter("spans", lambda x: x["first"] < F.col("doc_id"))).alias("x"))
     start = F.col("pos") + F.col("x.at")
     gone = hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(start.alias("start"), (start + F.col("x.n") + (window - 1)).alias("end"))).alias("gone"))
-    return docs.join(gone, ["doc_id", "mark"], "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id bigint, kept binary, removed array<struct<start:bigint,end:bigint>>")
+    whole = keys.join(first, ["mark", "mark2"]).where((F.col("first") < F.col("doc_id")) & (F.col("size") >= window))
+    whole = whole.select("doc_id", "mark", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))).alias("gone")).distinct()
+    return docs.join(gone.unionByName(whole), ["doc_id", "mark"], "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id bigint, kept binary, removed array<struct<start:bigint,end:bigint>>")
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
