@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.rules import WIRED
 from gneiss.functions.scalars import fingerprint, fnv1a, line_bucket, rank_of, severity_rank
 from gneiss.operators import modes
-from gneiss.sources.stores import staged
+from gneiss.sources.stores import Store, staged
 
 
 def scan(files: DataFrame, families: tuple[modes.Family, ...] = WIRED, custom: tuple[modes.Rule, ...] = ()) -> DataFrame:
@@ -23,17 +23,28 @@ def scan(files: DataFrame, families: tuple[modes.Family, ...] = WIRED, custom: t
     return reduce(DataFrame.unionByName, parts)
 
 
+def running_totals(sizes: DataFrame, key: str, count: str = "count") -> DataFrame:
+    """(key, before): the sum of `count` over all smaller keys, for distinct keys, with no task that sees all of them.
+
+    Keys are dealt into ranges and written with their range's number; ranges have sums, of which there are as many as
+    partitions, and a range's keys are summed up from there."""
+    ranged = staged(sizes.select(key, count).repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = sorted(ranged.groupBy("_range").agg(F.sum(count)).collect())
+    offsets = [(r, sum(n for _, n in sums[:i])) for i, (r, _) in enumerate(sums)]
+    base = F.broadcast(sizes.sparkSession.createDataFrame(offsets, "_range int, _base bigint"))
+    inside = F.sum(count).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(base, "_range").select(key, (F.col("_base") + F.col("_inside")).alias("before"))
+
+
 def with_ids(found: DataFrame, prefix: str = "SPX", order: tuple[str, ...] = ("file", "rule_ord", "pattern_ord", "line")) -> DataFrame:
     """PREFIX-0001 and so on in a total order.
 
-    Numbers over everything need one order. It is dealt by ranges: rows are ranked in slices of the order and slices are
-    offset by the sizes before them, so no task sees all rows. Slices are the distinct first order columns."""
+    Rows are ranked among those of their first order column, and offset by the sizes of the smaller ones (running_totals)."""
     first, rest = order[0], order[1:]
-    sizes = found.groupBy(first).count()
-    before = sizes.select(first, (F.sum("count").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))  # one narrow row a slice
+    before = running_totals(found.groupBy(first).count(), first).withColumnRenamed("before", "_before")
     own = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
-    ranked = found.withColumn("_own", own).join(before, first)
-    return ranked.withColumn("id", F.format_string(f"{prefix}-%04d", F.coalesce("_before", F.lit(0)) + F.col("_own"))).drop("_own", "_before")
+    ranked = found.withColumn("_own", own).join(before, found[first].eqNullSafe(before[first])).drop(before[first])
+    return ranked.withColumn("id", F.format_string(f"{prefix}-%04d", F.col("_before") + F.col("_own"))).drop("_own", "_before")
 
 
 def at_least(found: DataFrame, threshold: str, severity: str = "severity") -> DataFrame:
@@ -200,6 +211,31 @@ def cached_scan(files: DataFrame, stored: DataFrame, rule_hash: str, families: t
     return fresh.unionByName(known.join(same, ["file", "content_hash"], "left_semi").select(*fresh.columns))
 
 
+#: Tables of a scan's store: files that were scanned, with or without findings, and the findings.
+SCAN_STORE = {
+    "scanned": "path string, content_hash string, rule_hash string",
+    "findings": "rule string, title string, severity string, category string, file string, line int, snippet string, cwe string, confidence string, scanner_ord int, rule_ord int, pattern_ord int",
+}
+
+
+def incremental_scan(files: DataFrame, store: Store, rule_hash: str, families: tuple[modes.Family, ...] = WIRED) -> tuple[DataFrame, DataFrame]:
+    """(findings, scanned again): findings of all files, of which only those that are new or changed since the store's version,
+    or all if the rules changed, are scanned; the store then holds the new version. Files that are gone leave it. Families
+    that look at all files together (M6) have to be scanned apart.
+
+    The scanned table names clean files too, so that they aren't scanned each time."""
+    if any(f.mode == "M6" for f in families):
+        raise ValueError("a family over all files together has no findings of one file")
+    now = files.withColumn("content_hash", F.sha2("content", 256))
+    known = store.load("scanned").where(F.col("rule_hash") == rule_hash).select("path", "content_hash").distinct()
+    again = staged(now.join(known, ["path", "content_hash"], "left_anti").select(*files.columns), "again")
+    fresh = scan(again, families)
+    same = now.join(known, ["path", "content_hash"], "left_semi").select(F.col("path").alias("file")).distinct()
+    kept = store.load("findings").join(same, "file", "left_semi")
+    store.save({"scanned": now.select("path", "content_hash", F.lit(rule_hash).alias("rule_hash")).distinct(), "findings": fresh.unionByName(kept.select(*fresh.columns))})
+    return store.load("findings"), again
+
+
 def order_by_severity(found: DataFrame) -> list[Column]:
     return [severity_rank("severity"), F.col("ordinal")]
 

@@ -108,24 +108,44 @@ def list_files(files: DataFrame, prefix: str = "", limit: int = 100) -> DataFram
     return files.where(F.startswith("path", F.lit(prefix))).select("path").orderBy("path").limit(limit)
 
 
-def _closing(text: str, start: int) -> int:
-    """Place after the brace that closes the one at start, braces in JSON strings aside; 0 without one."""
-    depth, inside, at = 0, False, start
-    while at < len(text):
-        c = text[at]
-        if inside:
-            if c == "\\":
-                at += 1
-            elif c == '"':
-                inside = False
+def _merged(one: list[list[int]], other: list[list[int]]) -> list[list[int]]:
+    """Open braces of two readings that go on as one: levels meet from the innermost on."""
+    long, short = (one, other) if len(one) >= len(other) else (other, one)
+    for k in range(1, len(short) + 1):
+        more, less = (long[-k], short[-k]) if len(long[-k]) >= len(short[-k]) else (short[-k], long[-k])
+        more.extend(less)  # the fewer go to the more, so none moves often
+        long[-k] = more
+    return long
+
+
+def closed_braces(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each brace that closes, read from it on with braces inside JSON strings aside; one pass.
+
+    Whether a place is inside a string depends on where reading began, but of all readings only three kinds differ at a
+    place: outside a string, inside, and behind a backslash inside. Each has one stack, and all its braces close together."""
+    outside, inside, escaped, after = [], [], None, -2
+    found = []
+    for m in re.finditer(r'[{}"\\]', text):
+        at, c = m.start(), m[0]
+        skipped = None
+        if escaped is not None:
+            if at == after + 1:
+                skipped = escaped
+            else:
+                inside = _merged(inside, escaped)
+            escaped = None
+        if c == "{":
+            outside.append([at])
+        elif c == "}":
+            if outside:
+                found += [(start, at + 1) for start in outside.pop()]
         elif c == '"':
-            inside = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return at + 1
-        at += 1
-    return 0
+            outside, inside = inside, outside
+        else:
+            escaped, after, inside = inside, at, []
+        if skipped is not None:
+            inside = _merged(inside, skipped)
+    return found
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -134,9 +154,8 @@ def _objects(texts: pd.Series) -> pd.Series:
         text = (text or "").strip()
         fenced = (x.strip() for x in re.findall(r"```(?:json)?\s*\n?([\s\S]*?)```", text))
         out = [x for x in (text, *fenced) if x.startswith("{") and x.endswith("}")]
-        opens = [i for i, c in enumerate(text) if c == "{"]
-        closed = ((i, _closing(text, i)) for i in reversed(opens))
-        return list(dict.fromkeys([*out, *(text[i:end] for i, end in closed if end)]))
+        closed = sorted(closed_braces(text), reverse=True)
+        return list(dict.fromkeys([*out, *(text[i:end] for i, end in closed)]))
 
     return texts.map(one)
 
