@@ -16,11 +16,10 @@ from gneiss.sources.stores import Store, staged
 
 
 def scan(files: DataFrame, families: tuple[modes.Family, ...] = WIRED, custom: tuple[modes.Rule, ...] = ()) -> DataFrame:
-    """Findings of all families, concatenated in their order; file order is that of paths. custom: rules that users wrote
+    """Findings of all families, in at most three passes over the files; scanner_ord is a family's place. custom: rules that users wrote
     (functions.rules.load_custom), looked for like the wired patterns, after all others."""
     families = (*families, modes.Family("", "M1", tuple(custom))) if custom else families
-    parts = [modes.findings(files, f, i) for i, f in enumerate(families)]
-    return reduce(DataFrame.unionByName, parts)
+    return modes.findings_together(files, families)
 
 
 def running_totals(sizes: DataFrame, key: str, count: str = "count") -> DataFrame:

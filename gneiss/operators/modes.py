@@ -7,8 +7,9 @@ Windows of lines are slices of the file's own array, so they need no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from gneiss.sources.corpus import with_lines
 
 CHUNK = 50
 SCAN_CAP = 500_000
+#: What makes M6's missing rules hold their peace wherever it occurs.
+SILENCER = "helmet"
 
 
 @dataclass(frozen=True)
@@ -183,7 +186,7 @@ def first_unmitigated(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return best.select("path", "rule_ord", "b.pattern_ord", "b.line", "b.snippet")
 
 
-def corpus_presence(files: DataFrame, rules: Sequence[Rule], silencer: str = "helmet") -> DataFrame:
+def corpus_presence(files: DataFrame, rules: Sequence[Rule], silencer: str = SILENCER) -> DataFrame:
     """M6: over all files together. A `missing` rule hits once, at line 0 of the first file, if neither its patterns nor
     the silencer occur anywhere; a `present` rule hits at its first matching line of each file."""
     missing = [(i, r) for i, r in enumerate(rules) if r.check == "missing"]
@@ -247,3 +250,142 @@ def findings(files: DataFrame, family: Family, ordinal: int = 0) -> DataFrame:
         "rule_ord",
         "pattern_ord",
     )
+
+
+def _gate(family: Family) -> Column:
+    """What `gated` filters by, as a test of a file."""
+    tests = []
+    if family.cap is not None:
+        tests.append(F.col("length") <= family.cap)
+    if family.extensions:
+        tests.append(F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).isin(*family.extensions))
+    if family.gate:
+        tests.append(F.col("content").rlike(regex(family.gate)))
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)) if tests else F.lit(True)
+
+
+def _shape(rule: Rule) -> Column:
+    """What M7 asks of a file's path and text."""
+    tests = [F.contains("path", F.lit(rule.path_contains))] if rule.path_contains else []
+    tests += [F.contains("content", F.lit(t)) for t in rule.has] + [~F.contains("content", F.lit(t)) for t in rule.lacks]
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)) if tests else F.lit(True)
+
+
+def _hit(k: int, i: int, j: int | Column, line: Column) -> Column:
+    return F.struct(F.lit(k).alias("scanner_ord"), F.lit(i).alias("rule_ord"), (F.lit(j) if isinstance(j, int) else j).alias("pattern_ord"), line.cast("int").alias("line"))
+
+
+def _flat(tests: list[Column]) -> Column:
+    """The tests' hits as one array; in slices, so that none makes an expression of hundreds."""
+    slices = [F.array_compact(F.array(*tests[k : k + CHUNK])) for k in range(0, len(tests), CHUNK)]
+    return F.flatten(F.array(*slices)) if len(slices) > 1 else slices[0]
+
+
+def _line_tests(k: int, family: Family) -> tuple[list[Column], list[tuple[str, Column]]]:
+    """Tests of single lines (M1, and M7 with patterns), and the conditions on whole files that they name."""
+    needs = [(f"g{k}", _gate(family))]
+    tests = []
+    for i, r in enumerate(family.rules):
+        named = f"g{k}"
+        if family.mode == "M7":
+            needs.append((f"s{k}_{i}", _shape(r)))
+            named = f"s{k}_{i}"
+        own = F.col(f"g{k}") & F.col(named) & _applies(r)
+        tests += [F.when(own & F.col("text").rlike(regex(p)), _hit(k, i, j, F.col("pos") + 1)) for j, p in enumerate(r.patterns)]
+    return tests, needs
+
+
+def _like(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: x.rlike(regex(pattern))
+
+
+def _file_tests(k: int, family: Family) -> list[Column]:
+    """Tests of whole files: M3, M4, M5, M6 of what is present, M7 without patterns."""
+    gate, content, out = F.col(f"g{k}"), F.col("content"), []
+    for i, r in enumerate(family.rules):
+        firsts = []
+        for j, p in enumerate(r.patterns):
+            if family.mode == "M6":
+                line = F.nullif(F.array_position(F.transform("lines", _like(p)), True), F.lit(0))
+            else:
+                line = match_line(content, regex(p))
+            ok = line.isNotNull()
+            if r.mitigation and family.mode in ("M4", "M5"):
+                ok = ok & ~window_text(*r.window, line).rlike(regex(r.mitigation))
+            firsts.append(F.when(ok, _hit(k, i, j, line)))
+        if family.mode == "M4":
+            out += [F.when(gate & _applies(r), x) for x in firsts]
+        elif family.mode in ("M3", "M5"):
+            out.append(F.when(gate & _applies(r), F.coalesce(*firsts)))
+        elif family.mode == "M6" and r.check == "present":
+            least = F.array_min(F.array_compact(F.array(*(F.when(x.isNotNull(), F.struct(x["line"].alias("line"), F.lit(j).alias("j"))) for j, x in enumerate(firsts)))))
+            out.append(F.when(gate & least.isNotNull(), _hit(k, i, least["j"], least["line"])))
+        elif family.mode == "M7" and not r.patterns:
+            out.append(F.when(gate & _shape(r), _hit(k, i, 0, F.lit(1))))
+    return out
+
+
+def _window_tests(k: int, family: Family, text: Column, line: Column) -> list[Column]:
+    """M2's tests of one line among the file's lines."""
+    out = []
+    for i, r in enumerate(family.rules):
+        for j, p in enumerate(r.patterns):
+            test = F.col(f"g{k}") & _applies(r) & text.rlike(regex(p))
+            if r.mitigation:
+                test = test & ~window_text(*r.window, line).rlike(regex(r.mitigation))
+            out.append(F.when(test, _hit(k, i, j, line)))
+    return out
+
+
+def hits_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
+    """Hits of many families in at most three passes over the files: scanner_ord, path, rule_ord, pattern_ord, line, snippet.
+
+    One pass tests single lines (M1, and M7 with patterns), one whole files and windows of their own lines (M2 to M5, what M6
+    looks for, and M7 without patterns), one what M6 finds nowhere. Gates are columns of the file, computed once."""
+    every = list(enumerate(families))
+    parts = []
+    by_line = [(k, f) for k, f in every if f.mode == "M1" or f.mode == "M7" and any(r.patterns for r in f.rules)]
+    if by_line:
+        tests, needs = [], []
+        for k, f in by_line:
+            own, more = _line_tests(k, f)
+            tests, needs = tests + own, needs + more
+        some = reduce(lambda a, b: a | b, (F.col(f"g{k}") for k, _ in by_line))
+        gated_files = files.select("path", "lang", "content", *(c.alias(n) for n, c in needs)).where(some)
+        lines = gated_files.select("path", "lang", *(n for n, _ in needs), F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+        parts.append(lines.select("path", js_trim("text").alias("snippet"), F.explode(_flat(tests)).alias("h")).select("path", "h.*", "snippet"))
+    by_file = [(k, f) for k, f in every if f.mode in ("M2", "M3", "M4", "M5", "M6", "M7")]
+    by_file = [(k, f) for k, f in by_file if f.mode != "M7" or not all(r.patterns for r in f.rules)]
+    by_file = [(k, f) for k, f in by_file if f.mode != "M6" or any(r.check == "present" for r in f.rules)]
+    if by_file:
+        own = with_lines(files.select("*", *(_gate(f).alias(f"g{k}") for k, f in by_file)).where(reduce(lambda a, b: a | b, (F.col(f"g{k}") for k, _ in by_file))))
+        whole = [t for k, f in by_file if f.mode != "M2" for t in _file_tests(k, f)]
+        windows = [(k, f) for k, f in by_file if f.mode == "M2"]
+        found = [_flat(whole)] if whole else []
+        if windows:
+            found.append(F.flatten(F.transform("lines", lambda x, n: _flat([t for k, f in windows for t in _window_tests(k, f, x, n + 1)]))))
+        h = own.select("path", "lines", F.explode(F.concat(*found)).alias("h")).select("path", "h.*", "lines")
+        parts.append(h.withColumn("snippet", _line_of(F.col("line"))).drop("lines"))
+    nowhere = [(k, f) for k, f in every if f.mode == "M6" and any(r.check == "missing" for r in f.rules)]
+    if nowhere:
+        # one row: whether a rule's patterns, or what silences it, occur in any of its family's files
+        absent = [(k, i, r) for k, f in nowhere for i, r in enumerate(f.rules) if r.check == "missing"]
+        gates = files.select("path", "content", *(_gate(f).alias(f"g{k}") for k, f in nowhere))
+        seen = [F.bool_or(F.col(f"g{k}") & F.col("content").rlike(regex("|".join((*r.patterns, SILENCER))))).alias(f"r{k}_{i}") for k, i, r in absent]
+        one = gates.agg(*(F.min(F.when(F.col(f"g{k}"), F.col("path"))).alias(f"p{k}") for k, _ in nowhere), *seen)
+        tests = [F.when(F.col(f"p{k}").isNotNull() & ~F.col(f"r{k}_{i}"), F.struct(F.col(f"p{k}").alias("path"), _hit(k, i, 0, F.lit(0)).alias("h"))) for k, i, _ in absent]
+        parts.append(one.select(F.explode(_flat(tests)).alias("x")).select("x.path", "x.h.*", F.lit("").alias("snippet")))
+    return _union(parts)
+
+
+def findings_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
+    """As `findings` of each family, all together."""
+
+    def about(f: Family, r: Rule) -> Column:
+        prefix = f"{f.prefix}:" if f.prefix else ""
+        said = {"rule": prefix + r.id, "title": r.title, "severity": r.severity, "category": r.category, "cwe": r.cwe, "confidence": f.confidence}
+        return F.struct(*(F.lit(v).cast("string").alias(n) for n, v in said.items()))
+
+    known = F.array(*(F.array(*(about(f, r) for r in f.rules)) for f in families))
+    out = hits_together(files, families).withColumn("r", F.element_at(F.element_at(known, F.col("scanner_ord") + 1), F.col("rule_ord") + 1))
+    return out.select("r.rule", "r.title", "r.severity", "r.category", F.col("path").alias("file"), "line", F.substring("snippet", 1, 300).alias("snippet"), "r.cwe", "r.confidence", "scanner_ord", "rule_ord", "pattern_ord")

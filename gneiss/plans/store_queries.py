@@ -11,8 +11,8 @@ from gneiss.functions import rules as R
 from gneiss.operators import advisories as V
 from gneiss.operators.findings import SCAN_STORE, incremental_scan
 from gneiss.plans.base import FILES, query, read
+from gneiss.plans.base import files as corpus
 from gneiss.plans.scan_queries import _RULES
-from gneiss.sources.corpus import language
 from gneiss.sources.stores import Store, shared_folder
 
 #: Packages at versions with and without a pre-release, and two advisories each, by arithmetic on the keys of `part`.
@@ -58,10 +58,10 @@ def advisory_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.vulnerable_by_range(deps, V.parsed(texts)).groupBy("rule", "snippet", "severity").agg(F.count("*").alias("n"))
 
 
-_TWICE = f"""WITH {FILES.split(', lines AS')[0].rsplit('),', 1)[0]}), one AS (SELECT path, content FROM files WHERE path NOT LIKE '%7'),
+_TWICE = f"""WITH {FILES}, one AS (SELECT path, content FROM files WHERE path NOT LIKE '%7'),
 two AS (SELECT path, CASE WHEN path LIKE '%3' THEN content || chr(10) || 'Licensed under X' ELSE content END AS content FROM files),
 l AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM two), {_RULES},
-a AS (SELECT two.path FROM two LEFT JOIN one ON one.path = two.path AND one.content = two.content WHERE one.path IS NULL)
+a AS (SELECT two.path FROM two LEFT JOIN one ON one.path = two.path AND one.content IS NOT DISTINCT FROM two.content WHERE one.path IS NULL)
 SELECT 'again' AS what, NULL AS rule, count(*) AS n FROM a UNION ALL SELECT 'findings', rule, count(*) FROM l JOIN rules ON regexp_matches(l.line, rx, 'i') GROUP BY rule"""
 
 
@@ -69,10 +69,7 @@ SELECT 'again' AS what, NULL AS rule, count(*) AS n FROM a UNION ALL SELECT 'fin
 def incremental_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts scanned twice through one store, the second time with new and changed ones: how many were scanned again, and all
     findings of the second version."""
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    files = files.unionByName(read(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content")))
-    files = files.unionByName(read(spark, sf_dir, "conversations").select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content")))
-    files = files.withColumns({"length": F.length("content").cast("long"), "lang": language("path")})
+    files = corpus(spark, sf_dir)
     store = Store(spark, f"{shared_folder(spark)}/scans-{uuid.uuid4().hex}", SCAN_STORE)
     incremental_scan(files.where("path not like '%7'"), store, "1", (R.CORPUS,))
     changed = files.withColumn("content", F.when(F.endswith("path", F.lit("3")), F.concat("content", F.lit("\nLicensed under X"))).otherwise(F.col("content")))
