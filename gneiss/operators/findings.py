@@ -15,11 +15,20 @@ from gneiss.operators import modes
 from gneiss.sources.stores import Store, staged
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """files, dealt out anew where they stand in fewer stored files than the session has cores: a stored file may be one task,
+    and scanning costs far more than moving. A corpus in many files stays where it is."""
+    spark = files.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    stored = len(files.inputFiles())
+    return files.repartition(4 * cores, "path") if 0 < stored < cores else files
+
+
 def scan(files: DataFrame, families: tuple[modes.Family, ...] = WIRED, custom: tuple[modes.Rule, ...] = ()) -> DataFrame:
     """Findings of all families, in at most three passes over the files; scanner_ord is a family's place. custom: rules that users wrote
     (functions.rules.load_custom), looked for like the wired patterns, after all others."""
     families = (*families, modes.Family("", "M1", tuple(custom))) if custom else families
-    return modes.findings_together(files, families)
+    return modes.findings_together(spread(files), families)
 
 
 def running_totals(sizes: DataFrame, key: str, count: str = "count") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.scalars import js_trim, match_line
 from gneiss.sources.corpus import with_lines
 
-CHUNK = 50
+CHUNK, SLICE = 50, 20
 SCAN_CAP = 500_000
 #: What makes M6's missing rules hold their peace wherever it occurs.
 SILENCER = "helmet"
@@ -275,24 +275,24 @@ def _hit(k: int, i: int, j: int | Column, line: Column) -> Column:
     return F.struct(F.lit(k).alias("scanner_ord"), F.lit(i).alias("rule_ord"), (F.lit(j) if isinstance(j, int) else j).alias("pattern_ord"), line.cast("int").alias("line"))
 
 
-def _flat(tests: list[Column]) -> Column:
-    """The tests' hits as one array; in slices, so that none makes an expression of hundreds."""
-    slices = [F.array_compact(F.array(*tests[k : k + CHUNK])) for k in range(0, len(tests), CHUNK)]
-    return F.flatten(F.array(*slices)) if len(slices) > 1 else slices[0]
+def _flat(tests: list[tuple[Column, list[Column]]]) -> Column:
+    """Hits of groups of tests as one array. A group is looked at only where its condition holds, and is cut into slices, so
+    that no expression is one of hundreds."""
+    slices = [F.when(on, F.array_compact(F.array(*own[k : k + SLICE]))) for on, own in tests for k in range(0, len(own), SLICE)]
+    return F.flatten(F.array_compact(F.array(*slices)))
 
 
-def _line_tests(k: int, family: Family) -> tuple[list[Column], list[tuple[str, Column]]]:
+def _line_tests(k: int, family: Family) -> tuple[list[tuple[Column, list[Column]]], list[tuple[str, Column]]]:
     """Tests of single lines (M1, and M7 with patterns), and the conditions on whole files that they name."""
-    needs = [(f"g{k}", _gate(family))]
-    tests = []
+    needs, groups = [(f"g{k}", _gate(family))], []
+    tests = {i: [F.when(_applies(r) & F.col("text").rlike(regex(p)), _hit(k, i, j, F.col("pos") + 1)) for j, p in enumerate(r.patterns)] for i, r in enumerate(family.rules)}
+    if family.mode != "M7":
+        return [(F.col(f"g{k}"), [t for own in tests.values() for t in own])], needs
     for i, r in enumerate(family.rules):
-        named = f"g{k}"
-        if family.mode == "M7":
-            needs.append((f"s{k}_{i}", _shape(r)))
-            named = f"s{k}_{i}"
-        own = F.col(f"g{k}") & F.col(named) & _applies(r)
-        tests += [F.when(own & F.col("text").rlike(regex(p)), _hit(k, i, j, F.col("pos") + 1)) for j, p in enumerate(r.patterns)]
-    return tests, needs
+        if r.patterns:
+            needs.append((f"s{k}_{i}", _gate(family) & _shape(r)))
+            groups.append((F.col(f"s{k}_{i}"), tests[i]))
+    return groups, needs
 
 
 def _like(pattern: str) -> Callable[[Column], Column]:
@@ -301,7 +301,7 @@ def _like(pattern: str) -> Callable[[Column], Column]:
 
 def _file_tests(k: int, family: Family) -> list[Column]:
     """Tests of whole files: M3, M4, M5, M6 of what is present, M7 without patterns."""
-    gate, content, out = F.col(f"g{k}"), F.col("content"), []
+    content, out = F.col("content"), []
     for i, r in enumerate(family.rules):
         firsts = []
         for j, p in enumerate(r.patterns):
@@ -314,14 +314,14 @@ def _file_tests(k: int, family: Family) -> list[Column]:
                 ok = ok & ~window_text(*r.window, line).rlike(regex(r.mitigation))
             firsts.append(F.when(ok, _hit(k, i, j, line)))
         if family.mode == "M4":
-            out += [F.when(gate & _applies(r), x) for x in firsts]
+            out += [F.when(_applies(r), x) for x in firsts]
         elif family.mode in ("M3", "M5"):
-            out.append(F.when(gate & _applies(r), F.coalesce(*firsts)))
+            out.append(F.when(_applies(r), F.coalesce(*firsts)))
         elif family.mode == "M6" and r.check == "present":
             least = F.array_min(F.array_compact(F.array(*(F.when(x.isNotNull(), F.struct(x["line"].alias("line"), F.lit(j).alias("j"))) for j, x in enumerate(firsts)))))
-            out.append(F.when(gate & least.isNotNull(), _hit(k, i, least["j"], least["line"])))
+            out.append(F.when(least.isNotNull(), _hit(k, i, least["j"], least["line"])))
         elif family.mode == "M7" and not r.patterns:
-            out.append(F.when(gate & _shape(r), _hit(k, i, 0, F.lit(1))))
+            out.append(F.when(_shape(r), _hit(k, i, 0, F.lit(1))))
     return out
 
 
@@ -330,7 +330,7 @@ def _window_tests(k: int, family: Family, text: Column, line: Column) -> list[Co
     out = []
     for i, r in enumerate(family.rules):
         for j, p in enumerate(r.patterns):
-            test = F.col(f"g{k}") & _applies(r) & text.rlike(regex(p))
+            test = _applies(r) & text.rlike(regex(p))
             if r.mitigation:
                 test = test & ~window_text(*r.window, line).rlike(regex(r.mitigation))
             out.append(F.when(test, _hit(k, i, j, line)))
@@ -359,11 +359,11 @@ def hits_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
     by_file = [(k, f) for k, f in by_file if f.mode != "M6" or any(r.check == "present" for r in f.rules)]
     if by_file:
         own = with_lines(files.select("*", *(_gate(f).alias(f"g{k}") for k, f in by_file)).where(reduce(lambda a, b: a | b, (F.col(f"g{k}") for k, _ in by_file))))
-        whole = [t for k, f in by_file if f.mode != "M2" for t in _file_tests(k, f)]
+        whole = [(F.col(f"g{k}"), _file_tests(k, f)) for k, f in by_file if f.mode != "M2"]
         windows = [(k, f) for k, f in by_file if f.mode == "M2"]
         found = [_flat(whole)] if whole else []
         if windows:
-            found.append(F.flatten(F.transform("lines", lambda x, n: _flat([t for k, f in windows for t in _window_tests(k, f, x, n + 1)]))))
+            found.append(F.flatten(F.transform("lines", lambda x, n: _flat([(F.col(f"g{k}"), _window_tests(k, f, x, n + 1)) for k, f in windows]))))
         h = own.select("path", "lines", F.explode(F.concat(*found)).alias("h")).select("path", "h.*", "lines")
         parts.append(h.withColumn("snippet", _line_of(F.col("line"))).drop("lines"))
     nowhere = [(k, f) for k, f in every if f.mode == "M6" and any(r.check == "missing" for r in f.rules)]
@@ -374,7 +374,7 @@ def hits_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
         seen = [F.bool_or(F.col(f"g{k}") & F.col("content").rlike(regex("|".join((*r.patterns, SILENCER))))).alias(f"r{k}_{i}") for k, i, r in absent]
         one = gates.agg(*(F.min(F.when(F.col(f"g{k}"), F.col("path"))).alias(f"p{k}") for k, _ in nowhere), *seen)
         tests = [F.when(F.col(f"p{k}").isNotNull() & ~F.col(f"r{k}_{i}"), F.struct(F.col(f"p{k}").alias("path"), _hit(k, i, 0, F.lit(0)).alias("h"))) for k, i, _ in absent]
-        parts.append(one.select(F.explode(_flat(tests)).alias("x")).select("x.path", "x.h.*", F.lit("").alias("snippet")))
+        parts.append(one.select(F.explode(_flat([(F.lit(True), tests)])).alias("x")).select("x.path", "x.h.*", F.lit("").alias("snippet")))
     return _union(parts)
 
 
