@@ -15,27 +15,40 @@ from gneiss.functions.scalars import js_trim, mask_secret
 from gneiss.operators.modes import regex, window_text
 from gneiss.sources.corpus import with_lines
 
-#: Signs of a pattern that may backtrack without bound; the first that holds names the finding.
+#: Where a line holds the source of a regular expression (group 1), and what a source of the third kind, any
+#: template, has to look like.
+SOURCES = (r"new\s+RegExp\s*\(\s*[\"'`]([^\"'`]+)[\"'`]", r"/([^/\n]{3,})/[gimsuy]*", r"`((?:\\`|[^`])+)`")
+LIKE_REGEX = r"\\[sdwbSDWB]|\[[^\]]{1,}\]|\(\?[:=!]"
+#: Fixed values, in order: signs of a source that may backtrack without bound, and what some need beside; the first names it.
 INDICATORS = (
-    ("nested-plus", r"\([^()]*\+\)\+"), ("nested-star", r"\([^()]*\*\)\*"), ("star-plus", r"\([^()]*\*\)\+"), ("plus-star", r"\([^()]*\+\)\*"), ("nested-brace", r"\([^()]*\{\d+,\}\)[+*]"),
-    ("alternation-star", r"\((\w+)\|\1\)[+*]"), ("dot-star-twice", r"\.\*[^|)]*\.\*[^|)]*\.\*"), ("class-twice", r"(\[[^\]]+\][+*])\1"), ("space-twice", r"\\s[+*]\\s[+*]"),
-)
-USER_FACING = r"req\.|request\.|params|query|body|input|user"
-
-
-def redos(files: DataFrame) -> DataFrame:
-    """Patterns in constructors, literals and interpolated templates that may backtrack; high where input is near."""
-    rows = with_lines(files.where("length <= 500000")).select("path", "lines", F.posexplode("lines").alias("pos", "text")).withColumn("line", F.col("pos") + 1)
-    found = F.concat(
-        F.regexp_extract_all("text", F.lit(r"(?:new\s+RegExp|re\.compile)\s*\(\s*r?[\"']((?:[^\"'\\]|\\.)+)[\"']"), 1),
-        F.regexp_extract_all("text", F.lit(r"(?:^|[=(,:\s])/((?:[^/\\\n]|\\.)+)/[gimsuy]*"), 1),
-        F.filter(F.regexp_extract_all("text", F.lit(r"new\s+RegExp\s*\(\s*`([^`]+)`"), 1), lambda x: F.contains(x, F.lit("${"))),
-    )
-    each = rows.select("path", "lines", "line", F.explode(found).alias("pattern"))
-    indicator = F.coalesce(*(F.when(F.col("pattern").rlike(p), F.lit(n)) for n, p in INDICATORS))
+    ("Nested quantifiers", r"\([^)]*[+*]\)[+*]", None),
+    ("Nested quantifier with repetition", r"\([^)]*[+*]\)\{", None),
+    ("Multiple greedy wildcards", r"\.\*\.\*", None),
+    ("Multiple greedy one-or-more", r"\.\+\.\+", None),
+    ("Alternation in repeated group", r"\([^)]*\|[^)]*\)[+*]", None),
+    ("Back-reference with quantifier", r"\\[1-9].*[+*]", None),
+    ("Greedy capture repeated", r"\(\.\*\)\+", None),
+    ("Character class repeated in repeated group", r"(?i)\([a-z]-[a-z]\]\+\)\+", None),
+    ("Unbounded whitespace adjacent to template interpolation", r"\\s[*+]", r"\$\{"),
+)
+#: Words of lines around that say the source meets input.
+USER_FACING = r"req\.|input|user|body|query|params|request|data|search|filter|match"
+
+
+def redos(files: DataFrame, cap: int | None = 500_000) -> DataFrame:
+    """Sources of regular expressions that may backtrack, in constructors, literals and templates: one finding a source, high
+    where one of the lines from three before to three after names input. cap: files over so many bytes aren't looked at."""
+    small = files if cap is None else files.where(F.col("length") <= cap)
+    rows = with_lines(small).select("path", "lines", F.posexplode("lines").alias("pos", "text")).withColumn("line", F.col("pos") + 1)
+    *plain, template = (F.regexp_extract_all("text", F.lit(p), 1) for p in SOURCES)
+    found = F.filter(F.concat(*plain, F.filter(template, lambda x: x.rlike(LIKE_REGEX))), lambda x: F.length(x) >= 3)
+    each = rows.select("path", "lines", "line", "text", F.explode(found).alias("pattern"))
+    holds = lambda p, need: F.col("pattern").rlike(p) & (F.col("pattern").rlike(need) if need else F.lit(True))
+    indicator = F.coalesce(*(F.when(holds(p, need), F.lit(name)) for name, p, need in INDICATORS))
     near = window_text(-3, 3).rlike(regex(USER_FACING))
+    title = F.concat(F.lit("ReDoS: "), "indicator", F.lit(" — "), F.when(near, "user-facing").otherwise("internal"))
     return each.withColumn("indicator", indicator).where("indicator is not null").select(
-        F.lit("redos:vulnerable-pattern").alias("rule"), F.col("path").alias("file"), "line", F.substring("pattern", 1, 120).alias("snippet"), "indicator", F.when(near, "high").otherwise("low").alias("severity"), F.when(near, "high").otherwise("medium").alias("confidence")
+        F.lit("redos:vulnerable-pattern").alias("rule"), title.alias("title"), F.col("path").alias("file"), "line", F.substring(js_trim("text"), 1, 120).alias("snippet"), "indicator", F.when(near, "high").otherwise("low").alias("severity"), F.when(near, "high").otherwise("medium").alias("confidence")
     )
 
 

@@ -130,9 +130,43 @@ def scan_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(pages.unionByName(scripts.select(*pages.columns)), DEEP).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query("redos_scan")
+def redos_sql(tables: str) -> str:
+    """The rule over lines(path, line_no, line), of which `tables` makes the rows; files over the cap aside."""
+    # spelled for SQL here, not taken from the operator
+    signs = (
+        ("Nested quantifiers", r"\([^)]*[+*]\)[+*]"), ("Nested quantifier with repetition", r"\([^)]*[+*]\)[{]"), ("Multiple greedy wildcards", r"[.][*][.][*]"), ("Multiple greedy one-or-more", r"[.][+][.][+]"),
+        ("Alternation in repeated group", r"\([^)]*[|][^)]*\)[+*]"), ("Back-reference with quantifier", r"[\\][1-9].*[+*]"), ("Greedy capture repeated", r"\([.][*]\)[+]"), ("Character class repeated in repeated group", r"(?i)\([a-z]-[a-z]\][+]\)[+]"),
+    )
+    cases = " ".join(f"WHEN regexp_matches(p, '{p}') THEN '{n}'" for n, p in signs)
+    return f"""WITH {tables}, own AS (SELECT l.path, l.line_no, l.line FROM lines l JOIN files f ON f.path = l.path WHERE strlen(f.content) <= 500000),
+s AS (SELECT path, line_no, unnest(regexp_extract_all(line, 'new\\s+RegExp\\s*\\(\\s*["''`]([^"''`]+)["''`]', 1)) AS p FROM own UNION ALL SELECT path, line_no, unnest(regexp_extract_all(line, '/([^/\\n]{{3,}})/[gimsuy]*', 1)) FROM own
+  UNION ALL SELECT path, line_no, p FROM (SELECT path, line_no, unnest(regexp_extract_all(line, '`((?:[\\\\]`|[^`])+)`', 1)) AS p FROM own) WHERE regexp_matches(p, '[\\\\][sdwbSDWB]|\\[[^\\]]+\\]|\\([?][:=!]')),
+h AS (SELECT path, line_no, CASE {cases} WHEN regexp_matches(p, '[\\\\]s[*+]') AND contains(p, '${{') THEN 'Unbounded whitespace adjacent to template interpolation' END AS indicator FROM s WHERE length(p) >= 3),
+n AS (SELECT a.path, a.line_no, bool_or(regexp_matches(b.line, 'req\\.|input|user|body|query|params|request|data|search|filter|match', 'i')) AS near FROM (SELECT DISTINCT path, line_no FROM h WHERE indicator IS NOT NULL) a JOIN lines b ON b.path = a.path AND b.line_no BETWEEN a.line_no - 3 AND a.line_no + 3 GROUP BY 1, 2)
+SELECT h.path AS file, h.line_no::BIGINT AS line, indicator, CASE WHEN near THEN 'high' ELSE 'low' END AS severity FROM h JOIN n ON n.path = h.path AND n.line_no = h.line_no WHERE indicator IS NOT NULL"""
+
+
+@query("redos_scan", redos_sql(FILES))
 def redos_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textscan.redos(files(spark, sf_dir))
+    return textscan.redos(files(spark, sf_dir)).select("file", "line", "indicator", "severity")
+
+
+#: Lines of code, of which each text holds three: sources of all kinds, with and without what they need.
+CODE = (
+    'const a = new RegExp("(x+)+$")', "ok.test(/^(a*)*b/g, s)", "r = /(ab+){2,}/", "const any = /.*.*end/.test(t)", "p = /.+.+/", "f(/(a|b)*c/)", "g = /(x)\\1+/", "k = /(.*)+/i", "c = /([a-z]+)+/", "c = `(A-Z]+)+\\d`",
+    "const t = `^\\s*${name}$`", "const t = `\\s* no slot`", "const u = `plain ${text}`", "new RegExp('(?:y+)*')", "x = 1 // y / z", "/ab/", "search(q)", "req.body.x", "// nothing here", "", "t = `[^x](a|b)+` + `(c|d)+` // /(e|f)+/",
+)
+_CODE_FILES = "code(i, text) AS (VALUES " + ", ".join(f"({i}, '" + c.replace("'", "''") + "')" for i, c in enumerate(CODE)) + f"""),
+files AS (SELECT 'c' || e.event_id AS path, a.text || chr(10) || b.text || chr(10) || c.text AS content FROM events e JOIN code a ON a.i = e.event_id % {len(CODE)} JOIN code b ON b.i = (e.event_id // 3) % {len(CODE)} JOIN code c ON c.i = (e.event_id // 7 + 5) % {len(CODE)}),
+lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files)"""
+
+
+@query("redos", redos_sql(_CODE_FILES))
+def redos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    line = lambda k: F.element_at(F.array(*map(F.lit, CODE)), (F.floor(k).cast("long") % len(CODE) + 1).cast("int"))
+    own = read(spark, sf_dir, "events").select(F.concat(F.lit("c"), e.cast("string")).alias("path"), F.concat(line(e), F.lit("\n"), line(e / 3), F.lit("\n"), line(F.floor(e / 7) + 5)).alias("content"))
+    return textscan.redos(own.withColumn("length", F.octet_length("content"))).select("file", "line", "indicator", "severity")
 
 
 @query("redirect_header_scan")

@@ -166,16 +166,6 @@ def env_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.env_checks(own)
 
 
-_CODE = (r'x = new RegExp("(a+)+$"); req.body', "x = new RegExp('^[a-z]+$')", "y = s.replace(/(b*)*c/, '')", "plain line")
-
-
-@query("redos", "SELECT * FROM (SELECT 'c' || event_id AS file, 2::BIGINT AS line, ['nested-plus', NULL, 'nested-star', NULL][event_id % 4 + 1] AS indicator, ['high', NULL, 'low', NULL][event_id % 4 + 1] AS severity FROM events) WHERE indicator IS NOT NULL")
-def redos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.element_at(F.array(*map(F.lit, _CODE)), (F.col("event_id") % 4 + 1).cast("int"))
-    own = read(spark, sf_dir, "events").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("path"), F.concat(F.lit("// code\n"), line).alias("content")).withColumn("length", F.length("content"))
-    return T.redos(own).select("file", "line", "indicator", "severity")
-
-
 @query("redirect_headers", "SELECT 'c' || event_id AS file, 3::BIGINT AS line FROM events WHERE event_id % 3 = 0")
 def redirect_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")

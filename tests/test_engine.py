@@ -211,7 +211,10 @@ def test_supply_chain(spark, files):
 
 def test_redos_and_redirects(files):
     tree = {"a.js": 'const r = new RegExp("(a+)+$");\nr.test(req.body.x)', "b.js": "follow redirect\nh.replace(/^authorization$/i, '')", "c.js": "h.replace(/^authorization$/i, '')"}
-    assert rows(textscan.redos(files(tree)), "file", "indicator", "severity") == [("a.js", "nested-plus", "high")]
+    assert rows(textscan.redos(files(tree)), "file", "indicator", "severity") == [("a.js", "Nested quantifiers", "high")]
+    more = {"s.js": "const t = createToken(`^\\s*${x}\\s+$`)", "plain.js": "log(`took ${ms} ms`)", "long.js": "/(a|b)*/" + " " * 500_000}
+    assert rows(textscan.redos(files(more)), "file", "indicator", "severity") == [("s.js", "Unbounded whitespace adjacent to template interpolation", "low")]
+    assert textscan.redos(files(more), cap=None).count() == 2
     assert rows(textscan.redirect_headers(files(tree)), "file", "line") == [("b.js", 2)]
 
 
