@@ -112,6 +112,8 @@ API = Family("api", "M1", _rules("api-security", [
     ("api-log-sensitive", "medium", 532, "Secret in a log", (r"(console\.\w+|logger?\.\w+)\s*\([^)]*(password|token|secret)",)),
     ("api-no-pagination", "medium", 770, "List without a limit", (r"\.find\s*\(\s*\{?\s*\}?\s*\)\s*;?\s*$",)),
     ("api-cors-wildcard", "medium", 942, "Any origin allowed", (r"access-control-allow-origin[\"']?\s*[,:]\s*[\"']\*",)),
+    ("api-broken-function-auth", "high", 285, "Administration without a role check", (r"\.(get|post|put|delete)\s*\(\s*[\"']/(admin|manage|internal|system|config)(?!.*(role|admin\b|permission|authori[sz]e|rbac)\w*\s*[(,])",)),
+    ("api-missing-headers", "low", 693, "Bodies parsed, no header guard in use", (r"\.use\s*\(\s*express\.json\s*\((?!.*helmet)",)),
 ]), extensions=(*JS, ".py", ".go", ".java"), gate=r"(app|router)\.|@(get|post|request)mapping|def \w+\(request|res\.json|fetch", confidence="high", id_prefix="API")
 
 CRYPTO = Family("crypto", "M1", _rules("crypto", [
@@ -134,6 +136,10 @@ PRIVACY = Family("privacy", "M1", _rules("privacy", [
     ("privacy-third-party-data", "medium", 359, "Personal data sent on", (r"(analytics|segment|mixpanel)\.\w+\s*\([^)]*(email|phone|name)",)),
     ("privacy-cookie-no-consent", "medium", 359, "Tracking without consent", (r"document\.cookie\s*=", r"gtag\s*\(\s*[\"']config")),
     ("privacy-password-plaintext", "critical", 256, "Password kept in plain text", (r"password\s*[:=]\s*req\.body\.password",)),
+    ("privacy-no-consent", "medium", 359, "Tracking that asks for no consent", (r"\b(analytics|tracking|telemetry)\.\w+\s*\((?!.*(consent|gdpr|opt_?in))", r"\b(gtag|fbq|ga|mixpanel|segment)\s*\(\s*[\"'](event|track|identify)")),
+    ("privacy-no-deletion", "medium", 359, "Account routes, none that deletes", (r"\.(get|post)\s*\(\s*[\"']/(api/)?(user|account|profile)s?[\"'](?!.*(delete|destroy|remove|erase|purge))",)),
+    ("privacy-excessive-collection", "low", 359, "Sensitive traits asked for", (r"\b(required|validate)\w*\b.*\b(gender|race|ethnicity|religion|political\w*|sexual_?orientation|marital_?status)\b",)),
+    ("privacy-data-retention", "low", 359, "Data kept without an end", (r"\b(session|token|log|cache)s?\b.*\b(ttl|max_?age|expires?)\s*[:=]\s*(0\b|null|undefined|infinity)",)),
 ]), extensions=(*JS, ".py"), id_prefix="PRIV")
 
 LLM_SECURITY = Family("llm", "M1", _rules("llm-security", [
@@ -143,6 +149,13 @@ LLM_SECURITY = Family("llm", "M1", _rules("llm-security", [
     ("llm-xss-output", "high", 79, "Model output as HTML", (r"innerhtml\s*=\s*(response|completion|message|output)",)),
     ("llm-system-prompt-leak", "medium", 200, "System prompt in a reply", (r"res\.(json|send)\s*\([^)]*system_?prompt",)),
     ("llm-response-injection", "critical", 89, "Model output in a query", (r"query\s*\(\s*(response|completion|output)\b",)),
+    ("llm-no-token-limit", "medium", 770, "Completion without a limit of tokens", (r"\b(openai|anthropic|client)[\w.]*\.create\s*\(\s*\{(?!.*max_?(output_?)?tokens).*\}\s*\)",)),
+    ("llm-pii-exposure", "high", 359, "Personal data sent to a model", (r"\b(openai|anthropic)\b.*\b(e_?mail|ssn|password|credit_?card|phone_?number)\b", r"\b(prompt|messages)\b.*\b(e_?mail|ssn|password|credit_?card|phone_?number)\b.*\b(openai|anthropic|api)\b")),
+    ("llm-insecure-tool-use", "critical", 78, "Tool of a model that runs commands", (r"\b(tools|functions)\s*[:=].*\b(exec(sync)?|spawn|child_process|os\.system|subprocess)\b", r"\btool\w*\b.*\b(run_shell|execute_code|delete_file|file_write)\b", r"function_call.*\b(exec|shell|run_command|execute)\b")),
+    ("llm-no-content-filter", "medium", 20, "Model output used without a filter", (r"\b(completion|response|result)\.(text|content|message)\b(?!.*(filter|moderat|saniti[sz]))",)),
+    ("llm-hardcoded-endpoint", "low", 547, "Address of a model provider in source", (r"[\"']https://api\.(openai|anthropic)\.com/v1/[a-z/]+[\"']",)),
+    ("llm-model-exposure", "low", 200, "Model named in a reply", (r"res\.(send|json)\s*\(.*\bmodel(_?name|_?version)?\b",)),
+    ("llm-training-data-risk", "high", 359, "Data of users used for training", (r"\b(fine.?tun\w*|train(ing)?)\b.*\b(user_?data|customers?\w*|input_?data)\b", r"\b(create|upload)\w*\b.*\b(training.?file|fine.?tun\w*)\b.*\b(users?|customers?|inputs?)\b")),
 ]), extensions=(*JS, ".py"), gate=r"openai|completion|prompt|llm|chat|model", confidence="high", id_prefix="LLM")
 
 CLOUD = Family("cloud", "M1", _rules("cloud", [
@@ -154,6 +167,12 @@ CLOUD = Family("cloud", "M1", _rules("cloud", [
     ("azure-app-no-https", "medium", 319, "Plain HTTP", (r"https_only\s*=\s*false",)),
     ("gcp-bucket-public", "critical", 284, "Public bucket", (r"member\s*=\s*\"all(authenticated)?users\"",)),
     ("gcp-sql-no-ssl", "high", 319, "Plain connections", (r"require_ssl\s*=\s*false",)),
+    ("aws-lambda-secrets", "high", 798, "Secret in a function's environment", (r"\benvironment\s*[:=]?\s*\{.*(password|secret|api_?key|token|private_key)\w*[\"']?\s*[:=]\s*[\"'][^\"']+[\"']",)),
+    ("azure-nsg-any", "high", 284, "Any source or any port", (r"(source_address_prefix|destination_port_range)\s*=\s*[\"']\*[\"']",)),
+    ("gcp-firewall-open", "high", 284, "Open to any address", (r"source_ranges\s*[:=]\s*\[\s*[\"']0\.0\.0\.0/0",)),
+    ("cloud-secrets-in-config", "critical", 798, "Secret in a configuration", (r"\b(password|secret_key|access_key|api_key|private_key)\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']",)),
+    ("cloud-no-encryption", "high", 311, "Storage not encrypted", (r"\bencrypted\s*[:=]\s*false", r"server_side_encryption\s*[:=]\s*[\"'](none|disabled)")),
+    ("cloud-overprivileged", "high", 250, "Role with all rights", (r"administratoraccess|(full|poweruser)access\b|admin(access|policy)", r"\brole\b.*\b(admin|root|superuser)\b")),
 ]), extensions=(".tf", ".yml", ".yaml", ".json", ".ts"), confidence="high", id_prefix="CLOUD")
 
 PATH = Family("path", "M2", _rules("path-traversal", [
@@ -171,6 +190,7 @@ DESERIALIZATION = Family("deser", "M2", _rules("deserialization", [
     ("deser-java-objectinput", "critical", 502, "Object stream from outside", (r"\.readobject\s*\(",)),
     ("deser-proto-pollution", "high", 1321, "Merge of input into an object", (r"(merge|extend|defaultsdeep)\s*\([^)]*req\.",)),
     ("deser-eval-json", "critical", 95, "JSON read by eval", (r"eval\s*\(\s*[\"']?\(?.*json",)),
+    ("deser-xml-xxe", "high", 611, "XML read with outside entities", (r"\b(xml2js\.)?parse(string|xml)\s*\(|\betree\.parse\s*\(|\b(dom|sax)parser\b|\bxmlreader\b",), {"window": (0, 5), "mitigation": r"disallow|external|noent|resolve_entities\s*=\s*false"}),
 ]), extensions=(*TS_JS_PY, ".java"), wired=False, confidence="high", id_prefix="DESER")
 
 SESSION = Family("session", "M3", _rules("session", [
@@ -179,6 +199,8 @@ SESSION = Family("session", "M3", _rules("session", [
     ("session-insecure-cookie", "high", 614, "Cookie without protection", (r"cookie\s*:\s*\{[^}]*secure\s*:\s*false", r"cookie\s*:\s*\{[^}]*httponly\s*:\s*false")),
     ("session-predictable-id", "critical", 330, "Predictable session id", (r"session_?id\s*=\s*(date\.now|math\.random|\+\+)",)),
     ("session-stored-client", "high", 922, "Session kept in the browser", (r"localstorage\.setitem\s*\(\s*[\"'](session|sid)",)),
+    ("session-no-logout-invalidation", "medium", 613, "Logout that keeps the session", (r"(log|sign)_?out\b(?![\s\S]{0,500}(destroy|invalidate|delete|clear|remove))[\s\S]{0,300}res\.(redirect|json|send)",)),
+    ("session-no-rotation-on-privilege", "medium", 384, "Rights changed, session kept", (r"\b(role|permission|privilege|admin)s?\s*[:=](?![\s\S]{0,200}(regenerate|newsession|destroy))",)),
 ]), extensions=JS, gate=r"session|cookie", id_prefix="SESS")
 
 BUSINESS = Family("biz", "M3", _rules("business-logic", [
@@ -206,6 +228,9 @@ ERRORS = Family("error", "M4", _rules("error-handling", [
     ("error-verbose-message", "medium", 209, "Error text in a reply", (r"res\.(json|send)\s*\([^)]*(err|error)\.message",)),
     ("error-generic-catch", "low", 396, "All errors caught", (r"except\s*:", r"except\s+exception\b")),
     ("error-debug-in-prod", "high", 215, "Debug mode on", (r"debug\s*[:=]\s*true",)),
+    ("error-no-error-handler", "medium", 755, "Server without a handler of errors", (r"\bapp\.listen\s*\((?![\s\S]{0,500}(app\.use\s*\(\s*\(\s*err|uncaughtexception))",)),
+    ("error-unhandled-rejection", "medium", 755, "Server without a handler of rejections", (r"\bapp\.listen\s*\((?![\s\S]{0,500}unhandledrejection)",)),
+    ("error-info-leak-header", "low", 200, "Server's version in a header", (r"setheader\s*\(\s*[\"']x-powered-by[\"']", r"setheader\s*\(\s*[\"']server[\"'].*(express|nginx|apache|node)")),
 ]), extensions=(*JS, ".py"), wired=False, id_prefix="ERR")
 
 JWT = Family("jwt", "M5", _rules("jwt", [
