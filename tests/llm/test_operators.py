@@ -513,6 +513,72 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.abs(np.exp(model.logs(keys)).reshape(len(contexts), -1).sum(1) - 1).max() < 1e-6
 
 
+def test_discounts_come_from_all_counts(spark):
+    """Counts of counts of every order and language are there at 1,000 documents, and the discounts are the formula's."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.xxhash64("lang").alias("model"), "text")
+    every, _ = perplexity.counted(docs)
+    ones = every.groupBy("model", "k").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)))
+    rows = ones.select("*", perplexity.discounts([F.col(f"n{i}").cast("double") for i in range(1, 5)]).alias("d")).where("k = 4").collect()
+    assert len(rows) == 4
+    for r in rows:
+        n = [r[f"n{i}"] for i in range(1, 5)]
+        assert min(n) > 0 and r["d"] != [0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        expected = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+        assert [x if 0 < x < k else k / 2 for k, x in enumerate(expected, 1)] == pytest.approx(r["d"])
+
+
+def brute_model(texts):
+    """Probability of a code point (plus 1) after three: modified Kneser-Ney, counted one by one, cut by SHARE."""
+    counts, held = brute_runs(texts, 4)
+    tables = {4: dict(counts)}
+    for k in (3, 2, 1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    kept = {4: {g for g in counts if held[g] >= perplexity.SHARE * sum(bool(t) for t in texts)}}
+    for k in (3, 2, 1):
+        kept[k] = {g[1:] for g in kept[k + 1]}
+    cuts = {}
+    for k, t in tables.items():
+        n = [sum(v == i for v in t.values()) for i in range(1, 5)]
+        d = [i / 2 for i in (1, 2, 3)]
+        if min(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [x if 0 < x < i else i / 2 for i, x in ((i, i - (i + 1) * y * n[i] / n[i - 1]) for i in (1, 2, 3))]
+        cuts[k] = d
+    symbols = {x for g in kept[4] for x in g if x}
+
+    def p(context, x):
+        k = len(context) + 1
+        lower = p(context[1:], x) if k > 1 else 1 / (len(symbols) + 1)
+        own = [g for g in kept[k] if g[:-1] == context]
+        if not own:
+            return lower
+        total = sum(v for g, v in tables[k].items() if g[:-1] == context)
+        share = {g: (tables[k][g] - cuts[k][min(tables[k][g], 3) - 1]) / total for g in own}
+        return share.get((*context, x), 0) + (1 - sum(share.values())) * lower
+
+    return lambda context, x: p(tuple(y if y in symbols or not y else -1 for y in context), x if x in symbols else -1)
+
+
+def test_model_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abc dé", (6, 5, 4, 6, 1, 1), k=rng.randint(5, 60))) + "xyz"[: i % 4] * (i % 29 == 0) for i in range(60)] + ["", None, "q" * 30]
+    (row,) = perplexity.fitted(spark.createDataFrame([(1, t) for t in texts], "model long, text string")).collect()
+    model, p = perplexity.Model(row.asDict()), brute_model([t or "" for t in texts])
+    (c,) = tk.chunks(pa.array([t for t in texts if t] + ["zq é new"]))
+    own, firsts = perplexity.points(c)
+    got = model.mean(own, np.diff(firsts))
+    for x, value in zip([t for t in texts if t] + ["zq é new"], got, strict=True):
+        padded = [0, 0, 0, *(ord(y) + 1 for y in x)]
+        assert value == pytest.approx(-np.mean([np.log(p(tuple(padded[i : i + 3]), padded[i + 3])) for i in range(len(x))]))
+
+
+def test_more_symbols_than_fit(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "BITS", 3)
+    group = perplexity.counted(spark.createDataFrame([(1, "abcdefghijabcab")], "model long, text string"))[0].withColumns({"total": F.lit(99), "cut": F.lit(0.5)}).toPandas()
+    assert len(perplexity.fit(group)["symbols"]) == 6
+
+
 def test_models_in_blocks_judge_alike(spark, clash, monkeypatch):
     once = {repr(r): r for r in quality_rules.judge(clash, carry=("doc_id", "lang"), unit="characters").collect()}
     monkeypatch.setattr(perplexity, "BLOCK", 1)
