@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; a fresh one only where that is unset (tests)."""
+    """The folder all executors share, named by spark.checkpoint.dir. Where that is unset a fresh one of this machine is set, if
+    the session runs on this machine alone; elsewhere executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines reach")
         found = tempfile.mkdtemp(prefix="gneiss-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         return f"file://{found}"
