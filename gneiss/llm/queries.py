@@ -28,5 +28,4 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_minhash_dedup": minhash_dedup.ORACLE,
-    "op13_collocations": collocations.ORACLE,
 }
