@@ -579,6 +579,18 @@ def test_more_symbols_than_fit(spark, monkeypatch):
     assert len(perplexity.fit(group)["symbols"]) == 6
 
 
+def test_model_of_more_symbols_than_16_bits(spark):
+    """All 70,000 code points of a text are symbols of its model, with the probabilities that counting one by one gives."""
+    text = "".join(map(chr, range(0x10000, 0x10000 + 70_000))) + "abcabd"
+    (row,) = perplexity.fitted(spark.createDataFrame([(1, text)], "model long, text string")).collect()
+    model, p = perplexity.Model(row.asDict()), brute_model([text])
+    assert model.other == 70_000 + 4 + 1
+    for x in (text[:5], text[-8:], text[69_000:69_004] + text[3] + "?ab"):
+        padded = [0, 0, 0, *(ord(y) + 1 for y in x)]
+        got = model.mean(np.array([ord(y) for y in x], dtype=np.uint32), np.array([len(x)]))
+        assert got[0] == pytest.approx(-np.mean([np.log(p(tuple(padded[i : i + 3]), padded[i + 3])) for i in range(len(x))]))
+
+
 def test_models_in_blocks_judge_alike(spark, clash, monkeypatch):
     once = {repr(r): r for r in quality_rules.judge(clash, carry=("doc_id", "lang"), unit="characters").collect()}
     monkeypatch.setattr(perplexity, "BLOCK", 1)
