@@ -1,11 +1,12 @@
 """YAML as rows, and what is read from it."""
 
+import pyarrow as pa
 import pytest
 
 from gneiss.functions import rules as R
 from gneiss.operators import graph
 from gneiss.plans import config_queries as Q
-from gneiss.sources import configs
+from gneiss.sources import configs, yamlfiles
 from gneiss.sources.yamlfiles import parse, plain, scalars
 
 GOOD = {
@@ -76,3 +77,26 @@ def test_connections_stay_in_their_project(spark):
     rows = [("p", "web", ["x"], {"URL": "http://db:1", "MONGO": "db"}), ("p", "db", [], None), ("q", "only", None, {"A": "http://web/x"})]
     out = graph.inferred_connections(spark.createDataFrame(rows, "project string, name string, depends_on array<string>, environment map<string,string>"))
     assert sorted(map(tuple, out.drop("description").collect())) == [("p", "web", "db", "mongodb"), ("p", "web", "db", "tcp"), ("p", "web", "x", "tcp"), ("q", "only", "web", "http")]
+
+
+def test_manifests_are_read_once(spark, monkeypatch):
+    """Readers that share `parsed` take documents that were read already, and one reading serves both sides of a join."""
+    text = "kind: Deployment\nmetadata: {name: w}\nspec: {template: {metadata: {labels: {a: b}}, spec: {containers: [{env: [{value: v, name: k}, {name: n}]}]}}}\n---\nkind: Service\nmetadata: {name: s}\nspec: {selector: {a: b}, ports: [{targetPort: 80}]}\n"
+    files = spark.createDataFrame([("p", "k8s/x.yaml", text), ("p", "other.yaml", text)], "project string, path string, content string")
+    docs = configs.parsed(files)
+    assert docs.count() == 2 and {r["last"] for r in docs.collect()} == {1}
+    for source in (files, docs):
+        assert [r["environment"] for r in configs.manifest_services(source).collect()] == [{"k": "v"}]
+        assert [r["port"] for r in configs.manifest_connections(source).collect()] == [80]
+        chosen = configs.selected_workloads(source)
+        assert [tuple(r) for r in chosen.collect()] == [("p", "s", "w")]
+        assert "MapInArrow" not in chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert configs.manifest_services(files)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_rows_of_many_files_come_in_small_batches(monkeypatch):
+    monkeypatch.setattr(yamlfiles, "ROWS", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(9)]), pa.array(["a: 1\nb: [2, 3]\n"] * 9)], names=["path", "content"])
+    out = list(yamlfiles._documents(iter([batch])))
+    assert [len(b) for b in out] == [4, 4, 1]
+    assert sum(len(r) for b in out for r in b["rows"].to_pylist()) == 27
