@@ -14,6 +14,7 @@ from gneiss.operators import policy as P
 from gneiss.plans.base import findings, query, read
 from gneiss.plans.finding_queries import _MATCHES
 from gneiss.sources import configs
+from gneiss.sources.stores import staged
 from gneiss.sources.yamlfiles import scalars
 
 
@@ -296,8 +297,8 @@ UNION ALL SELECT 'p' || id, 'k8s-service:front', 'front', 'tcp', 8080, 'K8s Load
 UNION ALL SELECT 'p' || id, 'k8s-service:front', 'front', 'tcp', NULL, 'K8s LoadBalancer service → port http' FROM d WHERE id % 2 = 0
 UNION ALL SELECT 'p' || id, 'k8s-service:other', 'other', 'tcp', 1, 'K8s ClusterIP service → port 1' FROM d WHERE id % 2 = 0""")
 def service_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = infrastructure(spark, sf_dir)
-    own = G.inferred_connections(configs.services(files)).withColumn("port", F.lit(None).cast("int"))
+    files = staged(configs.parsed(infrastructure(spark, sf_dir)), "config-documents")
+    own = G.inferred_connections(staged(configs.services(files), "services")).withColumn("port", F.lit(None).cast("int"))
     return own.unionByName(configs.manifest_connections(files)).select("project", "source", "target", "protocol", "port", "description")
 
 
