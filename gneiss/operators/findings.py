@@ -47,8 +47,10 @@ def running_totals(sizes: DataFrame, key: str, count: str = "count") -> DataFram
 def with_ids(found: DataFrame, prefix: str = "SPX", order: tuple[str, ...] = ("file", "rule_ord", "pattern_ord", "line")) -> DataFrame:
     """PREFIX-0001 and so on in a total order.
 
-    Rows are ranked among those of their first order column, and offset by the sizes of the smaller ones (running_totals)."""
+    Rows are ranked among those of their first order column, and offset by the sizes of the smaller ones (running_totals).
+    They are staged, so that they are found once."""
     first, rest = order[0], order[1:]
+    found = staged(found, "found")
     before = running_totals(found.groupBy(first).count(), first).withColumnRenamed("before", "_before")
     own = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
     ranked = found.withColumn("_own", own).join(before, found[first].eqNullSafe(before[first])).drop(before[first])

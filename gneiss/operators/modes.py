@@ -7,9 +7,12 @@ Windows of lines are slices of the file's own array, so they need no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
+from re import _constants as C
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +68,43 @@ def regex(pattern: str) -> str:
     return f"(?i){pattern}"
 
 
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Words in lower case of which every text that the pattern matches holds one; none where that can't be told."""
+
+    def of(parts) -> set[str] | None:
+        sets, run = [], ""
+        for op, arg in [*parts, (None, None)]:
+            if op is C.LITERAL and 32 < arg < 127:
+                run += chr(arg).lower()
+                continue
+            sets, run = (sets + [{run}] if run else sets), ""
+            if op is C.SUBPATTERN:
+                sets.append(of(arg[3]))
+            elif op is C.BRANCH:
+                each = [of(x) for x in arg[1]]
+                sets.append(None if None in each else set().union(*each))
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0]:
+                sets.append(of(arg[2]))
+        # the words that are hardest to find: the longest ones, and few of them
+        return max(filter(None, sets), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    # a class inside a class, which Python reads otherwise
+    if re.search(r"\[\^?\]?[^\]]*(\[|&&)", re.sub(r"\\.", "_", pattern, flags=re.S)):
+        return ()
+    try:
+        return tuple(sorted(of(_parser.parse(pattern)) or ()))
+    except (re.error, OverflowError, RecursionError):
+        return ()
+
+
+def holds(low: Column, pattern: str) -> Column:
+    """Whether a text, given in lower case, holds a word that the pattern needs: far cheaper than the pattern, and false for
+    most texts and patterns."""
+    words = needed(pattern)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)) if words else F.lit(True)
+
+
 def gated(files: DataFrame, family: Family) -> DataFrame:
     if family.cap is not None:
         files = files.where(F.col("length") <= family.cap)
@@ -106,10 +146,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def line_any(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """M1: a hit for each line and pattern that matches it."""
-    lines = files.select("path", "lang", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    lines = files.select("path", "lang", F.posexplode(F.split("content", "\n")).alias("pos", "text")).withColumn("low", F.lower("text"))
     parts = []
     for chunk in _numbered(rules):
-        tests = [F.when(_applies(r) & F.col("text").rlike(regex(p)), _one(i, j)) for i, j, r, p in chunk]
+        tests = [F.when(_applies(r) & holds(F.col("low"), p) & F.col("text").rlike(regex(p)), _one(i, j)) for i, j, r, p in chunk]
         parts.append(_exploded(lines, tests, "path", (F.col("pos") + 1).alias("line"), "text"))
     return _union(parts).select("path", "_h.rule_ord", "_h.pattern_ord", "line", js_trim("text").alias("snippet"))
 
@@ -253,14 +293,14 @@ def findings(files: DataFrame, family: Family, ordinal: int = 0) -> DataFrame:
 
 
 def _gate(family: Family) -> Column:
-    """What `gated` filters by, as a test of a file."""
+    """What `gated` filters by, as a test of a file and its text in lower case."""
     tests = []
     if family.cap is not None:
         tests.append(F.col("length") <= family.cap)
     if family.extensions:
         tests.append(F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).isin(*family.extensions))
     if family.gate:
-        tests.append(F.col("content").rlike(regex(family.gate)))
+        tests.append(holds(F.col("low"), family.gate) & F.col("content").rlike(regex(family.gate)))
     return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)) if tests else F.lit(True)
 
 
@@ -285,7 +325,7 @@ def _flat(tests: list[tuple[Column, list[Column]]]) -> Column:
 def _line_tests(k: int, family: Family) -> tuple[list[tuple[Column, list[Column]]], list[tuple[str, Column]]]:
     """Tests of single lines (M1, and M7 with patterns), and the conditions on whole files that they name."""
     needs, groups = [(f"g{k}", _gate(family))], []
-    tests = {i: [F.when(_applies(r) & F.col("text").rlike(regex(p)), _hit(k, i, j, F.col("pos") + 1)) for j, p in enumerate(r.patterns)] for i, r in enumerate(family.rules)}
+    tests = {i: [F.when(_applies(r) & holds(F.col("low"), p) & F.col("text").rlike(regex(p)), _hit(k, i, j, F.col("pos") + 1)) for j, p in enumerate(r.patterns)] for i, r in enumerate(family.rules)}
     if family.mode != "M7":
         return [(F.col(f"g{k}"), [t for own in tests.values() for t in own])], needs
     for i, r in enumerate(family.rules):
@@ -312,7 +352,7 @@ def _file_tests(k: int, family: Family) -> list[Column]:
             ok = line.isNotNull()
             if r.mitigation and family.mode in ("M4", "M5"):
                 ok = ok & ~window_text(*r.window, line).rlike(regex(r.mitigation))
-            firsts.append(F.when(ok, _hit(k, i, j, line)))
+            firsts.append(F.when(holds(F.col("low"), p), F.when(ok, _hit(k, i, j, line))))
         if family.mode == "M4":
             out += [F.when(_applies(r), x) for x in firsts]
         elif family.mode in ("M3", "M5"):
@@ -330,7 +370,7 @@ def _window_tests(k: int, family: Family, text: Column, line: Column) -> list[Co
     out = []
     for i, r in enumerate(family.rules):
         for j, p in enumerate(r.patterns):
-            test = _applies(r) & text.rlike(regex(p))
+            test = _applies(r) & holds(F.col("low"), p) & text.rlike(regex(p))
             if r.mitigation:
                 test = test & ~window_text(*r.window, line).rlike(regex(r.mitigation))
             out.append(F.when(test, _hit(k, i, j, line)))
@@ -343,6 +383,7 @@ def hits_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
     One pass tests single lines (M1, and M7 with patterns), one whole files and windows of their own lines (M2 to M5, what M6
     looks for, and M7 without patterns), one what M6 finds nowhere. Gates are columns of the file, computed once."""
     every = list(enumerate(families))
+    files = files.withColumn("low", F.lower("content"))
     parts = []
     by_line = [(k, f) for k, f in every if f.mode == "M1" or f.mode == "M7" and any(r.patterns for r in f.rules)]
     if by_line:
@@ -352,8 +393,8 @@ def hits_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
             tests, needs = tests + own, needs + more
         some = reduce(lambda a, b: a | b, (F.col(f"g{k}") for k, _ in by_line))
         gated_files = files.select("path", "lang", "content", *(c.alias(n) for n, c in needs)).where(some)
-        lines = gated_files.select("path", "lang", *(n for n, _ in needs), F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-        parts.append(lines.select("path", js_trim("text").alias("snippet"), F.explode(_flat(tests)).alias("h")).select("path", "h.*", "snippet"))
+        lines = gated_files.select("path", "lang", *(n for n, _ in needs), F.posexplode(F.split("content", "\n")).alias("pos", "text")).withColumn("low", F.lower("text"))
+        parts.append(lines.select("path", "text", F.explode(_flat(tests)).alias("h")).select("path", "h.*", js_trim("text").alias("snippet")))
     by_file = [(k, f) for k, f in every if f.mode in ("M2", "M3", "M4", "M5", "M6", "M7")]
     by_file = [(k, f) for k, f in by_file if f.mode != "M7" or not all(r.patterns for r in f.rules)]
     by_file = [(k, f) for k, f in by_file if f.mode != "M6" or any(r.check == "present" for r in f.rules)]
@@ -370,8 +411,8 @@ def hits_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
     if nowhere:
         # one row: whether a rule's patterns, or what silences it, occur in any of its family's files
         absent = [(k, i, r) for k, f in nowhere for i, r in enumerate(f.rules) if r.check == "missing"]
-        gates = files.select("path", "content", *(_gate(f).alias(f"g{k}") for k, f in nowhere))
-        seen = [F.bool_or(F.col(f"g{k}") & F.col("content").rlike(regex("|".join((*r.patterns, SILENCER))))).alias(f"r{k}_{i}") for k, i, r in absent]
+        gates = files.select("path", "content", "low", *(_gate(f).alias(f"g{k}") for k, f in nowhere))
+        seen = [F.bool_or(F.col(f"g{k}") & holds(F.col("low"), "|".join((*r.patterns, SILENCER))) & F.col("content").rlike(regex("|".join((*r.patterns, SILENCER))))).alias(f"r{k}_{i}") for k, i, r in absent]
         one = gates.agg(*(F.min(F.when(F.col(f"g{k}"), F.col("path"))).alias(f"p{k}") for k, _ in nowhere), *seen)
         tests = [F.when(F.col(f"p{k}").isNotNull() & ~F.col(f"r{k}_{i}"), F.struct(F.col(f"p{k}").alias("path"), _hit(k, i, 0, F.lit(0)).alias("h"))) for k, i, _ in absent]
         parts.append(one.select(F.explode(_flat([(F.lit(True), tests)])).alias("x")).select("x.path", "x.h.*", F.lit("").alias("snippet")))

@@ -58,3 +58,19 @@ def test_few_passes(spark):
     tables = len(re.findall("Relation|LogicalRelation|parquet", corpus(spark, SF)._jdf.queryExecution().optimizedPlan().toString()))
     assert len(re.findall("Relation|LogicalRelation|parquet", plan)) <= 3 * tables
     assert plan.count("Generate") <= 7 * 3
+
+
+def test_needed_words_never_hide_a_match():
+    """A pattern's needed words stand in whatever it matches, and are told for every rule of the catalogue."""
+    for pattern, words in ((r"a(bc|de+)?fgh", ("fgh",)), (r"(select|insert)\s+x", ("insert", "select")), (r"[ab]+\d", ()), (r"(?=.*tok)\w+", ()), (r"x{0,2}yy", ("yy",)), (r"(open(ai)?|llm)", ("llm", "open")), (r"(foo|)bar", ("bar",)), (r"\p{L}abc", ()), (r"[a[bc]]xyz", ()), (r"[\w.\[]xyz", ("xyz",))):
+        assert modes.needed(pattern) == words, pattern
+    every = [p for f in (*R.WIRED, *R.EXPERIMENTAL, *DEEP, R.CORPUS) for r in f.rules for p in r.patterns]
+    assert len(every) > 400 and all(modes.needed(p) for p in every)
+
+
+def test_scans_trim_and_gate_as_each_mode_alone(files):
+    """Upper case, text that isn't ASCII and blank lines around hits: the joint pass and the single ones agree."""
+    tree = files({"a.py": "  İPassword = 'ABCDEFGHIJ'  \n\n LICENSED under X　\n", "b.txt": "K token: \"aaaabbbbcccc\"\n"})
+    columns = ["rule", "file", "line", "snippet"]
+    one, two = (sorted(map(tuple, f.select(*columns).collect())) for f in (modes.findings(tree, R.CORPUS), modes.findings_together(tree, [R.CORPUS])))
+    assert one == two and len(one) == 3 and ("license-line", "a.py", 3, "LICENSED under X") in [(r.split(":")[-1], *x) for r, *x in one]
