@@ -71,9 +71,19 @@ def tickets(found: DataFrame) -> DataFrame:
 
 
 def markdown(found: DataFrame) -> DataFrame:
-    """(rank, severity, body): a section of lines for each severity that occurs."""
+    """(rank, severity, body): a section of lines for each severity that occurs.
+
+    Lines are sorted in ranges and joined in blocks of 65,536 places; the task that makes a section reads joined text only.
+    """
     line = F.concat(F.lit("- **"), "title", F.lit("** `"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("`"))
-    return found.groupBy(severity_rank("severity").alias("rank"), "severity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    placed = found.select("severity", "ordinal", line.alias("l")).orderBy("severity", "ordinal", "l").select("severity", "l", F.monotonically_increasing_id().alias("place"))
+    blocks = placed.groupBy("severity", F.shiftright("place", 16).alias("block")).agg(F.when(F.count("l") > 0, _joined("place", "l")).alias("text"))
+    return blocks.groupBy(severity_rank("severity").alias("rank"), "severity").agg(_joined("block", "text").alias("body"))
+
+
+def _joined(place: str, text: str):
+    """The texts of a group in the order of their places, a line each; null ones are left out."""
+    return F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(place, text))), lambda x: x[text]))
 
 
 def notify_payload(found: DataFrame, n: int = 5) -> DataFrame:

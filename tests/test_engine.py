@@ -272,6 +272,21 @@ def test_csv_and_sarif(spark):
     assert '"uri":"a/b"' in exports.sarif(f).first()[0]
 
 
+def test_markdown_sections_get_joined_text(spark):
+    n, empty = 150_000, range(50_000, 130_000)  # lines without a title are none: whole blocks of them too
+    at = F.col("id") * 7919 % n
+    title = F.when(~at.between(empty[0], empty[-1]), F.concat(F.lit("t"), at.cast("string")))
+    f = spark.range(0, n, 1, 5).select(at.alias("ordinal"), F.when(at % 10 == 0, "high").otherwise("low").alias("severity"), title.alias("title"), F.lit("f").alias("file"), (at % 7).alias("line"))
+    df = exports.markdown(f)
+    got = {(r["rank"], r["severity"]): r["body"] for r in df.collect()}
+    line = {o: f"- **t{o}** `f:{o % 7}`" for o in range(n) if o not in empty}
+    assert got == {(1, "high"): "\n".join(x for o, x in line.items() if o % 10 == 0), (3, "low"): "\n".join(x for o, x in line.items() if o % 10)}
+    plan = df._jdf.queryExecution().executedPlan()
+    while (kind := plan.getClass().getSimpleName()) != "ShuffleExchangeExec":  # the last one, whose rows meet in a task a section
+        plan = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else plan.children().apply(0)
+    assert plan.metrics().apply("dataSize").value() < 1.1 * sum(map(len, got.values()))
+
+
 def test_monitor_takes_the_first_pattern(spark):
     t = spark.createDataFrame([("401 token=abcdefgh1",), ("token=abcdefgh1",), ("fine",)], "line string")
     assert [r["rule"] for r in textscan.monitor(t).collect()] == ["auth-failure", "secret-leak"]
