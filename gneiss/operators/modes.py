@@ -21,7 +21,6 @@ from gneiss.functions.scalars import js_trim, match_line
 from gneiss.sources.corpus import with_lines
 
 CHUNK, SLICE = 50, 20
-SCAN_CAP = 500_000
 #: What makes M6's missing rules hold their peace wherever it occurs.
 SILENCER = "helmet"
 
@@ -58,7 +57,8 @@ class Family:
     gate: str | None = None
     confidence: str = "medium"
     wired: bool = True
-    cap: int | None = SCAN_CAP
+    #: Files over so many bytes aren't looked at; by default all are.
+    cap: int | None = None
     id_prefix: str = "SPX"
     extra: dict = field(default_factory=dict)
 
@@ -106,6 +106,7 @@ def holds(low: Column, pattern: str) -> Column:
 
 
 def gated(files: DataFrame, family: Family) -> DataFrame:
+    files = files.where("content is not null")
     if family.cap is not None:
         files = files.where(F.col("length") <= family.cap)
     if family.extensions:
@@ -294,14 +295,14 @@ def findings(files: DataFrame, family: Family, ordinal: int = 0) -> DataFrame:
 
 def _gate(family: Family) -> Column:
     """What `gated` filters by, as a test of a file and its text in lower case."""
-    tests = []
+    tests = [F.col("content").isNotNull()]
     if family.cap is not None:
         tests.append(F.col("length") <= family.cap)
     if family.extensions:
         tests.append(F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).isin(*family.extensions))
     if family.gate:
         tests.append(holds(F.col("low"), family.gate) & F.col("content").rlike(regex(family.gate)))
-    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)) if tests else F.lit(True)
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
 
 def _shape(rule: Rule) -> Column:
@@ -366,11 +367,12 @@ def _file_tests(k: int, family: Family) -> list[Column]:
 
 
 def _window_tests(k: int, family: Family, text: Column, line: Column) -> list[Column]:
-    """M2's tests of one line among the file's lines."""
-    out = []
+    """M2's tests of one line among the file's lines. What a pattern needs is looked for in the line: in the whole text that
+    would cost the text's length for each of its lines."""
+    low, out = F.lower(text), []
     for i, r in enumerate(family.rules):
         for j, p in enumerate(r.patterns):
-            test = _applies(r) & holds(F.col("low"), p) & text.rlike(regex(p))
+            test = _applies(r) & holds(low, p) & text.rlike(regex(p))
             if r.mitigation:
                 test = test & ~window_text(*r.window, line).rlike(regex(r.mitigation))
             out.append(F.when(test, _hit(k, i, j, line)))
@@ -405,8 +407,9 @@ def hits_together(files: DataFrame, families: Sequence[Family]) -> DataFrame:
         found = [_flat(whole)] if whole else []
         if windows:
             found.append(F.flatten(F.transform("lines", lambda x, n: _flat([(F.col(f"g{k}"), _window_tests(k, f, x, n + 1)) for k, f in windows]))))
-        h = own.select("path", "lines", F.explode(F.concat(*found)).alias("h")).select("path", "h.*", "lines")
-        parts.append(h.withColumn("snippet", _line_of(F.col("line"))).drop("lines"))
+        # a hit takes its own line along, not all lines of its file
+        said = F.transform(F.concat(*found), lambda h: F.struct(h.alias("h"), _line_of(h["line"]).alias("snippet")))
+        parts.append(own.select("path", F.explode(said).alias("x")).select("path", "x.h.*", "x.snippet"))
     nowhere = [(k, f) for k, f in every if f.mode == "M6" and any(r.check == "missing" for r in f.rules)]
     if nowhere:
         # one row: whether a rule's patterns, or what silences it, occur in any of its family's files

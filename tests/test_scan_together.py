@@ -3,12 +3,14 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gneiss.functions import rules as R
 from gneiss.functions.deep_rules import DEEP
 from gneiss.operators import findings, modes
 from gneiss.operators.modes import Family, Rule
 from gneiss.plans.base import files as corpus
+from gneiss.plans.scan_queries import scan_builtin
 
 from .conftest import SF
 
@@ -74,3 +76,18 @@ def test_scans_trim_and_gate_as_each_mode_alone(files):
     columns = ["rule", "file", "line", "snippet"]
     one, two = (sorted(map(tuple, f.select(*columns).collect())) for f in (modes.findings(tree, R.CORPUS), modes.findings_together(tree, [R.CORPUS])))
     assert one == two and len(one) == 3 and ("license-line", "a.py", 3, "LICENSED under X") in [(r.split(":")[-1], *x) for r, *x in one]
+
+
+def test_files_of_any_size_are_scanned(spark, files, tmp_path):
+    """Files over 500,000 bytes are looked at by every mode, and by the query; a file without a text by none."""
+    long = "plain words of a text\n" * 40_000
+    code = long + "jwt.verify(t, k)\nfs.readFile(path.join(dir, req.query.name))\nexec(`ls ${d}`)\n"
+    tree = files({"long.js": code, "short.js": code[-100:]}).unionByName(files({"none.js": ""}).withColumn("content", F.lit(None).cast("string")))
+    got = together(tree, (*R.WIRED, *R.EXPERIMENTAL))
+    of = [sorted(r.split(", ")[0] for r in got if f"'{name}'" in r) for name in ("long.js", "short.js")]
+    assert of[0] == of[1] and len(of[0]) > 2 and len(got) == 2 * len(of[0])
+    docs = [(1, code), (2, "short"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert "command-injection" in {r["rule"] for r in scan_builtin(spark, str(tmp_path)).collect()}
