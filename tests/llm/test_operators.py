@@ -733,6 +733,19 @@ def test_pipeline(spark, tmp_path, docs):
     assert os.path.isdir(sf)
 
 
+def test_pipeline_quality_models_all_texts(spark, monkeypatch):
+    """The stage's models store every run of all texts it is given, those that it rejects among them."""
+    import corpus_pipeline
+
+    rng, made, fitted = random.Random(9), [], perplexity.fitted
+    monkeypatch.setattr(perplexity, "fitted", lambda texts: made.append(fitted(texts)) or made[-1])
+    texts = [" ".join(rng.choice(("an", "tion", "er", "the")) + rng.choice(("ing", "re", "of")) for _ in range(60)) for _ in range(50)] + ["rare: xq", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    (row,) = made[0].collect()
+    assert kept == set(range(50)) and len(row["hashes4"]) == len(brute_runs([t or "" for t in texts], 4)[0])
+
+
 def test_pipeline_near_keeps_what_is_not_linked(spark):
     import corpus_pipeline
 
